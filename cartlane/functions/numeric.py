@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 MICROS_PER_MINUTE = 60_000_000
 MICRO_DOLLARS = 1_000_000
+CENTS_TO_MICROS = 10_000
 
 
 def int_div(a: Column, b: Column | int) -> Column:
@@ -22,25 +23,30 @@ def int_div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
+def floor_div(a: Column, b: Column) -> Column:
+    """Floor division for ``b > 0`` (exact for negative ``a`` too)."""
+    return int_div(a - F.pmod(a, b), b)
+
+
 def _positive(den: Column) -> Column:
     return den.isNotNull() & (den > 0)
 
 
 def round2_ratio(num: Column, den: Column) -> Column:
-    """``round(num / den, 2)`` half up, for integers ``num >= 0``; NULL when
+    """``round(num / den, 2)`` half up (toward +inf) on integers; NULL when
     ``den`` is 0 or NULL (the reference divides; we never raise on an empty
     segment)."""
     num = num.cast("long")
     den = den.cast("long")
-    cents = int_div(num * 200 + den, den * 2)
+    cents = floor_div(num * 200 + den, den * 2)
     return F.when(_positive(den), cents.cast("double") / 100)
 
 
 def round_half_up_ratio(num: Column, den: Column, scale_factor: int) -> Column:
-    """Integer ``round(num / den * scale_factor)`` half up (``num >= 0``)."""
+    """Integer ``round(num / den * scale_factor)`` half up."""
     num = num.cast("long")
     den = den.cast("long")
-    return F.when(_positive(den), int_div(num * (2 * scale_factor) + den, den * 2))
+    return F.when(_positive(den), floor_div(num * (2 * scale_factor) + den, den * 2))
 
 
 def cents_of(ratio_num: Column, ratio_den: Column) -> Column:

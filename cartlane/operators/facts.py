@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlane.config import PURCHASE, SegmentSpec
-from cartlane.functions.numeric import (MICRO_DOLLARS, minutes_between, money_cents,
+from cartlane.functions.numeric import (CENTS_TO_MICROS, MICRO_DOLLARS, minutes_between, money_cents,
                                         round_half_up_ratio)
 from cartlane.operators.events import until
 
@@ -47,7 +47,7 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
         F.count(rev).alias("revenue_events"),
         F.sum(money_cents(rev)).alias("revenue_cents"),
     ).where(F.col("first_purchase_us").isNotNull())
-    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), MICRO_DOLLARS)
+    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS)
     return agg.select(
         "user_pseudo_id",
         "event_date",
@@ -68,7 +68,7 @@ def purchase_revenue_user_day(events: DataFrame, cutoff: _dt.date | None = None)
         F.count("purchase_revenue_in_usd").alias("revenue_events"),
         F.sum(money_cents(F.col("purchase_revenue_in_usd"))).alias("revenue_cents"),
     )
-    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), MICRO_DOLLARS)
+    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS)
     return rev.select("user_pseudo_id", "event_date",
                       (micros.cast("double") / MICRO_DOLLARS).alias("purchase_revenue_in_usd"),
                       "revenue_events")

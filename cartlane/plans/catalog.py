@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlane.config import DEFAULTS
-from cartlane.operators import duration, events, facts, revenue
+from cartlane.operators import (clean_path, duration, events, facts, friction, funnel, population, revenue,
+                                sequences)
 from cartlane.sources.fixture import load_raw_events
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +72,144 @@ def q_slowest_segment(spark, sf_dir):
 @query("aov")
 def q_aov(spark, sf_dir):
     return revenue.average_order_value(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+
+
+# --- funnel ------------------------------------------------------------------
+@query("funnel_counts")
+def q_funnel_counts(spark, sf_dir):
+    return funnel.funnel_counts(normalized(spark, sf_dir))
+
+
+@query("funnel_users")
+def q_funnel_users(spark, sf_dir):
+    return funnel.funnel_users(normalized(spark, sf_dir))
+
+
+@query("funnel_rates")
+def q_funnel_rates(spark, sf_dir):
+    return funnel.funnel_rates(normalized(spark, sf_dir))
+
+
+@query("funnel_step_dropoff")
+def q_funnel_step_dropoff(spark, sf_dir):
+    return funnel.funnel_step_dropoff(normalized(spark, sf_dir))
+
+
+@query("funnel_counts_and_rates")
+def q_funnel_counts_and_rates(spark, sf_dir):
+    return funnel.funnel_counts_and_rates(normalized(spark, sf_dir))
+
+
+# --- sequences, churn, friction ----------------------------------------------
+@query("prior_event_sequence")
+def q_prior_event_sequence(spark, sf_dir):
+    return sequences.prior_events(labeled(spark, sf_dir))
+
+
+@query("checkout_churners")
+def q_checkout_churners(spark, sf_dir):
+    return sequences.checkout_churners(labeled(spark, sf_dir))
+
+
+@query("completer_sequences")
+def q_completer_sequences(spark, sf_dir):
+    return sequences.completer_sequences(labeled(spark, sf_dir))
+
+
+@query("churner_sequences")
+def q_churner_sequences(spark, sf_dir):
+    return sequences.churner_sequences(labeled(spark, sf_dir))
+
+
+@query("completer_friction")
+def q_completer_friction(spark, sf_dir):
+    return sequences.friction_counts(sequences.completer_sequences(labeled(spark, sf_dir)))
+
+
+@query("churner_friction")
+def q_churner_friction(spark, sf_dir):
+    return sequences.friction_counts(sequences.churner_sequences(labeled(spark, sf_dir)))
+
+
+@query("friction_segments")
+def q_friction_segments(spark, sf_dir):
+    return friction.friction_segments(labeled(spark, sf_dir), aov=DEFAULTS.aov)
+
+
+@query("churn_summary")
+def q_churn_summary(spark, sf_dir):
+    return friction.churn_summary(labeled(spark, sf_dir))
+
+
+@query("friction_revenue_total")
+def q_friction_revenue_total(spark, sf_dir):
+    return friction.friction_revenue_total(labeled(spark, sf_dir), aov=DEFAULTS.aov)
+
+
+@query("churners_by_last_event")
+def q_churners_by_last_event(spark, sf_dir):
+    return sequences.churners_by_last_event(labeled(spark, sf_dir))
+
+
+@query("payment_step_churners")
+def q_payment_step_churners(spark, sf_dir):
+    return sequences.payment_step_churners(labeled(spark, sf_dir))
+
+
+@query("shipping_redirects")
+def q_shipping_redirects(spark, sf_dir):
+    return sequences.shipping_redirects(labeled(spark, sf_dir))
+
+
+# --- clean path ----------------------------------------------------------------
+@query("checkout_start")
+def q_checkout_start(spark, sf_dir):
+    cs = clean_path.checkout_start(labeled(spark, sf_dir))
+    from pyspark.sql import functions as F
+    return cs.select("user_pseudo_id", "event_date", F.timestamp_micros("checkout_us").alias("checkout_time"))
+
+
+@query("checkpoint_counts")
+def q_checkpoint_counts(spark, sf_dir):
+    return clean_path.checkpoint_counts(labeled(spark, sf_dir))
+
+
+@query("clean_path_user_days")
+def q_clean_path_user_days(spark, sf_dir):
+    return clean_path.clean_path_user_days(labeled(spark, sf_dir))
+
+
+@query("clean_vs_overall")
+def q_clean_vs_overall(spark, sf_dir):
+    ev = normalized(spark, sf_dir)
+    return clean_path.clean_vs_overall(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+
+
+@query("clean_vs_overall_session")
+def q_clean_vs_overall_session(spark, sf_dir):
+    ev = normalized(spark, sf_dir)
+    return clean_path.clean_vs_overall(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff,
+                                       fanout="session")
+
+
+@query("aov_candidates")
+def q_aov_candidates(spark, sf_dir):
+    ev = normalized(spark, sf_dir)
+    return clean_path.aov_candidates(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+
+
+@query("clean_path_speedup")
+def q_clean_path_speedup(spark, sf_dir):
+    ev = normalized(spark, sf_dir)
+    return clean_path.clean_path_speedup(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+
+
+# --- population ---------------------------------------------------------------
+@query("population_counts")
+def q_population_counts(spark, sf_dir):
+    return population.population_counts(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+
+
+@query("missing_step_share")
+def q_missing_step_share(spark, sf_dir):
+    return population.missing_step_share(normalized(spark, sf_dir))

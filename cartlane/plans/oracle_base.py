@@ -86,14 +86,19 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join((RAW_EVENTS_CTE, CORRECT_COLS_CTE) + ctes)
 
 
+def fdiv(a: str, b: str) -> str:
+    """Floor division for b > 0 (DuckDB's // truncates toward zero)."""
+    return f"((({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b}))"
+
+
 def r2(num: str, den: str) -> str:
     """Half-up round(num/den, 2) on integers, NULL for a zero denominator."""
-    return f"(CAST(((200 * ({num}) + ({den})) // NULLIF(2 * ({den}), 0)) AS DOUBLE) / 100)"
+    return f"(CAST({fdiv(f'200 * ({num}) + ({den})', f'NULLIF(2 * ({den}), 0)')} AS DOUBLE) / 100)"
 
 
 def cents(num: str, den: str) -> str:
-    return f"((200 * ({num}) + ({den})) // NULLIF(2 * ({den}), 0))"
+    return fdiv(f"200 * ({num}) + ({den})", f"NULLIF(2 * ({den}), 0)")
 
 
 def half_up(num: str, den: str, factor: int) -> str:
-    return f"((2 * {factor} * ({num}) + ({den})) // NULLIF(2 * ({den}), 0))"
+    return fdiv(f"2 * {factor} * ({num}) + ({den})", f"NULLIF(2 * ({den}), 0)")
