@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlane.config import BEGIN_CHECKOUT, DEFAULTS, PURCHASE, CheckoutSpec
-from cartlane.functions.numeric import MICRO_DOLLARS, round2_ratio, round_half_up_ratio
+from cartlane.functions.labels import keep_predicate, label_expr
+from cartlane.functions.numeric import (CENTS_TO_MICROS, MICRO_DOLLARS, minutes_between, money_cents,
+                                        round2_ratio, round_half_up_ratio)
 from cartlane.operators.duration import present
-from cartlane.operators.facts import user_day_facts
-from cartlane.operators.revenue import average_order_value
+from cartlane.operators.events import until
 
 KEY = ["user_pseudo_id", "event_date"]
 COUNT_NAMES = {"add_shipping_info": "add_shipping_count", "Payment Method": "payment_page_count",
@@ -65,103 +66,158 @@ def clean_path_user_days(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.check
     return counts.where(cond).select(*KEY)
 
 
-def _daily(facts: DataFrame, weight) -> DataFrame:
-    """Per purchase date: weighted purchases, rounded mean minutes and mean
-    user-day revenue (cents integers kept for the summary)."""
-    has_rev = F.col("revenue_micros").isNotNull()
-    d = facts.groupBy("event_date").agg(
-        F.sum(weight).alias("n"),
-        F.sum(F.col("minutes_to_purchase") * weight).alias("m"),
-        F.sum(F.when(has_rev, weight)).alias("nr"),
-        F.sum(F.col("revenue_micros") * weight).alias("r"),
-    )
-    return d.select(
-        F.col("event_date").alias("purchase_date"),
-        round2_ratio(F.col("m"), F.col("n")).alias("avg_minutes_to_purchase"),
-        F.col("n").cast("long").alias("no_of_purchases"),
-        round2_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS).alias("avg_revenue"),
-        round_half_up_ratio(F.col("m"), F.col("n"), 100).alias("_mc"),
-        round_half_up_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS, 100).alias("_rc"),
+def purchase_day_paths(events: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
+    """Per purchasing (user, day), at every date: the duration facts, the
+    average purchase revenue and whether the day is a clean path.
+
+    One partial aggregate over all events gives the facts and the first
+    checkout time; the checkpoint rows are then left-joined on (user, day)
+    and counted in an aggregate that keeps the join's partitioning."""
+    name = F.col("event_name")
+    is_purchase = name == PURCHASE
+    kept = keep_predicate(spec)
+    label = label_expr(spec)
+    rev = F.when(is_purchase, F.col("purchase_revenue_in_usd"))
+    days = events.groupBy(*KEY).agg(
+        F.min("event_us").alias("first_event_us"),
+        F.min(F.when(is_purchase, F.col("event_us"))).alias("first_purchase_us"),
+        F.count(rev).alias("revenue_events"),
+        F.sum(money_cents(rev)).alias("revenue_cents"),
+        F.min(F.when(kept & (label == BEGIN_CHECKOUT), F.col("event_us"))).alias("checkout_us"),
+    ).where(F.col("first_purchase_us").isNotNull())
+    rows = events.where(kept & label.isin(*spec.checkpoints)).select(
+        *KEY, label.alias("_label"), F.col("event_us").alias("_us"))
+    j = days.join(rows, KEY, "left")
+    after = F.col("_us") >= F.col("checkout_us")
+    counted = j.groupBy(*KEY, "first_event_us", "first_purchase_us", "revenue_events", "revenue_cents",
+                        "checkout_us").agg(
+        *[F.count_if((F.col("_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints])
+    clean = F.col("checkout_us").isNotNull()
+    for c in spec.checkpoints:
+        clean = clean & (F.col(_count_name(c)) == 1)
+    return counted.select(
+        *KEY,
+        minutes_between(F.col("first_event_us"), F.col("first_purchase_us")).alias("minutes_to_purchase"),
+        round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS).alias("revenue_micros"),
+        "revenue_cents", "revenue_events",
+        clean.alias("clean"),
     )
 
 
-def _summary(daily: DataFrame) -> DataFrame:
-    s = daily.agg(
-        F.sum("_mc").alias("mc"), F.count(F.lit(1)).alias("days"),
-        F.sum("no_of_purchases").alias("no_of_purchases"),
-        F.sum("_rc").alias("rc"), F.count("_rc").alias("rdays"),
-    )
-    return s.select(
-        F.lit(None).cast("date").alias("purchase_date"),
-        round2_ratio(F.col("mc"), F.col("days") * 100).alias("avg_minutes_to_purchase"),
-        "no_of_purchases",
-        round2_ratio(F.col("rc"), F.col("rdays") * 100).alias("avg_revenue"),
-        round_half_up_ratio(F.col("mc"), F.col("days"), 1).alias("_mc"),
-        round_half_up_ratio(F.col("rc"), F.col("rdays"), 1).alias("_rc"),
-    )
+_KINDS = (("all", "Overall", "Overall Average"), ("cln", "Clean Path", "Clean Path Average"))
 
 
-def clean_vs_overall_parts(events: DataFrame, labeled: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
-                           fanout: str = "reference", spec: CheckoutSpec = DEFAULTS.checkout):
-    """(overall_daily, clean_daily) with cents helper columns.
+def _daily_both(paths: DataFrame, cutoff: _dt.date | None, fanout: str) -> DataFrame:
+    """One row per purchase date with the statistics of both groups.
 
     ``fanout="reference"`` reproduces the reference, which joins the clean
     daily rows to the clean user-days on the user only: a purchase of a
     user with k clean days (on any date, also after the cutoff) counts k
-    times. The multiplicity is applied as a weight, never by materialising
-    the pairs. ``fanout="session"`` counts each clean user-day once.
-    """
-    facts = user_day_facts(events, cutoff=cutoff)
-    clean = clean_path_user_days(labeled, spec)
+    times. The multiplicity is applied as a weight (a window over the user's
+    purchasing days, bounded by the number of dates), never by materialising
+    the pairs. ``fanout="session"`` counts each clean user-day once."""
     if fanout == "reference":
-        w = Window.partitionBy("user_pseudo_id")
-        clean = clean.select(*KEY, F.count(F.lit(1)).over(w).alias("_w"))
+        weight = F.when(F.col("clean"), F.count_if("clean").over(Window.partitionBy("user_pseudo_id")))
     elif fanout == "session":
-        clean = clean.select(*KEY, F.lit(1).cast("long").alias("_w"))
+        weight = F.when(F.col("clean"), F.lit(1))
     else:
         raise ValueError("fanout must be 'reference' or 'session'")
-    clean_facts = facts.join(clean, KEY)
-    return _daily(facts, F.lit(1)), _daily(clean_facts, F.col("_w"))
+    p = paths.select("event_date", "minutes_to_purchase", "revenue_micros",
+                     F.lit(1).cast("long").alias("w_all"), weight.cast("long").alias("w_cln"))
+    p = until(p, cutoff)
+    has_rev = F.col("revenue_micros").isNotNull()
+    aggs = []
+    for k, _, _ in _KINDS:
+        w = F.col(f"w_{k}")
+        aggs += [F.sum(w).alias(f"n_{k}"),
+                 F.sum(F.col("minutes_to_purchase") * w).alias(f"m_{k}"),
+                 F.sum(F.when(has_rev, w)).alias(f"nr_{k}"),
+                 F.sum(F.col("revenue_micros") * w).alias(f"r_{k}")]
+    return p.groupBy("event_date").agg(*aggs)
+
+
+def _kind_rows(daily: DataFrame) -> DataFrame:
+    """Daily rows of both groups (a group's row only where it has purchases)."""
+    parts = F.array(*[F.struct(
+        F.lit(label).alias("result_type"),
+        F.col(f"n_{k}").alias("n"), F.col(f"m_{k}").alias("m"),
+        F.col(f"nr_{k}").alias("nr"), F.col(f"r_{k}").alias("r")) for k, label, _ in _KINDS])
+    rows = daily.select(F.col("event_date").alias("purchase_date"), F.inline(parts)).where(F.col("n") > 0)
+    return rows.select(
+        "purchase_date",
+        round2_ratio(F.col("m"), F.col("n")).alias("avg_minutes_to_purchase"),
+        F.col("n").alias("no_of_purchases"),
+        round2_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS).alias("avg_revenue"),
+        "result_type",
+        round_half_up_ratio(F.col("m"), F.col("n"), 100).alias("_mc"),
+        round_half_up_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS, 100).alias("_rc"),
+    )
 
 
-def clean_vs_overall(events: DataFrame, labeled: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
-                     fanout: str = "reference", spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
+def _summaries(rows: DataFrame) -> DataFrame:
+    """Mean of the rounded daily means per group (one global aggregate)."""
+    aggs = []
+    for _, label, _ in _KINDS:
+        is_k = F.col("result_type") == label
+        aggs += [F.sum(F.when(is_k, F.col("_mc"))).alias(f"mc_{label}"),
+                 F.count_if(is_k).alias(f"d_{label}"),
+                 F.sum(F.when(is_k, F.col("no_of_purchases"))).alias(f"n_{label}"),
+                 F.sum(F.when(is_k, F.col("_rc"))).alias(f"rc_{label}"),
+                 F.count(F.when(is_k, F.col("_rc"))).alias(f"rd_{label}")]
+    s = rows.agg(*aggs)
+    parts = F.array(*[F.struct(
+        F.lit(summary).alias("result_type"),
+        round2_ratio(F.col(f"mc_{label}"), F.col(f"d_{label}") * 100).alias("avg_minutes_to_purchase"),
+        F.col(f"n_{label}").alias("no_of_purchases"),
+        round2_ratio(F.col(f"rc_{label}"), F.col(f"rd_{label}") * 100).alias("avg_revenue"),
+        round_half_up_ratio(F.col(f"mc_{label}"), F.col(f"d_{label}"), 1).alias("_mc"))
+        for _, label, summary in _KINDS])
+    return s.select(F.lit(None).cast("date").alias("purchase_date"), F.inline(parts))
+
+
+def clean_vs_overall(events: DataFrame, labeled: DataFrame | None = None,
+                     cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+                     spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Daily 'Overall' and 'Clean Path' rows plus their two summary rows
-    (mean of rounded daily means), ordered by date then result type."""
-    overall, clean = clean_vs_overall_parts(events, labeled, cutoff, fanout, spec)
+    (mean of rounded daily means), ordered by date then result type.
+    ``labeled`` is accepted for symmetry; labels are derived inside the one
+    pass over ``events``."""
+    rows = _kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, fanout))
     cols = ["purchase_date", "avg_minutes_to_purchase", "no_of_purchases",
-            F.col("avg_revenue").alias("overall_avg_revenue_purchase")]
-    out = (overall.select(*cols, F.lit("Overall").alias("result_type"))
-           .unionByName(clean.select(*cols, F.lit("Clean Path").alias("result_type")))
-           .unionByName(_summary(overall).select(*cols, F.lit("Overall Average").alias("result_type")))
-           .unionByName(_summary(clean).select(*cols, F.lit("Clean Path Average").alias("result_type"))))
+            F.col("avg_revenue").alias("overall_avg_revenue_purchase"), "result_type"]
+    out = rows.select(*cols).unionByName(_summaries(rows).select(*cols))
     return present(out, F.asc_nulls_first("purchase_date"), "result_type")
 
 
-def aov_candidates(events: DataFrame, labeled: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
+def aov_candidates(events: DataFrame, labeled: DataFrame | None = None,
+                   cutoff: _dt.date | None = DEFAULTS.cutoff,
                    spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """The transaction-weighted AOV next to the two rejected
-    estimators (mean of daily mean revenue, overall and clean path)."""
-    overall, clean = clean_vs_overall_parts(events, labeled, cutoff, "reference", spec)
-    aov = average_order_value(events, cutoff).select(
-        F.lit("transaction_weighted").alias("candidate"), F.col("aov").alias("value"),
-        F.lit(True).alias("chosen"))
-    o = _summary(overall).select(F.lit("overall_daily_mean").alias("candidate"),
-                                 F.col("avg_revenue").alias("value"), F.lit(False).alias("chosen"))
-    c = _summary(clean).select(F.lit("clean_path_daily_mean").alias("candidate"),
-                               F.col("avg_revenue").alias("value"), F.lit(False).alias("chosen"))
-    return aov.unionByName(o).unionByName(c)
-
-
-def clean_path_speedup(events: DataFrame, labeled: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
-                       fanout: str = "reference", spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
+    estimators (mean of daily mean revenue, overall and clean path). The
+    AOV is the exact sum of purchase cents over the purchase count of the
+    same per-day table."""
+    paths = purchase_day_paths(events, spec)
+    rows = _kind_rows(_daily_both(paths, cutoff, "reference"))
+    s = _summaries(rows)
+    est = s.select(F.when(F.col("result_type") == "Overall Average", "overall_daily_mean")
+                   .otherwise("clean_path_daily_mean").alias("candidate"),
+                   F.col("avg_revenue").alias("value"), F.lit(False).alias("chosen"))
+    aov = until(paths, cutoff).agg(
+        (F.sum("revenue_cents").cast("double") / 100 / F.sum("revenue_events")).alias("value")).select(
+        F.lit("transaction_weighted").alias("candidate"), "value", F.lit(True).alias("chosen"))
+    return aov.unionByName(est)
+
+
+def clean_path_speedup(events: DataFrame, labeled: DataFrame | None = None,
+                       cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+                       spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Summary minutes of both groups and the speed-up of the clean
     path in percent, 1 - clean / overall."""
-    overall, clean = clean_vs_overall_parts(events, labeled, cutoff, fanout, spec)
-    o = _summary(overall).select(F.col("avg_minutes_to_purchase").alias("overall_avg_minutes"),
-                                 F.col("_mc").alias("_o"))
-    c = _summary(clean).select(F.col("avg_minutes_to_purchase").alias("clean_avg_minutes"),
-                               F.col("_mc").alias("_c"))
-    return o.crossJoin(c).select(
-        "overall_avg_minutes", "clean_avg_minutes",
-        round2_ratio((F.col("_o") - F.col("_c")) * 100, F.col("_o")).alias("speedup_prct"))
+    s = _summaries(_kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, fanout)))
+    is_all = F.col("result_type") == "Overall Average"
+    r = s.agg(F.max(F.when(is_all, F.col("avg_minutes_to_purchase"))).alias("overall_avg_minutes"),
+              F.max(F.when(~is_all, F.col("avg_minutes_to_purchase"))).alias("clean_avg_minutes"),
+              F.max(F.when(is_all, F.col("_mc"))).alias("_o"),
+              F.max(F.when(~is_all, F.col("_mc"))).alias("_c"))
+    return r.select("overall_avg_minutes", "clean_avg_minutes",
+                    round2_ratio((F.col("_o") - F.col("_c")) * 100, F.col("_o")).alias("speedup_prct"))

@@ -81,17 +81,29 @@ def purchase_duration_by(events: DataFrame, segment: SegmentSpec = DEFAULTS.segm
 def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
                     cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
     """The segment with the highest summary time to purchase and its gap
-    to the all-traffic summary (top-1 is the feature: ``limit(1)``)."""
+    to the all-traffic summary. The per-segment summaries and the overall
+    one are stacked and reduced by one global aggregate: the top segment is
+    ``min_by`` on (-minutes, browser, OS), the overall value a conditional
+    max (no sort job, no join)."""
     keys = tuple(segment.keys)
     seg = summarize_daily(daily_duration(user_day_facts(events, segment=segment, cutoff=cutoff), keys), keys)
-    overall = summarize_daily(daily_duration(user_day_facts(events, cutoff=cutoff))).select(
-        F.col("avg_minutes_to_purchase").alias("overall_avg_minutes"),
-        F.col("avg_cents").alias("overall_cents"))
-    top = seg.orderBy(F.desc("avg_cents"), *[F.asc(k) for k in keys]).limit(1)
-    return top.crossJoin(overall).select(
-        *keys,
-        "avg_minutes_to_purchase",
-        "no_of_purchases",
+    overall = summarize_daily(daily_duration(user_day_facts(events, cutoff=cutoff)))
+    rows = seg.select(F.lit(False).alias("_all"), *keys, "avg_minutes_to_purchase", "no_of_purchases",
+                      "avg_cents").unionByName(
+        overall.select(F.lit(True).alias("_all"), *[F.lit(None).cast("string").alias(k) for k in keys],
+                       "avg_minutes_to_purchase", "no_of_purchases", "avg_cents"))
+    top = F.min_by(F.struct(*keys, "avg_minutes_to_purchase", "no_of_purchases", "avg_cents"),
+                   F.struct("_all", -F.col("avg_cents"), *keys))
+    red = rows.agg(
+        top.alias("_top"),
+        F.max(F.when(F.col("_all"), F.col("avg_minutes_to_purchase"))).alias("overall_avg_minutes"),
+        F.max(F.when(F.col("_all"), F.col("avg_cents"))).alias("_oc"),
+        F.count_if(~F.col("_all")).alias("_segments"),
+    ).where(F.col("_segments") > 0)
+    return red.select(
+        *[F.col("_top")[k].alias(k) for k in keys],
+        F.col("_top.avg_minutes_to_purchase").alias("avg_minutes_to_purchase"),
+        F.col("_top.no_of_purchases").alias("no_of_purchases"),
         "overall_avg_minutes",
-        ((F.col("avg_cents") - F.col("overall_cents")).cast("double") / 100).alias("gap_minutes"),
+        ((F.col("_top.avg_cents") - F.col("_oc")).cast("double") / 100).alias("gap_minutes"),
     )

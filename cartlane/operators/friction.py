@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import DEFAULTS, CheckoutSpec
+from cartlane.config import DEFAULTS, PURCHASE, CheckoutSpec
+from cartlane.functions.labels import lag_names
 from cartlane.functions.numeric import round2, round2_ratio
 from cartlane.operators import sequences as S
+from cartlane.plans.combine import side_by_side
 from cartlane.sources.fixture import MICROS_PER_DAY
 
 SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "revenue_at_risk",
@@ -21,10 +23,48 @@ SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "r
                    "avg_payment_touches", "user_avg_payment_touches", "max_payment_touches")
 
 
-def _segment_row(frictioned: DataFrame, segment: str, label: str, aov: float) -> DataFrame:
+def friction_churner_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
+                            bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+    groups = S.friction_counts(S.churner_sequences(labeled, spec, bucket_us), spec.history)
+    return groups.where(S.churn_friction_predicate())
+
+
+def friction_completer_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
+                              bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+    groups = S.friction_counts(S.completer_sequences(labeled, spec, bucket_us), spec.history)
+    return groups.where(S.completer_friction_predicate())
+
+
+SEGMENTS = (
+    ("churner", "Friction Churners", "Lost Revenue"),
+    ("completer", "Friction Completers", "At-Risk Revenue Retained"),
+)
+
+
+def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
+                      bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+    """One row per segment (Friction Churners, Friction Completers).
+
+    The reference runs two pipelines over the same history. Here both are
+    one chain: history rows are tagged completer (purchase) or churner (last
+    event of a never-purchasing user, on a checkout step), grouped by
+    (kind, sequence) once, filtered by each kind's friction rule and reduced
+    to one row per kind. An empty segment still yields its row (0
+    sequences, NULL sums) as the reference's global aggregates do."""
+    names = lag_names(spec.history)
+    frame = S.history_frame(labeled, spec.history, bucket_us)
+    is_comp = F.col(S.LABEL) == PURCHASE
+    is_churn = S.churn_row_predicate(spec)
+    rows = frame.where(is_comp | is_churn).select(
+        F.when(is_comp, "completer").otherwise("churner").alias("kind"),
+        F.col(S.LABEL).alias("last_event"), *names, S.USER)
+    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]),
+                               spec.history)
+    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate())
+                              | ((F.col("kind") == "completer") & S.completer_friction_predicate()))
     touches = F.col("pay_meth_count") + F.col("add_pay_count")
-    g = frictioned.agg(
-        F.count(F.lit(1)).alias("sequences"),
+    per_kind = frictioned.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.sum("users").alias("affected_users"),
         F.sum("begin_checkout_count").alias("_bc"),
         F.sum(F.col("begin_checkout_count") * F.col("users")).alias("_bc_w"),
@@ -33,41 +73,25 @@ def _segment_row(frictioned: DataFrame, segment: str, label: str, aov: float) ->
         F.sum(touches * F.col("users")).alias("_pt_w"),
         F.max(touches).alias("max_payment_touches"),
     )
-    return g.select(
-        F.lit(segment).alias("segment"),
-        F.lit(label).alias("revenue_label"),
-        "sequences",
+    # Constant two-row table of the segments (size fixed by the code).
+    kinds = labeled.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(i).alias("_order"), F.lit(seg).alias("segment"),
+                 F.lit(lab).alias("revenue_label")) for i, (k, seg, lab) in enumerate(SEGMENTS)])))
+    seg = F.broadcast(kinds).join(per_kind, "kind", "left")
+    seqs = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
+    out = seg.select(
+        "_order", "segment", "revenue_label",
+        seqs.alias("sequences"),
         "affected_users",
         round2(F.col("affected_users").cast("double") * F.lit(float(aov))).alias("revenue_at_risk"),
-        (F.col("_bc").cast("double") / F.col("sequences")).alias("avg_begin_checkout"),
+        (F.col("_bc").cast("double") / seqs).alias("avg_begin_checkout"),
         round2_ratio(F.col("_bc_w"), F.col("affected_users")).alias("user_avg_begin_checkout"),
         "max_begin_checkout",
-        (F.col("_pt").cast("double") / F.col("sequences")).alias("avg_payment_touches"),
+        (F.col("_pt").cast("double") / seqs).alias("avg_payment_touches"),
         round2_ratio(F.col("_pt_w"), F.col("affected_users")).alias("user_avg_payment_touches"),
         "max_payment_touches",
     )
-
-
-def friction_churner_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                            bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
-    groups = S.friction_counts(S.churner_sequences(labeled, spec, bucket_us), spec.history)
-    return groups.where(S.churn_friction_predicate())
-
-
-def friction_completer_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                              bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
-    groups = S.friction_counts(S.completer_sequences(labeled, spec, bucket_us), spec.history)
-    return groups.where(S.completer_friction_predicate())
-
-
-def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                      bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
-    """One row per segment (Friction Churners, Friction Completers)."""
-    churn = _segment_row(friction_churner_groups(labeled, spec, bucket_us),
-                         "Friction Churners", "Lost Revenue", aov)
-    comp = _segment_row(friction_completer_groups(labeled, spec, bucket_us),
-                        "Friction Completers", "At-Risk Revenue Retained", aov)
-    return churn.unionByName(comp)
+    return out.coalesce(1).sortWithinPartitions("_order").drop("_order")
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
@@ -83,7 +107,7 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
     )
     affected = friction_churner_groups(labeled, spec, bucket_us).agg(
         F.coalesce(F.sum("users"), F.lit(0)).alias("friction_affected_users"))
-    return users.crossJoin(affected).select(
+    return side_by_side(users, affected).select(
         "churner_rows", "checkout_churners", "friction_affected_users", "friction_churners_distinct",
         round2_ratio(F.col("friction_affected_users") * 100, F.col("checkout_churners")).alias("friction_share_prct"),
         round2_ratio(F.col("friction_churners_distinct") * 100, F.col("checkout_churners"))

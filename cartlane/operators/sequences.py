@@ -5,13 +5,22 @@ Skew design of the history (W10)
 ``LAG(label, k) OVER (PARTITION BY user ORDER BY ts)`` sends each user to
 one task; a bot-like user holding a third of all events would make that
 one task hold a third of the data. Instead events are windowed per
-(user, time bucket) -- one day of the event timestamp by default -- and the
-first ``n`` rows of each bucket take their missing history from a *carry*:
-the last ``n`` labels before the bucket, built from at most ``n`` labels
-per bucket (bounded arrays) with a small window over buckets. The result is
-identical to the per-user LAG, the only large shuffle is the one on
-(user, bucket), and a hot user is spread over as many tasks as it has
-active buckets. ``bucket_us=None`` gives the plain per-user window.
+(user, time bucket) -- one day of the event timestamp by default:
+
+* *body* rows (neither among the first ``n`` nor the last ``n`` rows of
+  their bucket, nor tied with its last timestamp) already have their
+  complete history from the bucket-local LAG;
+* *edge* rows (at most ``2n`` per bucket, plus ties at the bucket's last
+  timestamp) go through a second, per-user window over this reduced set.
+  For a bucket's first ``n`` rows every predecessor within distance ``n``
+  is itself an edge row, so the LAG over the reduced set is exact; the same
+  window yields the per-user facts the churn operators need (last
+  timestamp, ever purchased).
+
+Both branches read the same exchange of the (user, bucket) window (one
+scan, one large shuffle); the per-user shuffle moves only edge rows. A hot
+user is spread over as many tasks as it has active buckets.
+``bucket_us=None`` gives the plain per-user window.
 
 The order is total: (event_timestamp, event_seq). The reference orders by
 timestamp only, which leaves tied events (Payment Method and
@@ -31,86 +40,87 @@ USER = "user_pseudo_id"
 LABEL = "event_label"
 _B = "_bucket"
 _POS = "_pos"
-_LAST = "_at_bucket_last"
+USER_LAST_US = "_user_last_us"
+USER_PURCHASED = "_user_purchased"
+_BASE = (USER, "event_date", "event_timestamp", "event_us", "event_seq", LABEL)
 
 
-def _history_frame(labeled: DataFrame, n: int, bucket_us: int | None) -> DataFrame:
+def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history,
+                  bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+    """Labelled events with ``n`` lag columns and, on the rows that can be a
+    user's last event, the user's last timestamp and purchase flag (NULL on
+    the other rows)."""
     names = lag_names(n)
-    base = labeled.select(USER, "event_date", "event_timestamp", "event_us", "event_seq", LABEL)
+    base = labeled.select(*_BASE)
+    is_purchase = F.col(LABEL) == PURCHASE
     if bucket_us is None:
         w = Window.partitionBy(USER).orderBy("event_us", "event_seq")
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return base.select(
-            "*", F.lit(0).cast("long").alias(_B),
-            *[F.lag(LABEL, k).over(w).alias(names[k - 1]) for k in range(1, n + 1)],
-            (F.col("event_us") == F.max("event_us").over(whole)).alias(_LAST))
+            *_BASE, *[F.lag(LABEL, k).over(w).alias(names[k - 1]) for k in range(1, n + 1)],
+            F.max("event_us").over(whole).alias(USER_LAST_US),
+            F.bool_or(is_purchase).over(whole).alias(USER_PURCHASED))
 
     ev = base.withColumn(_B, F.floor(F.col("event_us") / F.lit(bucket_us)).cast("long"))
     w = Window.partitionBy(USER, _B).orderBy("event_us", "event_seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = ev.select(
-        "*",
+        *_BASE,
         F.row_number().over(w).alias(_POS),
-        *[F.lag(LABEL, k).over(w).alias("_l" + str(k)) for k in range(1, n + 1)],
+        *[F.lag(LABEL, k).over(w).alias(f"_l{k}") for k in range(1, n + 1)],
         F.lead(F.lit(1), n).over(w).isNull().alias("_tail"),
-        (F.col("event_us") == F.max("event_us").over(whole)).alias(_LAST),
+        (F.col("event_us") == F.max("event_us").over(whole)).alias("_blast"),
+        F.bool_or(is_purchase).over(whole).alias("_bp"),
     )
-    # Last n labels of every (user, bucket): at most n elements per group.
-    tails = local.where("_tail").groupBy(USER, _B).agg(
-        F.sort_array(F.collect_list(F.struct("event_us", "event_seq", LABEL))).alias("_t"))
-    tails = tails.select(USER, _B, F.transform("_t", lambda s: s[LABEL]).alias("_tail_labels"))
-    # Carry = last n labels of the (at most n) preceding non-empty buckets.
-    wb = Window.partitionBy(USER).orderBy(_B).rowsBetween(-n, -1)
-    carry = tails.select(
-        USER, _B, F.sort_array(F.collect_list(F.struct(_B, "_tail_labels")).over(wb)).alias("_prev"))
-    carry = carry.select(USER, _B, F.flatten(F.transform("_prev", lambda s: s["_tail_labels"])).alias("_c"))
-    carry = carry.select(USER, _B, F.slice("_c", F.greatest(F.size("_c") - n + 1, F.lit(1)), n).alias("_carry"))
-
-    joined = local.join(carry, [USER, _B], "left")
-    size = F.size("_carry")
-    lags = [
-        F.when(F.col(_POS) > k, F.col("_l" + str(k)))
-        .otherwise(F.get(F.col("_carry"), size - (F.lit(k) - F.col(_POS)) - 1)).alias(names[k - 1])
-        for k in range(1, n + 1)
-    ]
-    return joined.select(USER, "event_date", "event_timestamp", "event_us", "event_seq", LABEL, _B,
-                         *lags, _LAST)
+    is_edge = (F.col(_POS) <= n) | F.col("_tail") | F.col("_blast")
+    body = local.where(~is_edge).select(
+        *_BASE, *[F.col(f"_l{k}").alias(names[k - 1]) for k in range(1, n + 1)],
+        F.lit(None).cast("long").alias(USER_LAST_US), F.lit(None).cast("boolean").alias(USER_PURCHASED))
+    wu = Window.partitionBy(USER).orderBy("event_us", "event_seq")
+    uwhole = wu.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = local.where(is_edge).select(
+        *_BASE,
+        *[F.when(F.col(_POS) <= n, F.lag(LABEL, k).over(wu)).otherwise(F.col(f"_l{k}")).alias(names[k - 1])
+          for k in range(1, n + 1)],
+        F.max("event_us").over(uwhole).alias(USER_LAST_US),
+        F.bool_or("_bp").over(uwhole).alias(USER_PURCHASED),
+    )
+    return body.unionByName(edge)
 
 
 def prior_events(labeled: DataFrame, n: int = DEFAULTS.checkout.history,
                  bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
     """Every labelled event with the ``n`` previous labels of the same
     user (across days, as in the reference)."""
-    return _history_frame(labeled, n, bucket_us).select(
+    return history_frame(labeled, n, bucket_us).select(
         USER, "event_date", "event_timestamp", "event_seq", LABEL, *lag_names(n))
 
 
+def churn_row_predicate(spec: CheckoutSpec = DEFAULTS.checkout):
+    """Row at the user's last timestamp, label a checkout step, user never
+    purchased (the reference's MAX join plus NOT IN)."""
+    return ((F.col("event_us") == F.col(USER_LAST_US)) & ~F.col(USER_PURCHASED)
+            & F.col(LABEL).isin(*spec.churn_steps))
+
+
 def checkout_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
                       bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
     """Rows at each user's last labelled timestamp (ties kept) whose
-    label is a checkout step, for users who never purchased.
-
-    Per-user facts (last timestamp, ever purchased) are a partial
-    aggregate; candidate rows are only those at the last timestamp of their
-    bucket, so the join on user moves a handful of rows per user."""
-    names = lag_names(spec.history)
-    frame = _history_frame(labeled, spec.history, bucket_us)
-    users = frame.groupBy(USER).agg(
-        F.max("event_us").alias("_last_us"),
-        F.bool_or(F.col(LABEL) == PURCHASE).alias("_purchased"),
-    ).where(~F.col("_purchased"))
-    cand = frame.where(F.col(_LAST) & F.col(LABEL).isin(*spec.churn_steps))
-    return cand.join(users, USER).where(F.col("event_us") == F.col("_last_us")).select(
-        USER, "event_date", "event_timestamp", F.col(LABEL).alias("churn_event"), *names)
+    label is a checkout step, for users who never purchased. No join: the
+    per-user facts come with the history frame."""
+    frame = history_frame(labeled, spec.history, bucket_us)
+    return frame.where(churn_row_predicate(spec)).select(
+        USER, "event_date", "event_timestamp", F.col(LABEL).alias("churn_event"), *lag_names(spec.history))
 
 
-def group_sequences(rows: DataFrame, event_col: str, out_col: str, n: int = DEFAULTS.checkout.history) -> DataFrame:
+def group_sequences(rows: DataFrame, event_col: str, out_col: str, n: int = DEFAULTS.checkout.history,
+                    extra_keys: list[str] | None = None) -> DataFrame:
     """One row per distinct (event, n previous labels): occurrences and
     distinct users. NULL lags group together. COUNT DISTINCT is planned as a
     two-level aggregate on (sequence, user) then sequence, so a very common
     sequence is spread over users before it is merged."""
     names = lag_names(n)
-    return rows.groupBy(F.col(event_col).alias(out_col), *names).agg(
+    return rows.groupBy(*(extra_keys or []), F.col(event_col).alias(out_col), *names).agg(
         F.count(F.lit(1)).alias("sequences"),
         F.countDistinct(USER).alias("users"),
     )

@@ -1,0 +1,26 @@
+"""Side-by-side combination of one-row results without a join.
+
+Each input is a single-row aggregate with its own columns. They are stacked
+(missing columns NULL) and collapsed by one global aggregate, which picks
+the one non-NULL value of each column. No cross join, no nested-loop plan.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    cols: list[str] = []
+    for r in rows:
+        cols += [c for c in r.columns if c not in cols]
+    types = {}
+    for r in rows:
+        types.update(dict(r.dtypes))
+    padded = [r.select(*[F.col(c) if c in r.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
+              for r in rows]
+    stacked = reduce(DataFrame.unionByName, padded)
+    return stacked.agg(*[F.max(c).alias(c) for c in cols])

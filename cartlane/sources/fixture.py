@@ -56,18 +56,23 @@ SEGMENT_OS = ("Macintosh", "Windows", "iOS", "Android", "Macintosh", "iOS", "Win
 MICROS_PER_DAY = 86_400_000_000
 
 
-def _template_map() -> Column:
-    """``map<event_type, array<struct<kmin,kmax,step,off,event_name,page_title>>>``."""
-    by_type: dict[str, list[Column]] = {}
+def _sql_str(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + str(v).replace("'", "\\'") + "'"
+
+
+def _template_sql() -> str:
+    """The template as one SQL literal (a single JVM call to build):
+    ``map<event_type, array<struct<kmin,kmax,step,off,event_name,page_title>>>``."""
+    by_type: dict[str, list[str]] = {}
     for etype, kmin, kmax, step, off, name, title in JOURNEY_TEMPLATE:
-        by_type.setdefault(etype, []).append(F.struct(
-            F.lit(kmin).alias("kmin"), F.lit(kmax).alias("kmax"), F.lit(step).alias("step"),
-            F.lit(off).alias("off"), F.lit(name).alias("event_name"),
-            F.lit(title).cast("string").alias("page_title")))
-    kv: list[Column] = []
-    for etype, rows in by_type.items():
-        kv += [F.lit(etype), F.array(*rows)]
-    return F.create_map(*kv)
+        by_type.setdefault(etype, []).append(
+            f"named_struct('kmin', {kmin}, 'kmax', {kmax}, 'step', {step}, 'off', {off}, "
+            f"'event_name', {_sql_str(name)}, 'page_title', {_sql_str(title)})")
+    return "map(" + ", ".join(f"{_sql_str(t)}, array({', '.join(rows)})" for t, rows in by_type.items()) + ")"
+
+
+def _lookup_sql(values: tuple[str, ...], index_col: str) -> str:
+    return f"element_at(array({', '.join(_sql_str(v) for v in values)}), {index_col} + 1)"
 
 
 def _ntz_to_micros(ts: Column) -> Column:
@@ -92,11 +97,10 @@ def adapt_events(events: DataFrame) -> DataFrame:
         (_ntz_to_micros(F.col("ts")) if dict(events.dtypes)["ts"] == "timestamp_ntz"
          else F.unix_micros("ts")).alias("us"),
     )
-    journey = F.filter(F.element_at(_template_map(), F.col("event_type")),
-                       lambda t: F.col("k").between(t["kmin"], t["kmax"]))
-    expanded = src.select("*", F.inline(journey))
-    seg = ((F.col("user_id") * 10 + F.col("k") % 10
-            + F.when(F.col("event_id") % 20 == 0, 3).otherwise(0)) % 8).cast("int")
+    journey = F.expr(f"inline(filter(element_at({_template_sql()}, event_type), "
+                     f"t -> k BETWEEN t.kmin AND t.kmax))")
+    expanded = src.select("*", journey)
+    seg = "CAST((user_id * 10 + k % 10 + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END) % 8 AS INT)"
     event_ts = F.col("us") + F.col("off").cast("long") * 1_000_000 * (F.col("k") % 7 + 1)
     return expanded.select(
         F.concat(F.col("user_id").cast("string"), F.lit("."), (F.col("k") % 10).cast("string"))
@@ -105,8 +109,8 @@ def adapt_events(events: DataFrame) -> DataFrame:
         F.col("page_title"),
         _micros_to_yyyymmdd(event_ts).alias("event_date"),
         event_ts.alias("event_timestamp"),
-        F.element_at(F.array(*[F.lit(b) for b in SEGMENT_BROWSER]), seg + 1).alias("browser"),
-        F.element_at(F.array(*[F.lit(o) for o in SEGMENT_OS]), seg + 1).alias("operating_system"),
+        F.expr(_lookup_sql(SEGMENT_BROWSER, seg)).alias("browser"),
+        F.expr(_lookup_sql(SEGMENT_OS, seg)).alias("operating_system"),
         F.when(F.col("event_name") == "purchase", F.col("value")).alias("purchase_revenue_in_usd"),
         (F.col("event_id") * 10 + F.col("step")).alias("event_seq"),
     ).select(*RAW_COLUMNS)
@@ -114,7 +118,15 @@ def adapt_events(events: DataFrame) -> DataFrame:
 
 def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_events derived from ``{sf_dir}/events.parquet`` (only the six
-    columns the adapter needs are read)."""
+    columns the adapter needs are read).
+
+    A source that yields fewer scan splits than the cluster has cores (a
+    small single-row-group file) is spread round-robin first, so the
+    four-fold expansion does not run in one task. A large table has at
+    least that many splits and is never reshuffled."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type", "value", "props")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
     return adapt_events(events)
