@@ -19,6 +19,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Python call-site capture for error messages costs one JVM round trip
+    # per Column call while a plan is built; off for batch jobs.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

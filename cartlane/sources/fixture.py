@@ -85,7 +85,8 @@ def _ntz_to_micros(ts: Column) -> Column:
 
 
 def _micros_to_yyyymmdd(us: Column) -> Column:
-    return F.date_format(F.date_from_unix_date(F.floor(us / MICROS_PER_DAY).cast("int")), "yyyyMMdd")
+    d = F.date_from_unix_date(F.floor(us / MICROS_PER_DAY).cast("int"))
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string")
 
 
 def adapt_events(events: DataFrame) -> DataFrame:
@@ -97,9 +98,8 @@ def adapt_events(events: DataFrame) -> DataFrame:
         (_ntz_to_micros(F.col("ts")) if dict(events.dtypes)["ts"] == "timestamp_ntz"
          else F.unix_micros("ts")).alias("us"),
     )
-    journey = F.expr(f"inline(filter(element_at({_template_sql()}, event_type), "
-                     f"t -> k BETWEEN t.kmin AND t.kmax))")
-    expanded = src.select("*", journey)
+    journey = F.expr(f"inline(element_at({_template_sql()}, event_type))")
+    expanded = src.select("*", journey).where(F.col("k").between(F.col("kmin"), F.col("kmax")))
     seg = "CAST((user_id * 10 + k % 10 + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END) % 8 AS INT)"
     event_ts = F.col("us") + F.col("off").cast("long") * 1_000_000 * (F.col("k") % 7 + 1)
     return expanded.select(
