@@ -24,21 +24,22 @@ def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates:
     operator and makes the reference's ``NOT IN`` equal to an anti-join):
     ``on_null_user`` is ``"raise"`` (default) or ``"drop"``.
     """
-    user = F.col("user_pseudo_id")
     if on_null_user == "raise":
-        user = F.when(user.isNull(), F.raise_error(F.lit("raw_events: NULL user_pseudo_id"))).otherwise(user)
+        user = ("CASE WHEN user_pseudo_id IS NULL THEN raise_error('raw_events: NULL user_pseudo_id') "
+                "ELSE user_pseudo_id END AS user_pseudo_id")
     elif on_null_user == "drop":
-        raw = raw.where(F.col("user_pseudo_id").isNotNull())
+        raw = raw.where("user_pseudo_id IS NOT NULL")
+        user = "user_pseudo_id"
     else:
         raise ValueError("on_null_user must be 'raise' or 'drop'")
-    parse = F.try_to_date if lenient_dates else F.to_date
-    return raw.select(
-        user.alias("user_pseudo_id"),
+    parse = "try_to_date" if lenient_dates else "to_date"
+    return raw.selectExpr(
+        user,
         "event_name",
         "page_title",
-        parse(F.col("event_date"), "yyyyMMdd").alias("event_date"),
-        F.timestamp_micros("event_timestamp").alias("event_timestamp"),
-        F.col("event_timestamp").alias("event_us"),
+        f"{parse}(event_date, 'yyyyMMdd') AS event_date",
+        "timestamp_micros(event_timestamp) AS event_timestamp",
+        "event_timestamp AS event_us",
         "browser",
         "operating_system",
         "purchase_revenue_in_usd",

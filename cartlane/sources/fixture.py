@@ -10,10 +10,8 @@ literal inside the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.sources.raw_events import RAW_COLUMNS
 
 # --- fixed values: journey template (event_type, kmin, kmax, step, off_s,
 # event_name, page_title); the same table is used by the DuckDB oracle. -----
@@ -75,57 +73,53 @@ def _lookup_sql(values: tuple[str, ...], index_col: str) -> str:
     return f"element_at(array({', '.join(_sql_str(v) for v in values)}), {index_col} + 1)"
 
 
-def _ntz_to_micros(ts: Column) -> Column:
-    """Epoch microseconds of a TIMESTAMP_NTZ read as UTC, independent of the
-    session time zone."""
-    day = F.unix_date(ts.cast("date")).cast("long")
-    tod = (F.hour(ts).cast("long") * 3600 + F.minute(ts).cast("long") * 60) * 1_000_000
-    sec = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
-    return day * MICROS_PER_DAY + tod + sec
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
+# Epoch microseconds of a TIMESTAMP_NTZ read as UTC: TIMESTAMPDIFF on NTZ
+# values is evaluated in UTC whatever the session time zone is.
+_NTZ_MICROS = "TIMESTAMPDIFF(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+_EVENT_US = "us + CAST(off AS BIGINT) * 1000000 * (k % 7 + 1)"
+_SEG = "CAST((user_id * 10 + k % 10 + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END) % 8 AS INT)"
 
-def _micros_to_yyyymmdd(us: Column) -> Column:
-    d = F.date_from_unix_date(F.floor(us / MICROS_PER_DAY).cast("int"))
-    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string")
+
+def _yyyymmdd_sql(us: str) -> str:
+    d = f"date_from_unix_date(CAST(FLOOR(({us}) / {MICROS_PER_DAY}) AS INT))"
+    return f"CAST(year({d}) * 10000 + month({d}) * 100 + dayofmonth({d}) AS STRING)"
 
 
 def adapt_events(events: DataFrame) -> DataFrame:
-    """``events(event_id, ts, user_id, event_type, value, props)`` -> raw_events."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    src = events.select(
-        "event_id", "user_id", "event_type", "value",
-        k.alias("k"),
-        (_ntz_to_micros(F.col("ts")) if dict(events.dtypes)["ts"] == "timestamp_ntz"
-         else F.unix_micros("ts")).alias("us"),
+    """``events(event_id, ts, user_id, event_type, value, props)`` -> raw_events.
+
+    Written as three ``selectExpr`` steps: a narrow projection, a generator
+    over the template literal with a plain filter, and the output
+    projection (one JVM call each while the plan is built)."""
+    ts_micros = _NTZ_MICROS if dict(events.dtypes)["ts"] == "timestamp_ntz" else "unix_micros(ts)"
+    src = events.selectExpr("event_id", "user_id", "event_type", "value",
+                            "CAST(get_json_object(props, '$.k') AS INT) AS k", f"{ts_micros} AS us")
+    expanded = src.selectExpr("*", f"inline(element_at({_template_sql()}, event_type))").where(
+        "k BETWEEN kmin AND kmax")
+    return expanded.selectExpr(
+        "concat(CAST(user_id AS STRING), '.', CAST(k % 10 AS STRING)) AS user_pseudo_id",
+        "event_name",
+        "page_title",
+        f"{_yyyymmdd_sql(_EVENT_US)} AS event_date",
+        f"{_EVENT_US} AS event_timestamp",
+        f"{_lookup_sql(SEGMENT_BROWSER, _SEG)} AS browser",
+        f"{_lookup_sql(SEGMENT_OS, _SEG)} AS operating_system",
+        "CASE WHEN event_name = 'purchase' THEN value END AS purchase_revenue_in_usd",
+        "event_id * 10 + step AS event_seq",
     )
-    journey = F.expr(f"inline(element_at({_template_sql()}, event_type))")
-    expanded = src.select("*", journey).where(F.col("k").between(F.col("kmin"), F.col("kmax")))
-    seg = "CAST((user_id * 10 + k % 10 + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END) % 8 AS INT)"
-    event_ts = F.col("us") + F.col("off").cast("long") * 1_000_000 * (F.col("k") % 7 + 1)
-    return expanded.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("."), (F.col("k") % 10).cast("string"))
-        .alias("user_pseudo_id"),
-        F.col("event_name"),
-        F.col("page_title"),
-        _micros_to_yyyymmdd(event_ts).alias("event_date"),
-        event_ts.alias("event_timestamp"),
-        F.expr(_lookup_sql(SEGMENT_BROWSER, seg)).alias("browser"),
-        F.expr(_lookup_sql(SEGMENT_OS, seg)).alias("operating_system"),
-        F.when(F.col("event_name") == "purchase", F.col("value")).alias("purchase_revenue_in_usd"),
-        (F.col("event_id") * 10 + F.col("step")).alias("event_seq"),
-    ).select(*RAW_COLUMNS)
 
 
 def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_events derived from ``{sf_dir}/events.parquet`` (only the six
-    columns the adapter needs are read).
+    columns the adapter needs are read, with a declared schema).
 
     A source that yields fewer scan splits than the cluster has cores (a
     small single-row-group file) is spread round-robin first, so the
     four-fold expansion does not run in one task. A large table has at
     least that many splits and is never reshuffled."""
-    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     cores = spark.sparkContext.defaultParallelism
     if events.rdd.getNumPartitions() < cores:
         events = events.repartition(cores)
