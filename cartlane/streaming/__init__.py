@@ -1,0 +1,6 @@
+"""Incremental (Structured Streaming) maintenance of the user-day facts."""
+
+from cartlane.streaming.facts_stream import (facts_from_partials, partial_day_aggregates,
+                                             start_partials_stream)
+
+__all__ = ["facts_from_partials", "partial_day_aggregates", "start_partials_stream"]
