@@ -116,11 +116,12 @@ def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns the adapter needs are read, with a declared schema).
 
     A source that yields fewer scan splits than the cluster has cores (a
-    small single-row-group file) is spread round-robin first, so the
+    small single-row-group file) is hash-spread on its unique ``event_id``
+    first (deterministic on retry, no pre-sort as round-robin needs), so the
     four-fold expansion does not run in one task. A large table has at
     least that many splits and is never reshuffled."""
     events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     cores = spark.sparkContext.defaultParallelism
     if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
+        events = events.repartition(cores, "event_id")
     return adapt_events(events)
