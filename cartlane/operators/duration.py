@@ -13,9 +13,11 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import DEFAULTS, SegmentSpec
+from cartlane.config import DEFAULTS, PURCHASE, SegmentSpec
 from cartlane.functions.numeric import cents_of, round2_ratio, round_half_up_ratio
-from cartlane.operators.facts import user_day_facts
+from cartlane.functions.numeric import minutes_between
+from cartlane.operators.events import until
+from cartlane.operators.facts import segment_filter, user_day_facts
 
 
 def present(df: DataFrame, *order) -> DataFrame:
@@ -81,17 +83,33 @@ def purchase_duration_by(events: DataFrame, segment: SegmentSpec = DEFAULTS.segm
 def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
                     cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
     """The segment with the highest summary time to purchase and its gap
-    to the all-traffic summary. The per-segment summaries and the overall
-    one are stacked and reduced by one global aggregate: the top segment is
-    ``min_by`` on (-minutes, browser, OS), the overall value a conditional
-    max (no sort job, no join)."""
+    to the all-traffic summary.
+
+    One pass: a single ``groupBy(user, day)`` computes the facts of all
+    traffic and of the segment-filtered traffic side by side; a generator
+    splits them into two views that share the daily and summary
+    aggregates. The top segment is ``min_by`` on (-minutes, browser, OS)
+    over the bounded set of segment summaries (no sort job, no join)."""
     keys = tuple(segment.keys)
-    seg = summarize_daily(daily_duration(user_day_facts(events, segment=segment, cutoff=cutoff), keys), keys)
-    overall = summarize_daily(daily_duration(user_day_facts(events, cutoff=cutoff)))
-    rows = seg.select(F.lit(False).alias("_all"), *keys, "avg_minutes_to_purchase", "no_of_purchases",
-                      "avg_cents").unionByName(
-        overall.select(F.lit(True).alias("_all"), *[F.lit(None).cast("string").alias(k) for k in keys],
-                       "avg_minutes_to_purchase", "no_of_purchases", "avg_cents"))
+    ev = until(events, cutoff)
+    is_p = F.col("event_name") == PURCHASE
+    in_seg = segment_filter(segment)
+    per_day = ev.groupBy("user_pseudo_id", "event_date").agg(
+        F.min("event_us").alias("fe_all"),
+        F.min(F.when(is_p, F.col("event_us"))).alias("fp_all"),
+        F.min(F.when(in_seg, F.col("event_us"))).alias("fe_seg"),
+        F.min(F.when(is_p & in_seg, F.col("event_us"))).alias("fp_seg"),
+        *[F.max(F.when(is_p & in_seg, F.col(k))).alias(k) for k in keys],
+    )
+    views = F.array(
+        F.struct(F.lit(True).alias("_all"), F.col("fe_all").alias("fe"), F.col("fp_all").alias("fp"),
+                 *[F.lit(None).cast("string").alias(k) for k in keys]),
+        F.struct(F.lit(False).alias("_all"), F.col("fe_seg").alias("fe"), F.col("fp_seg").alias("fp"),
+                 *[F.col(k).alias(k) for k in keys]),
+    )
+    facts = per_day.select("event_date", F.inline(views)).where(F.col("fp").isNotNull()).select(
+        "_all", "event_date", *keys, minutes_between(F.col("fe"), F.col("fp")).alias("minutes_to_purchase"))
+    rows = summarize_daily(daily_duration(facts, ("_all", *keys)), ("_all", *keys))
     top = F.min_by(F.struct(*keys, "avg_minutes_to_purchase", "no_of_purchases", "avg_cents"),
                    F.struct("_all", -F.col("avg_cents"), *keys))
     red = rows.agg(
