@@ -41,20 +41,35 @@ def checkout_start(labeled: DataFrame) -> DataFrame:
         F.min("event_us").alias("checkout_us"))
 
 
+def _count_after_checkout(rows: DataFrame, anchor: DataFrame, anchor_cols: list[str],
+                          spec: CheckoutSpec) -> DataFrame:
+    """Checkpoint occurrences at or after ``checkout_us`` and the purchase
+    flag per (user, day) of ``anchor``, for the anchor days that have rows.
+
+    Inner join, so AQE can split a hot (user, day) on the event side and
+    replicate the single anchor row; grouping on the anchor's own columns
+    keeps them, which lets the caller re-join ``anchor`` through the same
+    (reused) exchange."""
+    after = F.col("event_us") >= F.col("checkout_us")
+    j = rows.join(anchor, KEY, "inner")
+    return j.groupBy(*KEY, *anchor_cols).agg(
+        *[F.count_if((F.col("event_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints],
+        F.bool_or(F.col("event_label") == PURCHASE).alias("purchased"),
+    )
+
+
 def checkpoint_counts(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Per user-day with a begin_checkout: checkpoint occurrences at or after
     the first begin_checkout, and whether the user purchased that day."""
-    cs = checkout_start(labeled)
+    cs = checkout_start(labeled).where(F.col("user_pseudo_id").isNotNull() & F.col("event_date").isNotNull())
     rows = labeled.where(F.col("event_label").isin(*spec.checkpoints, PURCHASE)).select(
         *KEY, "event_label", "event_us")
-    j = cs.join(rows, KEY, "left")
-    after = F.col("event_us") >= F.col("checkout_us")
-    agg = j.groupBy(*KEY, "checkout_us").agg(
-        *[F.count_if((F.col("event_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints],
-        F.coalesce(F.bool_or(F.col("event_label") == PURCHASE), F.lit(False)).alias("purchased"),
-    )
-    return agg.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"),
-                      *[_count_name(c) for c in spec.checkpoints], "purchased")
+    counts = [_count_name(c) for c in spec.checkpoints]
+    counted = _count_after_checkout(rows, cs, ["checkout_us"], spec).select(*KEY, *counts, "purchased")
+    j = cs.join(counted, KEY, "left")
+    return j.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"),
+                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+                    F.coalesce(F.col("purchased"), F.lit(False)).alias("purchased"))
 
 
 def clean_path_user_days(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
@@ -71,8 +86,9 @@ def purchase_day_paths(events: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout
     average purchase revenue and whether the day is a clean path.
 
     One partial aggregate over all events gives the facts and the first
-    checkout time; the checkpoint rows are then left-joined on (user, day)
-    and counted in an aggregate that keeps the join's partitioning."""
+    checkout time; the checkpoint rows are inner-joined to it on
+    (user, day) (skew-splittable) and counted; the counts return to the
+    day table through a one-row-per-key left join."""
     name = F.col("event_name")
     is_purchase = name == PURCHASE
     kept = keep_predicate(spec)
@@ -85,16 +101,19 @@ def purchase_day_paths(events: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout
         F.sum(money_cents(rev)).alias("revenue_cents"),
         F.min(F.when(kept & (label == BEGIN_CHECKOUT), F.col("event_us"))).alias("checkout_us"),
     ).where(F.col("first_purchase_us").isNotNull())
+    # Explicit key constraints: the inner join below would otherwise infer
+    # them on one use of ``days`` only, and the two uses would stop sharing
+    # one exchange.
+    days = days.where(F.col("user_pseudo_id").isNotNull() & F.col("event_date").isNotNull())
     rows = events.where(kept & label.isin(*spec.checkpoints)).select(
-        *KEY, label.alias("_label"), F.col("event_us").alias("_us"))
-    j = days.join(rows, KEY, "left")
-    after = F.col("_us") >= F.col("checkout_us")
-    counted = j.groupBy(*KEY, "first_event_us", "first_purchase_us", "revenue_events", "revenue_cents",
-                        "checkout_us").agg(
-        *[F.count_if((F.col("_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints])
+        *KEY, label.alias("event_label"), "event_us")
+    day_cols = ["first_event_us", "first_purchase_us", "revenue_events", "revenue_cents", "checkout_us"]
+    counts = [_count_name(c) for c in spec.checkpoints]
+    counted = _count_after_checkout(rows, days, day_cols, spec).select(*KEY, *counts)
+    counted = days.join(counted, KEY, "left")
     clean = F.col("checkout_us").isNotNull()
-    for c in spec.checkpoints:
-        clean = clean & (F.col(_count_name(c)) == 1)
+    for c in counts:
+        clean = clean & F.coalesce(F.col(c) == 1, F.lit(False))
     return counted.select(
         *KEY,
         minutes_between(F.col("first_event_us"), F.col("first_purchase_us")).alias("minutes_to_purchase"),
