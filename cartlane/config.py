@@ -43,6 +43,10 @@ ADD_SHIPPING = "add_shipping_info"
 PAYMENT_PAGE = "Payment Method"
 ADD_PAYMENT = "add_payment_info"
 
+# Time bucket of the skew-safe event history (operators.sequences): a hot
+# user is spread over one task per active hour at most.
+HISTORY_BUCKET_US = 3_600_000_000
+
 # Cutoff of the driver fixture (its event dates are in January 2024); the
 # reference analysis used 2021-01-25 on its own data.
 FIXTURE_CUTOFF = _dt.date(2024, 1, 25)

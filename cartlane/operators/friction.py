@@ -16,7 +16,7 @@ from cartlane.functions.labels import lag_names
 from cartlane.functions.numeric import round2, round2_ratio
 from cartlane.operators import sequences as S
 from cartlane.plans.combine import side_by_side
-from cartlane.sources.fixture import MICROS_PER_DAY
+from cartlane.config import HISTORY_BUCKET_US
 
 SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "revenue_at_risk",
                    "avg_begin_checkout", "user_avg_begin_checkout", "max_begin_checkout",
@@ -24,13 +24,13 @@ SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "r
 
 
 def friction_churner_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                            bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                            bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     groups = S.friction_counts(S.churner_sequences(labeled, spec, bucket_us), spec.history)
     return groups.where(S.churn_friction_predicate())
 
 
 def friction_completer_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                              bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                              bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     groups = S.friction_counts(S.completer_sequences(labeled, spec, bucket_us), spec.history)
     return groups.where(S.completer_friction_predicate())
 
@@ -42,7 +42,7 @@ SEGMENTS = (
 
 
 def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                      bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                      bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """One row per segment (Friction Churners, Friction Completers).
 
     The reference runs two pipelines over the same history. Here both are
@@ -95,7 +95,7 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                  bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                  bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Churner rows, distinct checkout churners, friction churners (the
     reference's sum over sequence groups, and distinct), friction share."""
     rows = S.churner_rows_with_friction(labeled, spec, bucket_us)
@@ -116,7 +116,7 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
 
 
 def friction_revenue_total(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                           bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                           bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Friction-affected users of both segments and their revenue."""
     seg = friction_segments(labeled, aov, spec, bucket_us)
     return seg.agg(F.coalesce(F.sum("affected_users"), F.lit(0)).alias("friction_affected_users")).select(

@@ -5,7 +5,7 @@ Skew design of the history (W10)
 ``LAG(label, k) OVER (PARTITION BY user ORDER BY ts)`` sends each user to
 one task; a bot-like user holding a third of all events would make that
 one task hold a third of the data. Instead events are windowed per
-(user, time bucket) -- one day of the event timestamp by default:
+(user, time bucket) -- one hour of the event timestamp by default:
 
 * *body* rows (neither among the first ``n`` nor the last ``n`` rows of
   their bucket, nor tied with its last timestamp) already have their
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cartlane.config import ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import lag_names, occurrences
-from cartlane.sources.fixture import MICROS_PER_DAY
+from cartlane.config import HISTORY_BUCKET_US
 
 USER = "user_pseudo_id"
 LABEL = "event_label"
@@ -46,7 +46,7 @@ _BASE = (USER, "event_date", "event_timestamp", "event_us", "event_seq", LABEL)
 
 
 def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history,
-                  bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                  bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Labelled events with ``n`` lag columns and, on the rows that can be a
     user's last event, the user's last timestamp and purchase flag (NULL on
     the other rows)."""
@@ -89,7 +89,7 @@ def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history,
 
 
 def prior_events(labeled: DataFrame, n: int = DEFAULTS.checkout.history,
-                 bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                 bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Every labelled event with the ``n`` previous labels of the same
     user (across days, as in the reference)."""
     return history_frame(labeled, n, bucket_us).select(
@@ -104,7 +104,7 @@ def churn_row_predicate(spec: CheckoutSpec = DEFAULTS.checkout):
 
 
 def checkout_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                      bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                      bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Rows at each user's last labelled timestamp (ties kept) whose
     label is a checkout step, for users who never purchased. No join: the
     per-user facts come with the history frame."""
@@ -127,13 +127,13 @@ def group_sequences(rows: DataFrame, event_col: str, out_col: str, n: int = DEFA
 
 
 def completer_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                        bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                        bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     seq = prior_events(labeled, spec.history, bucket_us).where(F.col(LABEL) == PURCHASE)
     return group_sequences(seq, LABEL, "current_event", spec.history)
 
 
 def churner_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                      bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                      bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     return group_sequences(checkout_churners(labeled, spec, bucket_us), "churn_event", "last_event", spec.history)
 
 
@@ -167,7 +167,7 @@ def completer_friction_predicate():
 
 
 def churner_rows_with_friction(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                               bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                               bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Churner rows with their friction counts and the F9 flag (row level)."""
     rows = checkout_churners(labeled, spec, bucket_us).withColumnRenamed("churn_event", "last_event")
     rows = friction_counts(rows, spec.history)
@@ -175,7 +175,7 @@ def churner_rows_with_friction(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS
 
 
 def churners_by_last_event(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                           bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                           bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """D3: friction churners by the step they churned on: churn rows,
     sequence groups, affected users (sum over groups, as the reference
     counts) and distinct users."""
@@ -193,7 +193,7 @@ def churners_by_last_event(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.che
 
 
 def payment_step_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                          bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                          bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Churners whose last event is a payment step (Payment Method or
     add_payment_info), and those among them with friction (F9)."""
     rows = churner_rows_with_friction(labeled, spec, bucket_us).where(
@@ -207,7 +207,7 @@ def payment_step_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.chec
 
 
 def shipping_redirects(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                       bucket_us: int | None = MICROS_PER_DAY) -> DataFrame:
+                       bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """begin_checkout immediately after add_shipping_info (a redirect
     back to checkout): events and distinct users."""
     seq = prior_events(labeled, 1, bucket_us)

@@ -121,7 +121,10 @@ def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     four-fold expansion does not run in one task. A large table has at
     least that many splits and is never reshuffled."""
     events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores, "event_id")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if events.rdd.getNumPartitions() < cores:
+            events = events.repartition(cores, "event_id")
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): keep the scan as is
+        pass
     return adapt_events(events)

@@ -39,7 +39,7 @@ def test_history_matches_brute_force(spark, events):
     lab = label_checkout_events(_random_events(events).norm(spark))
     expected = _brute([r.asDict() for r in lab.collect()])
     names = lag_names(5)
-    for bucket in (None, 3_600_000_000, 60_000_000 * 7, S.MICROS_PER_DAY):
+    for bucket in (None, 3_600_000_000, 60_000_000 * 7, 86_400_000_000):
         got = {r.event_seq: tuple(r[c] for c in names) for r in S.prior_events(lab, bucket_us=bucket).collect()}
         assert got == expected, f"bucket {bucket}"
 
