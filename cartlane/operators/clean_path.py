@@ -51,7 +51,10 @@ def _count_after_checkout(rows: DataFrame, anchor: DataFrame, anchor_cols: list[
     keeps them, which lets the caller re-join ``anchor`` through the same
     (reused) exchange."""
     after = F.col("event_us") >= F.col("checkout_us")
-    j = rows.join(anchor, KEY, "inner")
+    # Sort-merge keeps the join output partitioned by (user, day) for the
+    # aggregate (a runtime broadcast would need one more shuffle), and it is
+    # the join AQE can split when a (user, day) is hot.
+    j = rows.join(anchor.hint("merge"), KEY, "inner")
     return j.groupBy(*KEY, *anchor_cols).agg(
         *[F.count_if((F.col("event_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints],
         F.bool_or(F.col("event_label") == PURCHASE).alias("purchased"),
