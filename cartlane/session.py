@@ -22,6 +22,11 @@ SESSION_CONF = {
     # Python call-site capture for error messages costs one JVM round trip
     # per Column call while a plan is built; off for batch jobs.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Keys are non-NULL by contract (normalize_events). Inferred IS NOT NULL
+    # filters on derived keys would be pushed below exchanges into the read
+    # stage and make two uses of one aggregate differ, which defeats
+    # exchange reuse.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromConstraints",
 }
 
 

@@ -96,8 +96,10 @@ def adapt_events(events: DataFrame) -> DataFrame:
     ts_micros = _NTZ_MICROS if dict(events.dtypes)["ts"] == "timestamp_ntz" else "unix_micros(ts)"
     src = events.selectExpr("event_id", "user_id", "event_type", "value",
                             "CAST(get_json_object(props, '$.k') AS INT) AS k", f"{ts_micros} AS us")
+    # coalesce(): a NULL-tolerant predicate, so the optimizer infers no
+    # IS NOT NULL(k) filter to push below a source spread into the read task.
     expanded = src.selectExpr("*", f"inline(element_at({_template_sql()}, event_type))").where(
-        "k BETWEEN kmin AND kmax")
+        "coalesce(k BETWEEN kmin AND kmax, false)")
     return expanded.selectExpr(
         "concat(CAST(user_id AS STRING), '.', CAST(k % 10 AS STRING)) AS user_pseudo_id",
         "event_name",
