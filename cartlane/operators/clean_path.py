@@ -140,7 +140,7 @@ def _daily_both(paths: DataFrame, cutoff: _dt.date | None, fanout: str) -> DataF
         weight = F.when(F.col("clean"), F.lit(1))
     else:
         raise ValueError("fanout must be 'reference' or 'session'")
-    p = paths.select("event_date", "minutes_to_purchase", "revenue_micros",
+    p = paths.select("event_date", "minutes_to_purchase", "revenue_micros", "revenue_cents", "revenue_events",
                      F.lit(1).cast("long").alias("w_all"), weight.cast("long").alias("w_cln"))
     p = until(p, cutoff)
     has_rev = F.col("revenue_micros").isNotNull()
@@ -151,6 +151,7 @@ def _daily_both(paths: DataFrame, cutoff: _dt.date | None, fanout: str) -> DataF
                  F.sum(F.col("minutes_to_purchase") * w).alias(f"m_{k}"),
                  F.sum(F.when(has_rev, w)).alias(f"nr_{k}"),
                  F.sum(F.col("revenue_micros") * w).alias(f"r_{k}")]
+    aggs += [F.sum("revenue_cents").alias("cents"), F.sum("revenue_events").alias("purchase_events")]
     return p.groupBy("event_date").agg(*aggs)
 
 
@@ -159,7 +160,11 @@ def _kind_rows(daily: DataFrame) -> DataFrame:
     parts = F.array(*[F.struct(
         F.lit(label).alias("result_type"),
         F.col(f"n_{k}").alias("n"), F.col(f"m_{k}").alias("m"),
-        F.col(f"nr_{k}").alias("nr"), F.col(f"r_{k}").alias("r")) for k, label, _ in _KINDS])
+        F.col(f"nr_{k}").alias("nr"), F.col(f"r_{k}").alias("r"),
+        # purchase cents and count ride on the all-traffic row only (AOV)
+        (F.col("cents") if k == "all" else F.lit(None).cast("long")).alias("cents"),
+        (F.col("purchase_events") if k == "all" else F.lit(None).cast("long")).alias("purchase_events"))
+        for k, label, _ in _KINDS])
     rows = daily.select(F.col("event_date").alias("purchase_date"), F.inline(parts)).where(F.col("n") > 0)
     return rows.select(
         "purchase_date",
@@ -169,12 +174,14 @@ def _kind_rows(daily: DataFrame) -> DataFrame:
         "result_type",
         round_half_up_ratio(F.col("m"), F.col("n"), 100).alias("_mc"),
         round_half_up_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS, 100).alias("_rc"),
+        "cents", "purchase_events",
     )
 
 
-def _summaries(rows: DataFrame) -> DataFrame:
-    """Mean of the rounded daily means per group (one global aggregate)."""
-    aggs = []
+def _summary_row(rows: DataFrame) -> DataFrame:
+    """One global aggregate over the daily rows of both groups: the inputs
+    of both summary rows and of the transaction-weighted AOV."""
+    aggs = [F.sum("cents").alias("cents"), F.sum("purchase_events").alias("purchase_events")]
     for _, label, _ in _KINDS:
         is_k = F.col("result_type") == label
         aggs += [F.sum(F.when(is_k, F.col("_mc"))).alias(f"mc_{label}"),
@@ -182,15 +189,23 @@ def _summaries(rows: DataFrame) -> DataFrame:
                  F.sum(F.when(is_k, F.col("no_of_purchases"))).alias(f"n_{label}"),
                  F.sum(F.when(is_k, F.col("_rc"))).alias(f"rc_{label}"),
                  F.count(F.when(is_k, F.col("_rc"))).alias(f"rd_{label}")]
-    s = rows.agg(*aggs)
-    parts = F.array(*[F.struct(
+    return rows.agg(*aggs)
+
+
+def _summary_structs(s: DataFrame) -> list:
+    return [F.struct(
         F.lit(summary).alias("result_type"),
         round2_ratio(F.col(f"mc_{label}"), F.col(f"d_{label}") * 100).alias("avg_minutes_to_purchase"),
         F.col(f"n_{label}").alias("no_of_purchases"),
         round2_ratio(F.col(f"rc_{label}"), F.col(f"rd_{label}") * 100).alias("avg_revenue"),
         round_half_up_ratio(F.col(f"mc_{label}"), F.col(f"d_{label}"), 1).alias("_mc"))
-        for _, label, summary in _KINDS])
-    return s.select(F.lit(None).cast("date").alias("purchase_date"), F.inline(parts))
+        for _, label, summary in _KINDS]
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """Mean of the rounded daily means per group (one global aggregate)."""
+    s = _summary_row(rows)
+    return s.select(F.lit(None).cast("date").alias("purchase_date"), F.inline(F.array(*_summary_structs(s))))
 
 
 def clean_vs_overall(events: DataFrame, labeled: DataFrame | None = None,
@@ -211,31 +226,29 @@ def aov_candidates(events: DataFrame, labeled: DataFrame | None = None,
                    cutoff: _dt.date | None = DEFAULTS.cutoff,
                    spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """The transaction-weighted AOV next to the two rejected
-    estimators (mean of daily mean revenue, overall and clean path). The
-    AOV is the exact sum of purchase cents over the purchase count of the
-    same per-day table."""
-    paths = purchase_day_paths(events, spec)
-    rows = _kind_rows(_daily_both(paths, cutoff, "reference"))
-    s = _summaries(rows)
-    est = s.select(F.when(F.col("result_type") == "Overall Average", "overall_daily_mean")
-                   .otherwise("clean_path_daily_mean").alias("candidate"),
-                   F.col("avg_revenue").alias("value"), F.lit(False).alias("chosen"))
-    aov = until(paths, cutoff).agg(
-        (F.sum("revenue_cents").cast("double") / 100 / F.sum("revenue_events")).alias("value")).select(
-        F.lit("transaction_weighted").alias("candidate"), "value", F.lit(True).alias("chosen"))
-    return aov.unionByName(est)
+    estimators (mean of daily mean revenue, overall and clean path). All
+    three come out of the same one-row summary aggregate; the AOV is the
+    exact sum of purchase cents over the purchase count."""
+    s = _summary_row(_kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, "reference")))
+    overall, clean = _summary_structs(s)
+    aov = (F.col("cents").cast("double") / 100 / F.col("purchase_events"))
+    rows = F.array(
+        F.struct(F.lit("transaction_weighted").alias("candidate"), aov.alias("value"), F.lit(True).alias("chosen")),
+        F.struct(F.lit("overall_daily_mean").alias("candidate"), overall["avg_revenue"].alias("value"),
+                 F.lit(False).alias("chosen")),
+        F.struct(F.lit("clean_path_daily_mean").alias("candidate"), clean["avg_revenue"].alias("value"),
+                 F.lit(False).alias("chosen")))
+    return s.select(F.inline(rows))
 
 
 def clean_path_speedup(events: DataFrame, labeled: DataFrame | None = None,
                        cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
                        spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Summary minutes of both groups and the speed-up of the clean
-    path in percent, 1 - clean / overall."""
-    s = _summaries(_kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, fanout)))
-    is_all = F.col("result_type") == "Overall Average"
-    r = s.agg(F.max(F.when(is_all, F.col("avg_minutes_to_purchase"))).alias("overall_avg_minutes"),
-              F.max(F.when(~is_all, F.col("avg_minutes_to_purchase"))).alias("clean_avg_minutes"),
-              F.max(F.when(is_all, F.col("_mc"))).alias("_o"),
-              F.max(F.when(~is_all, F.col("_mc"))).alias("_c"))
-    return r.select("overall_avg_minutes", "clean_avg_minutes",
-                    round2_ratio((F.col("_o") - F.col("_c")) * 100, F.col("_o")).alias("speedup_prct"))
+    path in percent, 1 - clean / overall (from the one-row summary)."""
+    s = _summary_row(_kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, fanout)))
+    overall, clean = _summary_structs(s)
+    return s.select(
+        overall["avg_minutes_to_purchase"].alias("overall_avg_minutes"),
+        clean["avg_minutes_to_purchase"].alias("clean_avg_minutes"),
+        round2_ratio((overall["_mc"] - clean["_mc"]) * 100, overall["_mc"]).alias("speedup_prct"))

@@ -35,6 +35,22 @@ def friction_completer_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.
     return groups.where(S.completer_friction_predicate())
 
 
+def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, bucket_us: int | None) -> DataFrame:
+    """Sequence groups of both kinds that pass their kind's friction rule."""
+    names = lag_names(spec.history)
+    frame = S.history_frame(labeled, spec.history, bucket_us)
+    is_comp = F.col(S.LABEL) == PURCHASE
+    is_churn = S.churn_row_predicate(spec)
+    rows = frame.where(is_comp | is_churn).select(
+        F.when(is_comp, "completer").otherwise("churner").alias("kind"),
+        F.col(S.LABEL).alias("last_event"), *names, S.USER)
+    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]),
+                               spec.history)
+    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate())
+                              | ((F.col("kind") == "completer") & S.completer_friction_predicate()))
+    return frictioned
+
+
 SEGMENTS = (
     ("churner", "Friction Churners", "Lost Revenue"),
     ("completer", "Friction Completers", "At-Risk Revenue Retained"),
@@ -51,17 +67,7 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
     (kind, sequence) once, filtered by each kind's friction rule and reduced
     to one row per kind. An empty segment still yields its row (0
     sequences, NULL sums) as the reference's global aggregates do."""
-    names = lag_names(spec.history)
-    frame = S.history_frame(labeled, spec.history, bucket_us)
-    is_comp = F.col(S.LABEL) == PURCHASE
-    is_churn = S.churn_row_predicate(spec)
-    rows = frame.where(is_comp | is_churn).select(
-        F.when(is_comp, "completer").otherwise("churner").alias("kind"),
-        F.col(S.LABEL).alias("last_event"), *names, S.USER)
-    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]),
-                               spec.history)
-    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate())
-                              | ((F.col("kind") == "completer") & S.completer_friction_predicate()))
+    frictioned = _frictioned_groups(labeled, spec, bucket_us)
     touches = F.col("pay_meth_count") + F.col("add_pay_count")
     per_kind = frictioned.groupBy("kind").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -117,9 +123,11 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
 
 def friction_revenue_total(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
                            bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
-    """Friction-affected users of both segments and their revenue."""
-    seg = friction_segments(labeled, aov, spec, bucket_us)
-    return seg.agg(F.coalesce(F.sum("affected_users"), F.lit(0)).alias("friction_affected_users")).select(
+    """Friction-affected users of both segments and their revenue
+    (one global aggregate over the frictioned sequence groups)."""
+    total = _frictioned_groups(labeled, spec, bucket_us).agg(
+        F.coalesce(F.sum("users"), F.lit(0)).alias("friction_affected_users"))
+    return total.select(
         "friction_affected_users",
         round2(F.col("friction_affected_users").cast("double") * F.lit(float(aov))).alias("revenue_at_risk"),
     )
