@@ -69,7 +69,7 @@ def purchase_duration_from_facts(facts: DataFrame, keys: tuple[str, ...] = ()) -
 def purchase_duration(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
     """Daily mean minutes from first event of the day to first purchase
     of the day, and one 'Overall' row."""
-    return purchase_duration_from_facts(user_day_facts(events, cutoff=cutoff))
+    return purchase_duration_from_facts(user_day_facts(events, cutoff=cutoff, with_segment_columns=False))
 
 
 def purchase_duration_by(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
@@ -94,12 +94,19 @@ def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
     ev = until(events, cutoff)
     is_p = F.col("event_name") == PURCHASE
     in_seg = segment_filter(segment)
-    per_day = ev.groupBy("user_pseudo_id", "event_date").agg(
+    # Two levels so that the string MAX runs on collapsed rows (see
+    # facts.user_day_facts): hash aggregate keyed by the purchase segment
+    # values first, then the per-day aggregate.
+    lvl1 = ev.groupBy("user_pseudo_id", "event_date",
+                      *[F.when(is_p & in_seg, F.col(k)).alias(f"_{k}") for k in keys]).agg(
         F.min("event_us").alias("fe_all"),
         F.min(F.when(is_p, F.col("event_us"))).alias("fp_all"),
         F.min(F.when(in_seg, F.col("event_us"))).alias("fe_seg"),
         F.min(F.when(is_p & in_seg, F.col("event_us"))).alias("fp_seg"),
-        *[F.max(F.when(is_p & in_seg, F.col(k))).alias(k) for k in keys],
+    )
+    per_day = lvl1.groupBy("user_pseudo_id", "event_date").agg(
+        *[F.min(c).alias(c) for c in ("fe_all", "fp_all", "fe_seg", "fp_seg")],
+        *[F.max(f"_{k}").alias(k) for k in keys],
     )
     views = F.array(
         F.struct(F.lit(True).alias("_all"), F.col("fe_all").alias("fe"), F.col("fp_all").alias("fp"),

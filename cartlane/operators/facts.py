@@ -25,7 +25,7 @@ def segment_filter(spec: SegmentSpec) -> Column:
 
 
 def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
-                   cutoff: _dt.date | None = None) -> DataFrame:
+                   cutoff: _dt.date | None = None, with_segment_columns: bool = True) -> DataFrame:
     """Per purchasing user-day facts from normalised events.
 
     ``segment`` filters events on browser/OS *before* both the first event
@@ -33,20 +33,43 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
     may be applied to all events up front: first event and first purchase
     are required on the same date, so this equals the reference's late
     filter on the purchase date.
+
+    Browser and OS of the purchases are a MAX over strings, which has no
+    fixed-width aggregation buffer (Spark would sort every event row for it).
+    They are therefore taken in two levels: a hash aggregate keyed by
+    (user, day, purchase browser, purchase OS) collapses the events map-side,
+    and the string MAX runs over those few rows per user-day only. Callers
+    that do not need the columns (``with_segment_columns=False``) get the
+    single-level aggregate.
     """
     ev = events.where(segment_filter(segment)) if segment is not None else events
     ev = until(ev, cutoff)
     is_purchase = F.col("event_name") == PURCHASE
     rev = F.when(is_purchase, F.col("purchase_revenue_in_usd"))
-    agg = ev.groupBy("user_pseudo_id", "event_date").agg(
+    partial = [
         F.min("event_us").alias("first_event_us"),
         F.min(F.when(is_purchase, F.col("event_us"))).alias("first_purchase_us"),
-        # MAX over purchase rows, browser and OS independently (as in the reference).
-        F.max(F.when(is_purchase, F.col("browser"))).alias("browser"),
-        F.max(F.when(is_purchase, F.col("operating_system"))).alias("operating_system"),
         F.count(rev).alias("revenue_events"),
         F.sum(money_cents(rev)).alias("revenue_cents"),
-    ).where(F.col("first_purchase_us").isNotNull())
+    ]
+    if with_segment_columns:
+        lvl1 = ev.groupBy("user_pseudo_id", "event_date",
+                          F.when(is_purchase, F.col("browser")).alias("_pb"),
+                          F.when(is_purchase, F.col("operating_system")).alias("_po")).agg(*partial)
+        agg = lvl1.groupBy("user_pseudo_id", "event_date").agg(
+            F.min("first_event_us").alias("first_event_us"),
+            F.min("first_purchase_us").alias("first_purchase_us"),
+            # MAX over purchase rows, browser and OS independently (as in the reference).
+            F.max("_pb").alias("browser"),
+            F.max("_po").alias("operating_system"),
+            F.sum("revenue_events").alias("revenue_events"),
+            F.sum("revenue_cents").alias("revenue_cents"),
+        )
+        seg_cols = ["browser", "operating_system"]
+    else:
+        agg = ev.groupBy("user_pseudo_id", "event_date").agg(*partial)
+        seg_cols = []
+    agg = agg.where(F.col("first_purchase_us").isNotNull())
     micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS)
     return agg.select(
         "user_pseudo_id",
@@ -54,8 +77,7 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
         F.timestamp_micros("first_event_us").alias("first_event_time"),
         F.timestamp_micros("first_purchase_us").alias("first_purchase_time"),
         minutes_between(F.col("first_event_us"), F.col("first_purchase_us")).alias("minutes_to_purchase"),
-        "browser",
-        "operating_system",
+        *seg_cols,
         micros.alias("revenue_micros"),
         (micros.cast("double") / MICRO_DOLLARS).alias("avg_purchase_revenue"),
     )
