@@ -21,9 +21,8 @@ from cartlane.operators.facts import segment_filter, user_day_facts
 
 
 def present(df: DataFrame, *order) -> DataFrame:
-    """Final ordering of a small result (bounded by days x segments): one
-    partition sorted locally, no range-partitioning sample job."""
-    return df.coalesce(1).sortWithinPartitions(*order)
+    """Final ORDER BY of a result (a distributed range-partitioned sort)."""
+    return df.orderBy(*order)
 
 
 def daily_duration(facts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

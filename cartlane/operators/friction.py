@@ -97,7 +97,7 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
         round2_ratio(F.col("_pt_w"), F.col("affected_users")).alias("user_avg_payment_touches"),
         "max_payment_touches",
     )
-    return out.coalesce(1).sortWithinPartitions("_order").drop("_order")
+    return out.orderBy("_order").drop("_order")
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
