@@ -68,7 +68,3 @@ def minutes_between(start_us: Column, end_us: Column) -> Column:
     """Whole minutes from ``start_us`` to ``end_us`` (epoch microseconds,
     ``end >= start``); equals the warehouse's TIMESTAMP_DIFF(..., MINUTE)."""
     return int_div(end_us - start_us, MICROS_PER_MINUTE)
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num.cast("double"), den.cast("double"))

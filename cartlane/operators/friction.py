@@ -29,12 +29,6 @@ def friction_churner_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.ch
     return groups.where(S.churn_friction_predicate())
 
 
-def friction_completer_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                              bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
-    groups = S.friction_counts(S.completer_sequences(labeled, spec, bucket_us), spec.history)
-    return groups.where(S.completer_friction_predicate())
-
-
 def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, bucket_us: int | None) -> DataFrame:
     """Sequence groups of both kinds that pass their kind's friction rule."""
     names = lag_names(spec.history)

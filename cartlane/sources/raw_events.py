@@ -26,9 +26,6 @@ RAW_EVENTS_SCHEMA = T.StructType([
     T.StructField("event_seq", T.LongType(), True),
 ])
 
-RAW_COLUMNS = tuple(f.name for f in RAW_EVENTS_SCHEMA.fields)
-
-
 def raw_date_upper_bound(cutoff: _dt.date | None):
     """Predicate on the *stored* date string (order-preserving ``yyyyMMdd``).
 
