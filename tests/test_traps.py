@@ -218,3 +218,14 @@ def test_t4_fanout_reference_vs_session(spark, events):
     ses = clean_path.clean_vs_overall(ev, fanout="session").where("result_type = 'Clean Path'").collect()
     assert [(r.purchase_date, r.no_of_purchases) for r in ref] == [(D5, 2)]
     assert [(r.purchase_date, r.no_of_purchases) for r in ses] == [(D5, 1)]
+
+
+def test_t14_funnel_and_friction_have_no_date_filter(spark, events):
+    for _ in range(2):
+        events.add("a", "first_visit", 0, date="20240130").add("a", "purchase", 1, date="20240130")
+    r = funnel.funnel_counts(events.norm(spark)).first()
+    assert (r.first_visit, r.purchase) == (2, 2)  # dated after the 2024-01-25 cutoff, still counted
+    for i, step in enumerate(["begin_checkout", "begin_checkout", "purchase"]):
+        events.add("c", step, 10 + i, date="20240130")
+    seg = {s.segment: s for s in friction.friction_segments(label_checkout_events(events.norm(spark))).collect()}
+    assert seg["Friction Completers"].sequences >= 1
