@@ -27,3 +27,21 @@ def test_normalize_types(spark):
     assert types["event_date"] == "date"
     assert types["event_timestamp"] == "timestamp"
     assert types["event_us"] == "bigint"
+
+
+def test_session_time_zone_does_not_matter(spark):
+    """Adapter and operators use epoch microseconds and zone-free date text,
+    so results are the same under any session time zone."""
+    from cartlane.plans.catalog import CATALOG
+    results = []
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            raw = load_raw_events(spark, SF001)
+            chk = raw.agg(F.sum(F.xxhash64("event_timestamp", "event_date", "user_pseudo_id") % 1000003)).first()[0]
+            daily = sorted(map(tuple, CATALOG["daily_purchase_duration"](spark, SF001).collect()), key=repr)
+            churn = sorted((r.user_pseudo_id, r.churn_event) for r in CATALOG["checkout_churners"](spark, SF001).collect())
+            results.append((chk, daily, churn))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert results[0] == results[1] == results[2]
