@@ -15,7 +15,6 @@ from cartlane.config import DEFAULTS, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import lag_names
 from cartlane.functions.numeric import round2, round2_ratio
 from cartlane.operators import sequences as S
-from cartlane.plans.combine import side_by_side
 from cartlane.config import HISTORY_BUCKET_US
 
 SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "revenue_at_risk",
@@ -23,12 +22,6 @@ SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "r
                    "avg_payment_touches", "user_avg_payment_touches", "max_payment_touches")
 
 
-def friction_churner_groups(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                            bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
-    groups = S.friction_counts(S.churner_sequences(labeled, spec, bucket_us), spec.history)
-    return groups.where(S.churn_friction_predicate())
-
-
 def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, bucket_us: int | None) -> DataFrame:
     """Sequence groups of both kinds that pass their kind's friction rule."""
     names = lag_names(spec.history)
@@ -91,23 +84,33 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
         round2_ratio(F.col("_pt_w"), F.col("affected_users")).alias("user_avg_payment_touches"),
         "max_payment_touches",
     )
-    return out.orderBy("_order").drop("_order")
+    # The reference stacks churners then completers without an ORDER BY;
+    # no sort job is spent on the two rows.
+    return out.drop("_order")
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
                   bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
     """Churner rows, distinct checkout churners, friction churners (the
-    reference's sum over sequence groups, and distinct), friction share."""
+    reference's sum over sequence groups, and distinct), friction share.
+
+    One chain: churner rows -> (user, sequence) pairs -> per user (rows,
+    friction pairs, any friction) -> one global aggregate. The reference's
+    affected-user count is the number of (user, friction sequence) pairs,
+    since each group contributes its distinct users."""
+    names = lag_names(spec.history)
     rows = S.churner_rows_with_friction(labeled, spec, bucket_us)
-    per_user = rows.groupBy(S.USER).agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("is_friction").alias("_fr"))
+    pairs = rows.groupBy(S.USER, "last_event", *names).agg(
+        F.count(F.lit(1)).alias("_rows"), F.bool_or("is_friction").alias("_fr"))
+    per_user = pairs.groupBy(S.USER).agg(
+        F.sum("_rows").alias("_rows"), F.count_if("_fr").alias("_fr_pairs"), F.bool_or("_fr").alias("_fr"))
     users = per_user.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("churner_rows"),
         F.count(F.lit(1)).alias("checkout_churners"),
+        F.coalesce(F.sum("_fr_pairs"), F.lit(0)).alias("friction_affected_users"),
         F.count_if(F.col("_fr")).alias("friction_churners_distinct"),
     )
-    affected = friction_churner_groups(labeled, spec, bucket_us).agg(
-        F.coalesce(F.sum("users"), F.lit(0)).alias("friction_affected_users"))
-    return side_by_side(users, affected).select(
+    return users.select(
         "churner_rows", "checkout_churners", "friction_affected_users", "friction_churners_distinct",
         round2_ratio(F.col("friction_affected_users") * 100, F.col("checkout_churners")).alias("friction_share_prct"),
         round2_ratio(F.col("friction_churners_distinct") * 100, F.col("checkout_churners"))
