@@ -208,13 +208,11 @@ def _summaries(rows: DataFrame) -> DataFrame:
     return s.select(F.lit(None).cast("date").alias("purchase_date"), F.inline(F.array(*_summary_structs(s))))
 
 
-def clean_vs_overall(events: DataFrame, labeled: DataFrame | None = None,
-                     cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+def clean_vs_overall(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
                      spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Daily 'Overall' and 'Clean Path' rows plus their two summary rows
-    (mean of rounded daily means), ordered by date then result type.
-    ``labeled`` is accepted for symmetry; labels are derived inside the one
-    pass over ``events``."""
+    (mean of rounded daily means), ordered by date then result type. Takes
+    normalised events; checkout labels are derived inside the pass."""
     rows = _kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, fanout))
     cols = ["purchase_date", "avg_minutes_to_purchase", "no_of_purchases",
             F.col("avg_revenue").alias("overall_avg_revenue_purchase"), "result_type"]
@@ -222,8 +220,7 @@ def clean_vs_overall(events: DataFrame, labeled: DataFrame | None = None,
     return present(out, F.asc_nulls_first("purchase_date"), "result_type")
 
 
-def aov_candidates(events: DataFrame, labeled: DataFrame | None = None,
-                   cutoff: _dt.date | None = DEFAULTS.cutoff,
+def aov_candidates(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
                    spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """The transaction-weighted AOV next to the two rejected
     estimators (mean of daily mean revenue, overall and clean path). All
@@ -241,8 +238,7 @@ def aov_candidates(events: DataFrame, labeled: DataFrame | None = None,
     return s.select(F.inline(rows))
 
 
-def clean_path_speedup(events: DataFrame, labeled: DataFrame | None = None,
-                       cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+def clean_path_speedup(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
                        spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Summary minutes of both groups and the speed-up of the clean
     path in percent, 1 - clean / overall (from the one-row summary)."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartlane.config import DEFAULTS
 from cartlane.operators import (clean_path, duration, events, facts, friction, funnel, population, revenue,
@@ -165,7 +166,6 @@ def q_shipping_redirects(spark, sf_dir):
 @query("checkout_start")
 def q_checkout_start(spark, sf_dir):
     cs = clean_path.checkout_start(labeled(spark, sf_dir))
-    from pyspark.sql import functions as F
     return cs.select("user_pseudo_id", "event_date", F.timestamp_micros("checkout_us").alias("checkout_time"))
 
 
@@ -181,27 +181,22 @@ def q_clean_path_user_days(spark, sf_dir):
 
 @query("clean_vs_overall")
 def q_clean_vs_overall(spark, sf_dir):
-    ev = normalized(spark, sf_dir)
-    return clean_path.clean_vs_overall(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
 
 
 @query("clean_vs_overall_session")
 def q_clean_vs_overall_session(spark, sf_dir):
-    ev = normalized(spark, sf_dir)
-    return clean_path.clean_vs_overall(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff,
-                                       fanout="session")
+    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff, fanout="session")
 
 
 @query("aov_candidates")
 def q_aov_candidates(spark, sf_dir):
-    ev = normalized(spark, sf_dir)
-    return clean_path.aov_candidates(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+    return clean_path.aov_candidates(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
 
 
 @query("clean_path_speedup")
 def q_clean_path_speedup(spark, sf_dir):
-    ev = normalized(spark, sf_dir)
-    return clean_path.clean_path_speedup(ev, events.label_checkout_events(ev), cutoff=DEFAULTS.cutoff)
+    return clean_path.clean_path_speedup(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
 
 
 # --- population ---------------------------------------------------------------
