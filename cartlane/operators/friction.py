@@ -56,37 +56,42 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
     sequences, NULL sums) as the reference's global aggregates do."""
     frictioned = _frictioned_groups(labeled, spec, bucket_us)
     touches = F.col("pay_meth_count") + F.col("add_pay_count")
-    per_kind = frictioned.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("users").alias("affected_users"),
-        F.sum("begin_checkout_count").alias("_bc"),
-        F.sum(F.col("begin_checkout_count") * F.col("users")).alias("_bc_w"),
-        F.max("begin_checkout_count").alias("max_begin_checkout"),
-        F.sum(touches).alias("_pt"),
-        F.sum(touches * F.col("users")).alias("_pt_w"),
-        F.max(touches).alias("max_payment_touches"),
-    )
-    # Constant two-row table of the segments (size fixed by the code).
-    kinds = labeled.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(i).alias("_order"), F.lit(seg).alias("segment"),
-                 F.lit(lab).alias("revenue_label")) for i, (k, seg, lab) in enumerate(SEGMENTS)])))
-    seg = F.broadcast(kinds).join(per_kind, "kind", "left")
-    seqs = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
-    out = seg.select(
-        "_order", "segment", "revenue_label",
-        seqs.alias("sequences"),
-        "affected_users",
-        round2(F.col("affected_users").cast("double") * F.lit(float(aov))).alias("revenue_at_risk"),
-        (F.col("_bc").cast("double") / seqs).alias("avg_begin_checkout"),
-        round2_ratio(F.col("_bc_w"), F.col("affected_users")).alias("user_avg_begin_checkout"),
-        "max_begin_checkout",
-        (F.col("_pt").cast("double") / seqs).alias("avg_payment_touches"),
-        round2_ratio(F.col("_pt_w"), F.col("affected_users")).alias("user_avg_payment_touches"),
-        "max_payment_touches",
-    )
-    # The reference stacks churners then completers without an ORDER BY;
-    # no sort job is spent on the two rows.
-    return out.drop("_order")
+    # One global aggregate with conditional sums per kind: it returns a row
+    # even over empty input, so an empty segment keeps its row (0
+    # sequences, NULL sums) without a join to a table of segments.
+    aggs = []
+    for kind, _, _ in SEGMENTS:
+        on = F.col("kind") == kind
+        aggs += [
+            F.count_if(on).alias(f"{kind}_n"),
+            F.sum(F.when(on, F.col("users"))).alias(f"{kind}_users"),
+            F.sum(F.when(on, F.col("begin_checkout_count"))).alias(f"{kind}_bc"),
+            F.sum(F.when(on, F.col("begin_checkout_count") * F.col("users"))).alias(f"{kind}_bc_w"),
+            F.max(F.when(on, F.col("begin_checkout_count"))).alias(f"{kind}_bc_max"),
+            F.sum(F.when(on, touches)).alias(f"{kind}_pt"),
+            F.sum(F.when(on, touches * F.col("users"))).alias(f"{kind}_pt_w"),
+            F.max(F.when(on, touches)).alias(f"{kind}_pt_max"),
+        ]
+    g = frictioned.agg(*aggs)
+
+    def row(kind: str, segment: str, label: str):
+        n, users = F.col(f"{kind}_n"), F.col(f"{kind}_users")
+        return F.struct(
+            F.lit(segment).alias("segment"),
+            F.lit(label).alias("revenue_label"),
+            n.alias("sequences"),
+            users.alias("affected_users"),
+            round2(users.cast("double") * F.lit(float(aov))).alias("revenue_at_risk"),
+            (F.col(f"{kind}_bc").cast("double") / n).alias("avg_begin_checkout"),
+            round2_ratio(F.col(f"{kind}_bc_w"), users).alias("user_avg_begin_checkout"),
+            F.col(f"{kind}_bc_max").alias("max_begin_checkout"),
+            (F.col(f"{kind}_pt").cast("double") / n).alias("avg_payment_touches"),
+            round2_ratio(F.col(f"{kind}_pt_w"), users).alias("user_avg_payment_touches"),
+            F.col(f"{kind}_pt_max").alias("max_payment_touches"),
+        )
+
+    # Churners then completers, as the reference stacks them (no ORDER BY).
+    return g.select(F.inline(F.array(*[row(*seg) for seg in SEGMENTS])))
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
