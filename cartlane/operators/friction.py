@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import DEFAULTS, PURCHASE, CheckoutSpec
+from cartlane.config import DEFAULTS, HISTORY_BUCKET_US, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import lag_names
 from cartlane.functions.numeric import round2, round2_ratio
 from cartlane.operators import sequences as S
-from cartlane.config import HISTORY_BUCKET_US
 
 SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "revenue_at_risk",
                    "avg_begin_checkout", "user_avg_begin_checkout", "max_begin_checkout",

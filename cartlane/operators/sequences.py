@@ -32,9 +32,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlane.config import ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, PURCHASE, CheckoutSpec
+from cartlane.config import ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, HISTORY_BUCKET_US, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import lag_names, occurrences
-from cartlane.config import HISTORY_BUCKET_US
 
 USER = "user_pseudo_id"
 LABEL = "event_label"

@@ -5,7 +5,6 @@ Every expected value is worked out by hand from the rows in the test."""
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from cartlane.config import FunnelSpec
 from cartlane.operators import clean_path, duration, friction, funnel, sequences
