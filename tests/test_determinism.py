@@ -19,3 +19,23 @@ def test_same_under_any_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_same_under_shuffled_input_order(spark):
+    """Order-sensitive operators (history, churners, friction, clean path)
+    depend only on the total event order (timestamp, seq), not on the order
+    rows arrive in."""
+    from pyspark.sql import functions as F
+    from cartlane.operators import clean_path, duration, friction, sequences
+    from cartlane.operators.events import label_checkout_events, normalize_events
+    from cartlane.sources.fixture import load_raw_events
+    base = load_raw_events(spark, SF001)
+    outs = []
+    for seed in (1, 2, 3):
+        raw = base.orderBy(F.rand(seed)).repartition(5)
+        ev = normalize_events(raw)
+        lab = label_checkout_events(ev)
+        outs.append(tuple(sorted(map(tuple, df.collect()), key=repr) for df in (
+            sequences.checkout_churners(lab), friction.friction_segments(lab),
+            clean_path.clean_vs_overall(ev), duration.purchase_duration(ev))))
+    assert outs[0] == outs[1] == outs[2]
