@@ -63,3 +63,12 @@ def test_partitioned_raw_table_prunes_and_matches(spark, tmp_path):
     got = sorted(map(tuple, purchase_duration(normalize_events(raw), cutoff=cutoff).collect()), key=repr)
     want = sorted(map(tuple, E.queries()["daily_purchase_duration"](spark, SF001).collect()), key=repr)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["prior_event_sequence", "checkout_churners", "friction_segments"])
+def test_large_window_is_bucketed(spark, name):
+    """The window over all labelled events is partitioned by (user, time
+    bucket), not by user alone."""
+    text = plan_text(E.queries()[name](spark, SF001))
+    specs = [line for line in text.splitlines() if "windowspecdefinition(user_pseudo_id" in line]
+    assert any("_bucket" in s for s in specs)
