@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files lie; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def payload(text: str = "text") -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import patricia
-from cartlane.llm.common import table
+from cartlane.llm import patricia, prefix_counts, quality_rules
+from cartlane.llm.common import table, tokenizer_path
+
+
+def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
 def op9_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,11 +21,48 @@ def op9_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_prefix_counts": op2_prefix_counts,
+    "op5_threshold_rules": op5_threshold_rules,
     "op9_patricia_dedup": op9_patricia_dedup,
 }
 
+# Measures only; the verdict ``kept`` of the rule table is checked against a plain Python version in the tests, and
+# here through the same thresholds in SQL.
+_OP5_STOP = ", ".join(f"'{w}'" for x in sorted({w for t in quality_rules.STOP_WORDS.values() for w in t.split()})
+                      for w in dict.fromkeys((x, x.capitalize())))
+_OP5_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)),
+                                  lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+               FROM documents),
+         places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+         windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+         repeated AS (SELECT doc_id, count(DISTINCT i + step) AS n
+                      FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS step FROM windows WHERE n > 1) GROUP BY doc_id),
+         m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                      CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+                      len(regexp_extract_all(t, '[!?]{{2,}}')) AS marks,
+                      len(regexp_extract_all(t, '\p{{Lu}}')) AS capitals,
+                      len(list_filter(w, lambda x: x IN ({_OP5_STOP}))) AS stops,
+                      len(lines) AS n_lines,
+                      len(list_filter(lines, lambda l: regexp_matches(ltrim(l, ' '), '^[-*•]'))) AS bullets,
+                      len(list_filter(lines, lambda l: regexp_matches(rtrim(l, ' '), '(…|[.]{{3}})$'))) AS ellipses
+               FROM d LEFT JOIN repeated r USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+           AND word_chars BETWEEN 2 * n_words AND 14 * n_words AND 10 * n_symbols <= n_words
+           AND 10 * marks <= n_words AND 10 * capitals <= 3 * word_chars AND 50 * stops >= n_words
+           AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 2 * n_dup_lines <= n_lines AS kept
+    FROM m""".replace("\\\\", "\\")
+
 # Equal texts share a SHA-256, so the check groups by the text itself and computes the digest beside it.
 ORACLE = {
+    "op5_threshold_rules": _OP5_SQL,
     "op9_patricia_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
