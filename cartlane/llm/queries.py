@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import patricia, prefix_counts, quality_rules
+from cartlane.llm import patricia, prefix_counts, quality_rules, splitters, sum_of_squares, warc_chunks
 from cartlane.llm.common import table, tokenizer_path
 
 
@@ -12,17 +12,32 @@ def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitters.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op5_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sum_of_squares.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
     "op2_prefix_counts": op2_prefix_counts,
+    "op4_sampled_splitters": op4_sampled_splitters,
     "op5_threshold_rules": op5_threshold_rules,
+    "op7_chunked_warc": op7_chunked_warc,
+    "op8_sum_of_squares": op8_sum_of_squares,
     "op9_patricia_dedup": op9_patricia_dedup,
 }
 
@@ -60,9 +75,27 @@ _OP5_SQL = rf"""
            AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 2 * n_dup_lines <= n_lines AS kept
     FROM m""".replace("\\\\", "\\")
 
+# Base32 by hand: the SHA-1's 160 bits in groups of five.
+_OP7_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+         g AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),
+         b AS (SELECT h, owner, array_to_string(list_transform(range(40),
+                   lambda i: right('000' || bin(instr('0123456789abcdef', substr(sha1(h), CAST(i AS INT) + 1, 1)) - 1), 4)), '')
+                   AS bits FROM g),
+         d AS (SELECT h, owner, array_to_string(list_transform(range(32),
+                   lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + CAST(list_sum(list_transform(range(5), lambda k:
+                           CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(2 ** (4 - k) AS INT))) AS INT),
+                       1)), '') AS digest FROM b)
+    SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+           CASE WHEN p.page_id = d.owner THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN p.page_id <> d.owner THEN d.owner END AS refers_to
+    FROM p JOIN d ON p.h = d.h"""
+
 # Equal texts share a SHA-256, so the check groups by the text itself and computes the digest beside it.
 ORACLE = {
     "op5_threshold_rules": _OP5_SQL,
+    "op7_chunked_warc": _OP7_SQL,
     "op9_patricia_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
