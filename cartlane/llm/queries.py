@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import patricia, prefix_counts, quality_rules, splitters, sum_of_squares, warc_chunks
+from cartlane.llm import patricia, prefix_counts, pu_classifier, quality_rules, splitters, sum_of_squares, warc_chunks
 from cartlane.llm.common import table, tokenizer_path
 
 
@@ -32,6 +32,10 @@ def op9_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_prefix_counts": op2_prefix_counts,
     "op4_sampled_splitters": op4_sampled_splitters,
@@ -39,6 +43,7 @@ QUERIES = {
     "op7_chunked_warc": op7_chunked_warc,
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_patricia_dedup": op9_patricia_dedup,
+    "op10_pu_quality": op10_pu_quality,
 }
 
 # Measures only; the verdict ``kept`` of the rule table is checked against a plain Python version in the tests, and
