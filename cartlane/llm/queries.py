@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import patricia, prefix_counts, pu_classifier, quality_rules, splitters, sum_of_squares, warc_chunks
+from cartlane.llm import (interpolated_lm, patricia, prefix_counts, pu_classifier, quality_rules, splitters,
+                          sum_of_squares, warc_chunks)
 from cartlane.llm.common import table, tokenizer_path
 
 
@@ -12,6 +13,10 @@ def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -38,6 +43,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_prefix_counts": op2_prefix_counts,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_threshold_rules": op5_threshold_rules,
     "op7_chunked_warc": op7_chunked_warc,
