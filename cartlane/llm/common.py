@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,26 @@ def hidden(df: DataFrame, stem: str) -> str:
     return name
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept by a worker process up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+HASHES = WordHashes()
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; both methods of ``bytes`` know ASCII only."""
+    return (text or b"").lower().split()
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, weigh=None) -> Iterator[pa.RecordBatch]:
     """Arrow batches of row tuples, closed at ``BATCH_BYTES`` (by ``weigh(row)``) or 20,000 rows."""
     held: list[tuple] = []

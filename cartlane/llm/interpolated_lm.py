@@ -30,11 +30,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import crc_mod, payload, written
+from cartlane.llm.common import HASHES, crc_mod, payload, words_of, written
 
 #: Bytes of text in a block, and the fewest blocks and key ranges.
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 24
@@ -76,29 +75,13 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return _unplaned(data, "<u8").astype(np.int64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words with A-Z lower-cased; both methods of ``bytes`` know ASCII only."""
-    return (text or b"").lower().split()
-
-
 def token_keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts in order: the tokens' keys, the bigrams' keys and each text's number of tokens."""
     parts, sizes = [], []
     for text in texts:
         words = words_of(text)
         keys = np.empty(len(words) + 1, np.uint64)
-        keys[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        keys[:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
         keys[-1] = END
         parts.append(keys)
         sizes.append(len(keys))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import (interpolated_lm, patricia, prefix_counts, pu_classifier, quality_rules, splitters,
-                          sum_of_squares, warc_chunks)
+from cartlane.llm import (interpolated_lm, jaccard_rtree, patricia, prefix_counts, pu_classifier, quality_rules,
+                          splitters, sum_of_squares, warc_chunks)
 from cartlane.llm.common import table, tokenizer_path
 
 
@@ -25,6 +25,10 @@ def op5_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.jaccard_groups(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_threshold_rules": op5_threshold_rules,
+    "op6_count_vector_join": op6_count_vector_join,
     "op7_chunked_warc": op7_chunked_warc,
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_patricia_dedup": op9_patricia_dedup,
