@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlane.llm.common import byte_letters
+
 #: Words whose tables a worker keeps, and the most code points of such a word.
 CACHED_WORDS, CACHED_CHARS = 150_000, 40
 
@@ -58,14 +60,6 @@ def later_code_points() -> str:
     return "[" + "".join(ranges) + "]"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others
-    for code points from 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Exact token counts at every prefix, for one vocabulary file of the tokenizers library."""
 

@@ -31,15 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import batches
+from cartlane.llm.common import batches, byte_letters
 
 WINDOW = 4096
 #: The least piece that closing cuts off, and the most items that a task holds before it closes its windows.
 LEAST_CUT, OPEN_ITEMS = 16, 50_000
-#: Words whose ids a worker keeps, the longest of them, and the characters of text that are encoded at once.
-CACHED_WORDS, CACHED_CHARS, SLICE_CHARS = 300_000, 40, 2_000_000
+#: Chunks and words whose ids a worker keeps, and the longest of them.
+CACHED_CHUNKS, CACHED_WORDS, CACHED_CHARS = 400_000, 400_000, 40
 #: A run of anything but Unicode white space, which the vocabulary's normaliser and splitter drop.
-CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
+CHUNK = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: What ``str.split`` takes for white space and the vocabulary does not.
+SEPARATORS = re.compile("[\\x1c-\\x1f]")
+#: The vocabulary's split for Latin-1, where lower-casing is character by character and NFC changes nothing.
+LETTERS, NUMBERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\\t-\\r \\x85\\xa0{LETTERS}{NUMBERS}]+")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -48,35 +53,51 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 class ChunkEncoder:
     """Ids of the tokenizers library as little-endian unsigned 32-bit numbers. The vocabulary drops white space, so a
-    text's ids are those of its white-space-separated chunks in order; a chunk is encoded once and kept."""
+    text's ids are those of its white-space-separated chunks in order. A worker keeps the ids of chunks and of
+    words; a new Latin-1 chunk is split here and its new words go to the library's model, any other new chunk to the
+    library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        part, size = [], 0
-        for text in texts:
-            part.append(text)
-            size += len(text)
-            if size >= SLICE_CHARS:
-                yield from self._encode(part)
-                part, size = [], 0
-        yield from self._encode(part)
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            written = "".join([self.letters[b] for b in word.encode()])
+            ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) >= CACHED_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        try:
+            chunk.encode("latin-1")
+            plain = not any(s in chunk for s in self.special)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            ids = b"".join([self._word(w) for w in LATIN.findall(chunk.lower())])
+        else:
+            ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.chunks) >= CACHED_CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = ids
+        return ids
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        split = [CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in split for c in chunks} - self.known.keys())
-        once = dict(zip(new, self._ids(new), strict=True))
-        self.known.update((c, ids) for c, ids in once.items() if len(c) <= CACHED_CHARS)
-        for chunks in split:
-            yield b"".join([self.known.get(c) or once.get(c, b"") for c in chunks])
+    def encode(self, text: str) -> bytes:
+        chunks = CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
+        known = self.chunks.get
+        return b"".join([self._chunk(c) if (ids := known(c)) is None else ids for c in chunks])
 
 
 class SumOfSquares:
@@ -194,9 +215,8 @@ def packer(path: str, end_id: int, window: int, least_cut: int, open_items: int)
         encoder, end = ChunkEncoder(path), np.array([end_id], "<u4").tobytes()
         lane = Lane(TaskContext.get().partitionId(), window, least_cut, open_items)
         for batch in source:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                yield from lane.add(doc_id, ids + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from lane.add(doc_id, encoder.encode(text.as_py() or "") + end)
         yield from lane.close()
 
     return lambda source: batches(pieces(source), PIECES)
