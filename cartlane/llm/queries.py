@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import (interpolated_lm, jaccard_rtree, patricia, prefix_counts, pu_classifier, quality_rules,
+from cartlane.llm import (byte_bpe, interpolated_lm, jaccard_rtree, patricia, prefix_counts, pu_classifier, quality_rules,
                           splitters, sum_of_squares, warc_chunks)
 from cartlane.llm.common import table, tokenizer_path
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_prefix_counts": op2_prefix_counts,
     "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_sampled_splitters": op4_sampled_splitters,
