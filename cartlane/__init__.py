@@ -12,7 +12,7 @@ Layout
                churn, clean path, friction, revenue, population)
 ``plans``      query catalog (name -> DataFrame builder), DuckDB oracle SQL,
                plan-inspection helpers
-``streaming``  incremental maintenance of the per-user-day fact table
+``llm``        operators of a training-data pipeline (separable)
 """
 
 from cartlane.config import CheckoutSpec, FunnelSpec, SegmentSpec, DEFAULTS

@@ -6,7 +6,6 @@ defaults reproduce the reference analysis.
 
 from __future__ import annotations
 
-import datetime as _dt
 from dataclasses import dataclass, field
 
 # --- fixed values (must equal the reference analysis) ----------------------
@@ -25,6 +24,8 @@ NOISE_EVENTS = ("session_start", "first_visit", "user_engagement", "scroll")
 CHECKOUT_PAGES = ("Shopping Cart", "Payment Method", "Checkout Confirmation")
 # Checkout steps that count as churn points and friction signals.
 CHURN_STEPS = ("begin_checkout", "add_payment_info", "Payment Method", "add_shipping_info")
+# Churn steps that belong to the payment.
+PAYMENT_STEPS = ("Payment Method", "add_payment_info")
 # Clean-path checkpoints: each must occur exactly once after checkout start.
 CLEAN_CHECKPOINTS = ("add_shipping_info", "Payment Method", "add_payment_info")
 # Browser / operating-system segment filter.
@@ -43,13 +44,10 @@ ADD_SHIPPING = "add_shipping_info"
 PAYMENT_PAGE = "Payment Method"
 ADD_PAYMENT = "add_payment_info"
 
-# Time bucket of the skew-safe event history (operators.sequences): a hot
-# user is spread over one task per active hour at most.
-HISTORY_BUCKET_US = 3_600_000_000
-
-# Cutoff of the driver fixture (its event dates are in January 2024); the
-# reference analysis used 2021-01-25 on its own data.
-FIXTURE_CUTOFF = _dt.date(2024, 1, 25)
+# Event history (operators.sequences): a user with more rows than this is
+# split over several tasks by time; at most so many users are.
+HISTORY_SPLIT_ROWS = 1_000_000
+HISTORY_SPLIT_USERS = 1000
 
 
 @dataclass(frozen=True)
@@ -67,6 +65,8 @@ class CheckoutSpec:
     pages: tuple[str, ...] = CHECKOUT_PAGES
     churn_steps: tuple[str, ...] = CHURN_STEPS
     checkpoints: tuple[str, ...] = CLEAN_CHECKPOINTS
+    payment_steps: tuple[str, ...] = PAYMENT_STEPS
+    begin: str = BEGIN_CHECKOUT
     history: int = 5
 
 
@@ -83,7 +83,6 @@ class Defaults:
     checkout: CheckoutSpec = field(default_factory=CheckoutSpec)
     funnel: FunnelSpec = field(default_factory=FunnelSpec)
     segment: SegmentSpec = field(default_factory=SegmentSpec)
-    cutoff: _dt.date = FIXTURE_CUTOFF
     aov: float = REFERENCE_AOV
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cartlane.config import PAGE_VIEW, CheckoutSpec
 
+# --- fixed values: output names of the lag columns ----------------------------
 LAG_NAMES = ("one_event_before", "two_events_before", "three_events_before",
              "four_events_before", "five_events_before")
+# ------------------------------------------------------------------------------
 
 
 def lag_names(n: int) -> list[str]:

@@ -2,7 +2,7 @@
 
 Spark and other engines disagree on ``round(double, 2)`` at binary ties and
 a double sum depends on row order, so results are computed from integers:
-whole minutes, cents, micro-dollars. ``ROUND(AVG(x), 2)`` over integer
+whole minutes, decimal money (rounded once, at the end). ``ROUND(AVG(x), 2)`` over integer
 inputs becomes an integer division that rounds half up on the exact ratio,
 which is what the analysis means and is the same on every engine and under
 every partitioning.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 MICROS_PER_MINUTE = 60_000_000
 MICRO_DOLLARS = 1_000_000
-CENTS_TO_MICROS = 10_000
+MONEY = "decimal(28,10)"
 
 
 def int_div(a: Column, b: Column | int) -> Column:
@@ -59,9 +59,24 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def money_cents(amount: Column) -> Column:
-    """Exact cents of a monetary double with at most two decimals."""
-    return (amount.cast("decimal(18,2)") * 100).cast("long")
+def money(amount: Column) -> Column:
+    """A monetary double as an exact decimal with ten places: sums of it do
+    not depend on row order, and no digit an amount has is cut off."""
+    return amount.cast(MONEY)
+
+
+def money_sum(amount: Column) -> Column:
+    return F.sum(amount).cast(MONEY)
+
+
+def mean_money(total: Column, n: Column) -> Column:
+    """``total / n`` with twenty places; NULL when ``n`` is 0 or NULL."""
+    return F.when(_positive(n), total / n.cast("long"))
+
+
+def round_money(total: Column, n: Column, places: int) -> Column:
+    """``round(total / n, places)`` half up, in units of the last place."""
+    return (F.round(mean_money(total, n), places) * 10 ** places).cast("long")
 
 
 def minutes_between(start_us: Column, end_us: Column) -> Column:

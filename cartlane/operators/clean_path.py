@@ -6,29 +6,35 @@ A user-day is *clean* when it has a begin_checkout, each checkpoint
 at or after the first begin_checkout of that day, and the user purchased on
 that day (at any time of the day).
 
-Plan: the first checkout time per (user, day) is a partial aggregate; the
-checkpoint and purchase rows are joined to it on (user, day) and counted in
-an aggregate that reuses the join's partitioning. A join, not an unbounded
-window, so AQE can split a hot (user, day) partition.
+Plan: one scan, no join. "Exactly once at or after the checkout" needs only the
+first checkout time and, per checkpoint, the two latest timestamps: the latest
+must not be before the checkout, the second latest must be. So a first partial
+aggregate keeps one row per (user, day) with the day's facts and one per
+checkpoint timestamp, a rank keeps the two latest of them (Spark cuts them
+map-side, before the shuffle), and a last aggregate puts them beside the facts.
+A hot user-day leaves every map task as a few rows.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlane.config import BEGIN_CHECKOUT, DEFAULTS, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import keep_predicate, label_expr
-from cartlane.functions.numeric import (CENTS_TO_MICROS, MICRO_DOLLARS, minutes_between, money_cents,
-                                        round2_ratio, round_half_up_ratio)
+from cartlane.functions.numeric import (MONEY, mean_money, minutes_between, money, money_sum, round2_ratio,
+                                        round_half_up_ratio, round_money)
 from cartlane.operators.duration import present
 from cartlane.operators.events import until
 
 KEY = ["user_pseudo_id", "event_date"]
+# --- fixed values: output names of the checkpoint counters --------------------
 COUNT_NAMES = {"add_shipping_info": "add_shipping_count", "Payment Method": "payment_page_count",
                "add_payment_info": "payment_info_count"}
+# ------------------------------------------------------------------------------
 
 
 def _count_name(label: str) -> str:
@@ -41,88 +47,85 @@ def checkout_start(labeled: DataFrame) -> DataFrame:
         F.min("event_us").alias("checkout_us"))
 
 
-def _count_after_checkout(rows: DataFrame, anchor: DataFrame, anchor_cols: list[str],
-                          spec: CheckoutSpec) -> DataFrame:
-    """Checkpoint occurrences at or after ``checkout_us`` and the purchase
-    flag per (user, day) of ``anchor``, for the anchor days that have rows.
-
-    Inner join, so AQE can split a hot (user, day) on the event side and
-    replicate the single anchor row; grouping on the anchor's own columns
-    keeps them, which lets the caller re-join ``anchor`` through the same
-    (reused) exchange."""
-    after = F.col("event_us") >= F.col("checkout_us")
-    # Sort-merge keeps the join output partitioned by (user, day) for the
-    # aggregate (a runtime broadcast would need one more shuffle), and it is
-    # the join AQE can split when a (user, day) is hot.
-    j = rows.join(anchor.hint("merge"), KEY, "inner")
-    return j.groupBy(*KEY, *anchor_cols).agg(
-        *[F.count_if((F.col("event_label") == c) & after).alias(_count_name(c)) for c in spec.checkpoints],
-        F.bool_or(F.col("event_label") == PURCHASE).alias("purchased"),
-    )
-
-
 def checkpoint_counts(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Per user-day with a begin_checkout: checkpoint occurrences at or after
-    the first begin_checkout, and whether the user purchased that day."""
-    cs = checkout_start(labeled)
-    rows = labeled.where(F.col("event_label").isin(*spec.checkpoints, PURCHASE)).select(
-        *KEY, "event_label", "event_us")
-    counts = [_count_name(c) for c in spec.checkpoints]
-    counted = _count_after_checkout(rows, cs, ["checkout_us"], spec).select(*KEY, *counts, "purchased")
-    j = cs.join(counted, KEY, "left")
-    return j.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"),
-                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
-                    F.coalesce(F.col("purchased"), F.lit(False)).alias("purchased"))
+    the first begin_checkout, and whether the user purchased that day.
+
+    Events of a label at one timestamp are one row from the map side on; the
+    first checkout comes from a window over the (few) timestamps of a
+    user-day, whose shuffle the counts share."""
+    label, begin = F.col("event_label"), F.col("event_label") == BEGIN_CHECKOUT
+    times = labeled.where(label.isin(BEGIN_CHECKOUT, PURCHASE, *spec.checkpoints)).groupBy(
+        *KEY, "event_label", "event_us").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.when(begin, F.col("event_us"))).over(Window.partitionBy(*KEY))
+    dated = times.withColumn("checkout_us", first).where(F.col("checkout_us").isNotNull())
+    after = F.col("event_us") >= F.col("checkout_us")
+    counts = [F.sum(F.when((label == c) & after, F.col("_n")).otherwise(0)).alias(_count_name(c))
+              for c in spec.checkpoints]
+    days = dated.groupBy(*KEY).agg(F.min("checkout_us").alias("checkout_us"), *counts,
+                                   F.bool_or(label == PURCHASE).alias("purchased"))
+    return days.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"),
+                       *[_count_name(c) for c in spec.checkpoints], "purchased")
+
+
+def _day_paths(rows: DataFrame, label: Column, checkpoint: Column, facts: dict[str, Column],
+               spec: CheckoutSpec) -> DataFrame:
+    """Per (user, day): the partial aggregates ``facts``, the first checkout
+    and ``clean`` (without the purchase condition). ``checkpoint`` marks the
+    rows that also count as a checkpoint occurrence."""
+    kinds = F.when(checkpoint, F.array(F.lit(None).cast("string"), label)).otherwise(F.array(F.lit(None).cast("string")))
+    split = rows.withColumn("_cp", F.explode(kinds))
+    split = split.withColumn("_us", F.when(F.col("_cp").isNotNull(), F.col("event_us")))
+    own = {**facts, "checkout_us": F.min(F.when(label == BEGIN_CHECKOUT, F.col("event_us")))}
+    partial = split.groupBy(*KEY, "_cp", "_us").agg(*[f.alias(k) for k, f in own.items()],
+                                                    F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*KEY, "_cp").orderBy(F.desc("_us")))
+    latest = partial.withColumn("_rank", rank).where(F.col("_rank") <= 2)
+
+    def at(c: str, k: int, value: str) -> Column:
+        return F.max(F.when((F.col("_cp") == c) & (F.col("_rank") == k), F.col(value)))
+
+    days = latest.groupBy(*KEY).agg(
+        *[F.max(F.when(F.col("_cp").isNull(), F.col(k))).alias(k) for k in own],
+        *[at(c, k, v).alias(f"{v}{k}_{i}") for i, c in enumerate(spec.checkpoints)
+          for k, v in ((1, "_us"), (1, "_n"), (2, "_us"))])
+    once = [(F.col(f"_us1_{i}") >= F.col("checkout_us")) & (F.col(f"_n1_{i}") == 1)
+            & (F.col(f"_us2_{i}").isNull() | (F.col(f"_us2_{i}") < F.col("checkout_us")))
+            for i in range(len(spec.checkpoints))]
+    clean = reduce(lambda a, b: a & b, once, F.col("checkout_us").isNotNull())
+    return days.select(*KEY, *own, F.coalesce(clean, F.lit(False)).alias("clean"))
 
 
 def clean_path_user_days(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Clean (user, day) pairs (no date filter)."""
-    counts = checkpoint_counts(labeled, spec)
-    cond = F.col("purchased")
-    for c in spec.checkpoints:
-        cond = cond & (F.col(_count_name(c)) == 1)
-    return counts.where(cond).select(*KEY)
+    label = F.col("event_label")
+    rows = labeled.where(label.isin(BEGIN_CHECKOUT, PURCHASE, *spec.checkpoints)).select(*KEY, "event_label", "event_us")
+    days = _day_paths(rows, label, label.isin(*spec.checkpoints), {"purchased": F.bool_or(label == PURCHASE)}, spec)
+    return days.where(F.col("clean") & F.col("purchased")).select(*KEY)
 
 
 def purchase_day_paths(events: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Per purchasing (user, day), at every date: the duration facts, the
-    average purchase revenue and whether the day is a clean path.
-
-    One partial aggregate over all events gives the facts and the first
-    checkout time; the checkpoint rows are inner-joined to it on
-    (user, day) (skew-splittable) and counted; the counts return to the
-    day table through a one-row-per-key left join."""
-    name = F.col("event_name")
-    is_purchase = name == PURCHASE
-    kept = keep_predicate(spec)
-    label = label_expr(spec)
-    rev = F.when(is_purchase, F.col("purchase_revenue_in_usd"))
-    days = events.groupBy(*KEY).agg(
-        F.min("event_us").alias("first_event_us"),
-        F.min(F.when(is_purchase, F.col("event_us"))).alias("first_purchase_us"),
-        F.count(rev).alias("revenue_events"),
-        F.sum(money_cents(rev)).alias("revenue_cents"),
-        F.min(F.when(kept & (label == BEGIN_CHECKOUT), F.col("event_us"))).alias("checkout_us"),
-    ).where(F.col("first_purchase_us").isNotNull())
-    rows = events.where(kept & label.isin(*spec.checkpoints)).select(
-        *KEY, label.alias("event_label"), "event_us")
-    day_cols = ["first_event_us", "first_purchase_us", "revenue_events", "revenue_cents", "checkout_us"]
-    counts = [_count_name(c) for c in spec.checkpoints]
-    counted = _count_after_checkout(rows, days, day_cols, spec).select(*KEY, *counts)
-    counted = days.join(counted, KEY, "left")
-    clean = F.col("checkout_us").isNotNull()
-    for c in counts:
-        clean = clean & F.coalesce(F.col(c) == 1, F.lit(False))
-    return counted.select(
+    average purchase revenue and whether the day is a clean path."""
+    is_purchase = F.col("event_name") == PURCHASE
+    # A row's label where it is kept, else NULL; rows of no label still have facts.
+    rows = events.select(*KEY, "event_us", F.when(is_purchase, F.col("event_us")).alias("_bought_us"),
+                         F.when(is_purchase, money(F.col("purchase_revenue_in_usd"))).alias("_rev"),
+                         F.when(keep_predicate(spec), label_expr(spec)).alias("_label"))
+    label = F.col("_label")
+    facts = {"first_event_us": F.min("event_us"), "first_purchase_us": F.min("_bought_us"),
+             "revenue_events": F.count("_rev"), "revenue": money_sum(F.col("_rev"))}
+    days = _day_paths(rows, label, F.coalesce(label.isin(*spec.checkpoints), F.lit(False)), facts, spec)
+    return days.where(F.col("first_purchase_us").isNotNull()).select(
         *KEY,
         minutes_between(F.col("first_event_us"), F.col("first_purchase_us")).alias("minutes_to_purchase"),
-        round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS).alias("revenue_micros"),
-        "revenue_cents", "revenue_events",
-        clean.alias("clean"),
-    )
+        mean_money(F.col("revenue"), F.col("revenue_events")).cast(MONEY).alias("revenue_mean"),
+        "revenue", "revenue_events", "clean")
 
 
+# --- fixed values: result labels -----------------------------------------------
 _KINDS = (("all", "Overall", "Overall Average"), ("cln", "Clean Path", "Clean Path Average"))
+# ------------------------------------------------------------------------------
 
 
 def _daily_both(paths: DataFrame, cutoff: _dt.date | None, fanout: str) -> DataFrame:
@@ -140,18 +143,18 @@ def _daily_both(paths: DataFrame, cutoff: _dt.date | None, fanout: str) -> DataF
         weight = F.when(F.col("clean"), F.lit(1))
     else:
         raise ValueError("fanout must be 'reference' or 'session'")
-    p = paths.select("event_date", "minutes_to_purchase", "revenue_micros", "revenue_cents", "revenue_events",
+    p = paths.select("event_date", "minutes_to_purchase", "revenue_mean", "revenue", "revenue_events",
                      F.lit(1).cast("long").alias("w_all"), weight.cast("long").alias("w_cln"))
     p = until(p, cutoff)
-    has_rev = F.col("revenue_micros").isNotNull()
+    has_rev = F.col("revenue_mean").isNotNull()
     aggs = []
     for k, _, _ in _KINDS:
         w = F.col(f"w_{k}")
         aggs += [F.sum(w).alias(f"n_{k}"),
                  F.sum(F.col("minutes_to_purchase") * w).alias(f"m_{k}"),
                  F.sum(F.when(has_rev, w)).alias(f"nr_{k}"),
-                 F.sum(F.col("revenue_micros") * w).alias(f"r_{k}")]
-    aggs += [F.sum("revenue_cents").alias("cents"), F.sum("revenue_events").alias("purchase_events")]
+                 money_sum(F.col("revenue_mean") * w.cast("decimal(9,0)")).alias(f"r_{k}")]
+    aggs += [money_sum(F.col("revenue")).alias("revenue"), F.sum("revenue_events").alias("purchase_events")]
     return p.groupBy("event_date").agg(*aggs)
 
 
@@ -161,8 +164,8 @@ def _kind_rows(daily: DataFrame) -> DataFrame:
         F.lit(label).alias("result_type"),
         F.col(f"n_{k}").alias("n"), F.col(f"m_{k}").alias("m"),
         F.col(f"nr_{k}").alias("nr"), F.col(f"r_{k}").alias("r"),
-        # purchase cents and count ride on the all-traffic row only (AOV)
-        (F.col("cents") if k == "all" else F.lit(None).cast("long")).alias("cents"),
+        # purchase revenue and count ride on the all-traffic row only (AOV)
+        (F.col("revenue") if k == "all" else F.lit(None).cast(MONEY)).alias("revenue"),
         (F.col("purchase_events") if k == "all" else F.lit(None).cast("long")).alias("purchase_events"))
         for k, label, _ in _KINDS])
     rows = daily.select(F.col("event_date").alias("purchase_date"), F.inline(parts)).where(F.col("n") > 0)
@@ -170,18 +173,18 @@ def _kind_rows(daily: DataFrame) -> DataFrame:
         "purchase_date",
         round2_ratio(F.col("m"), F.col("n")).alias("avg_minutes_to_purchase"),
         F.col("n").alias("no_of_purchases"),
-        round2_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS).alias("avg_revenue"),
+        (round_money(F.col("r"), F.col("nr"), 2) / 100).alias("avg_revenue"),
         "result_type",
         round_half_up_ratio(F.col("m"), F.col("n"), 100).alias("_mc"),
-        round_half_up_ratio(F.col("r"), F.col("nr") * MICRO_DOLLARS, 100).alias("_rc"),
-        "cents", "purchase_events",
+        round_money(F.col("r"), F.col("nr"), 2).alias("_rc"),
+        "revenue", "purchase_events",
     )
 
 
 def _summary_row(rows: DataFrame) -> DataFrame:
     """One global aggregate over the daily rows of both groups: the inputs
     of both summary rows and of the transaction-weighted AOV."""
-    aggs = [F.sum("cents").alias("cents"), F.sum("purchase_events").alias("purchase_events")]
+    aggs = [money_sum(F.col("revenue")).alias("revenue"), F.sum("purchase_events").alias("purchase_events")]
     for _, label, _ in _KINDS:
         is_k = F.col("result_type") == label
         aggs += [F.sum(F.when(is_k, F.col("_mc"))).alias(f"mc_{label}"),
@@ -208,7 +211,7 @@ def _summaries(rows: DataFrame) -> DataFrame:
     return s.select(F.lit(None).cast("date").alias("purchase_date"), F.inline(F.array(*_summary_structs(s))))
 
 
-def clean_vs_overall(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+def clean_vs_overall(events: DataFrame, cutoff: _dt.date | None = None, fanout: str = "reference",
                      spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Daily 'Overall' and 'Clean Path' rows plus their two summary rows
     (mean of rounded daily means), ordered by date then result type. Takes
@@ -220,15 +223,15 @@ def clean_vs_overall(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutof
     return present(out, F.asc_nulls_first("purchase_date"), "result_type")
 
 
-def aov_candidates(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
+def aov_candidates(events: DataFrame, cutoff: _dt.date | None = None,
                    spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """The transaction-weighted AOV next to the two rejected
     estimators (mean of daily mean revenue, overall and clean path). All
     three come out of the same one-row summary aggregate; the AOV is the
-    exact sum of purchase cents over the purchase count."""
+    exact sum of purchase revenue over the purchase count."""
     s = _summary_row(_kind_rows(_daily_both(purchase_day_paths(events, spec), cutoff, "reference")))
     overall, clean = _summary_structs(s)
-    aov = (F.col("cents").cast("double") / 100 / F.col("purchase_events"))
+    aov = F.col("revenue").cast("double") / F.col("purchase_events")
     rows = F.array(
         F.struct(F.lit("transaction_weighted").alias("candidate"), aov.alias("value"), F.lit(True).alias("chosen")),
         F.struct(F.lit("overall_daily_mean").alias("candidate"), overall["avg_revenue"].alias("value"),
@@ -238,7 +241,7 @@ def aov_candidates(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff,
     return s.select(F.inline(rows))
 
 
-def clean_path_speedup(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff, fanout: str = "reference",
+def clean_path_speedup(events: DataFrame, cutoff: _dt.date | None = None, fanout: str = "reference",
                        spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
     """Summary minutes of both groups and the speed-up of the clean
     path in percent, 1 - clean / overall (from the one-row summary)."""

@@ -65,30 +65,35 @@ def purchase_duration_from_facts(facts: DataFrame, keys: tuple[str, ...] = ()) -
     return present(out, F.asc_nulls_first("purchase_date"), *keys)
 
 
-def purchase_duration(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
+def purchase_duration(events: DataFrame, cutoff: _dt.date | None = None) -> DataFrame:
     """Daily mean minutes from first event of the day to first purchase
     of the day, and one 'Overall' row."""
     return purchase_duration_from_facts(user_day_facts(events, cutoff=cutoff, with_segment_columns=False))
 
 
 def purchase_duration_by(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
-                         cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
+                         cutoff: _dt.date | None = None) -> DataFrame:
     """As W4 per browser/OS segment; the segment filter applies to the
     first event as well as to the purchase."""
     facts = user_day_facts(events, segment=segment, cutoff=cutoff)
     return purchase_duration_from_facts(facts, tuple(segment.keys))
 
 
-def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
-                    cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
-    """The segment with the highest summary time to purchase and its gap
-    to the all-traffic summary.
-
-    One pass: a single ``groupBy(user, day)`` computes the facts of all
-    traffic and of the segment-filtered traffic side by side; a generator
-    splits them into two views that share the daily and summary
-    aggregates. The top segment is ``min_by`` on (-minutes, browser, OS)
-    over the bounded set of segment summaries (no sort job, no join)."""
+def purchase_weighted_duration(events: DataFrame, cutoff: _dt.date | None = None) -> DataFrame:
+    """Mean minutes to purchase over purchasing user-days (one row), beside
+    the mean of rounded daily means that the summary rows give."""
+    facts = user_day_facts(events, cutoff=cutoff, with_segment_columns=False)
+    total = facts.agg(F.sum("minutes_to_purchase").alias("m"), F.count(F.lit(1)).alias("no_of_purchases"))
+    return total.select(round2_ratio(F.col("m"), F.col("no_of_purchases")).alias("avg_minutes_to_purchase"),
+                        "no_of_purchases")
+
+
+def _segment_summaries(events: DataFrame, segment: SegmentSpec, cutoff: _dt.date | None) -> DataFrame:
+    """Summary rows of all traffic (``_all``) and of every segment in one pass.
+
+    A single ``groupBy(user, day)`` computes the facts of all traffic and of
+    the segment-filtered traffic side by side; a generator splits them into
+    two views that share the daily and summary aggregates."""
     keys = tuple(segment.keys)
     ev = until(events, cutoff)
     is_p = F.col("event_name") == PURCHASE
@@ -115,19 +120,29 @@ def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
     )
     facts = per_day.select("event_date", F.inline(views)).where(F.col("fp").isNotNull()).select(
         "_all", "event_date", *keys, minutes_between(F.col("fe"), F.col("fp")).alias("minutes_to_purchase"))
-    rows = summarize_daily(daily_duration(facts, ("_all", *keys)), ("_all", *keys))
-    top = F.min_by(F.struct(*keys, "avg_minutes_to_purchase", "no_of_purchases", "avg_cents"),
-                   F.struct("_all", -F.col("avg_cents"), *keys))
-    red = rows.agg(
-        top.alias("_top"),
+    return summarize_daily(daily_duration(facts, ("_all", *keys)), ("_all", *keys))
+
+
+def segment_gaps(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
+                 cutoff: _dt.date | None = None) -> DataFrame:
+    """Every segment's summary time to purchase and its gap to the all-traffic
+    summary. One global aggregate over the segment summaries (at most browsers
+    x systems rows) puts the all-traffic row beside the others: no join."""
+    keys = tuple(segment.keys)
+    entry = F.struct(*keys, "avg_minutes_to_purchase", "no_of_purchases", "avg_cents")
+    red = _segment_summaries(events, segment, cutoff).agg(
+        F.collect_list(F.when(~F.col("_all"), entry)).alias("_segments"),
         F.max(F.when(F.col("_all"), F.col("avg_minutes_to_purchase"))).alias("overall_avg_minutes"),
-        F.max(F.when(F.col("_all"), F.col("avg_cents"))).alias("_oc"),
-        F.count_if(~F.col("_all")).alias("_segments"),
-    ).where(F.col("_segments") > 0)
-    return red.select(
-        *[F.col("_top")[k].alias(k) for k in keys],
-        F.col("_top.avg_minutes_to_purchase").alias("avg_minutes_to_purchase"),
-        F.col("_top.no_of_purchases").alias("no_of_purchases"),
-        "overall_avg_minutes",
-        ((F.col("_top.avg_cents") - F.col("_oc")).cast("double") / 100).alias("gap_minutes"),
-    )
+        F.max(F.when(F.col("_all"), F.col("avg_cents"))).alias("_oc"))
+    rows = red.select("overall_avg_minutes", "_oc", F.inline("_segments"))
+    return rows.select(*keys, "avg_minutes_to_purchase", "no_of_purchases", "overall_avg_minutes",
+                       ((F.col("avg_cents") - F.col("_oc")).cast("double") / 100).alias("gap_minutes"))
+
+
+def slowest_segment(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,
+                    cutoff: _dt.date | None = None) -> DataFrame:
+    """The segment with the highest summary time to purchase (ties: the
+    first by name) and its gap to the all-traffic summary."""
+    gaps = segment_gaps(events, segment, cutoff)
+    top = gaps.agg(F.min_by(F.struct(*gaps.columns), F.struct(-F.col("gap_minutes"), *segment.keys)).alias("_top"))
+    return top.where("_top is not null").select("_top.*")

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlane.config import PURCHASE, SegmentSpec
-from cartlane.functions.numeric import (CENTS_TO_MICROS, MICRO_DOLLARS, minutes_between, money_cents,
-                                        round_half_up_ratio)
+from cartlane.functions.numeric import MICRO_DOLLARS, minutes_between, money, money_sum, round_money
 from cartlane.operators.events import until
 
 
@@ -24,8 +23,17 @@ def segment_filter(spec: SegmentSpec) -> Column:
     return F.col("browser").isin(*spec.browsers) & F.col("operating_system").isin(*spec.systems)
 
 
+def _segment_of_purchases(paired: bool) -> list[Column]:
+    if not paired:
+        return [F.max("_pb").alias("browser"), F.max("_po").alias("operating_system")]
+    # The rows of other events carry two NULLs and lose against any purchase.
+    best = F.max(F.struct(F.col("_pb").alias("browser"), F.col("_po").alias("operating_system")))
+    return [best["browser"].alias("browser"), best["operating_system"].alias("operating_system")]
+
+
 def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
-                   cutoff: _dt.date | None = None, with_segment_columns: bool = True) -> DataFrame:
+                   cutoff: _dt.date | None = None, with_segment_columns: bool = True,
+                   paired: bool = False) -> DataFrame:
     """Per purchasing user-day facts from normalised events.
 
     ``segment`` filters events on browser/OS *before* both the first event
@@ -40,7 +48,8 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
     (user, day, purchase browser, purchase OS) collapses the events map-side,
     and the string MAX runs over those few rows per user-day only. Callers
     that do not need the columns (``with_segment_columns=False``) get the
-    single-level aggregate.
+    single-level aggregate. The two MAX are independent, so they can form a
+    pair that no purchase had; ``paired=True`` takes the greatest pair.
     """
     ev = events.where(segment_filter(segment)) if segment is not None else events
     ev = until(ev, cutoff)
@@ -50,7 +59,7 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
         F.min("event_us").alias("first_event_us"),
         F.min(F.when(is_purchase, F.col("event_us"))).alias("first_purchase_us"),
         F.count(rev).alias("revenue_events"),
-        F.sum(money_cents(rev)).alias("revenue_cents"),
+        money_sum(money(rev)).alias("revenue"),
     ]
     if with_segment_columns:
         lvl1 = ev.groupBy("user_pseudo_id", "event_date",
@@ -59,18 +68,16 @@ def user_day_facts(events: DataFrame, segment: SegmentSpec | None = None,
         agg = lvl1.groupBy("user_pseudo_id", "event_date").agg(
             F.min("first_event_us").alias("first_event_us"),
             F.min("first_purchase_us").alias("first_purchase_us"),
-            # MAX over purchase rows, browser and OS independently (as in the reference).
-            F.max("_pb").alias("browser"),
-            F.max("_po").alias("operating_system"),
+            *_segment_of_purchases(paired),
             F.sum("revenue_events").alias("revenue_events"),
-            F.sum("revenue_cents").alias("revenue_cents"),
+            money_sum(F.col("revenue")).alias("revenue"),
         )
         seg_cols = ["browser", "operating_system"]
     else:
         agg = ev.groupBy("user_pseudo_id", "event_date").agg(*partial)
         seg_cols = []
     agg = agg.where(F.col("first_purchase_us").isNotNull())
-    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS)
+    micros = round_money(F.col("revenue"), F.col("revenue_events"), 6)
     return agg.select(
         "user_pseudo_id",
         "event_date",
@@ -88,9 +95,9 @@ def purchase_revenue_user_day(events: DataFrame, cutoff: _dt.date | None = None)
     is_purchase = F.col("event_name") == PURCHASE
     rev = until(events, cutoff).where(is_purchase).groupBy("user_pseudo_id", "event_date").agg(
         F.count("purchase_revenue_in_usd").alias("revenue_events"),
-        F.sum(money_cents(F.col("purchase_revenue_in_usd"))).alias("revenue_cents"),
+        money_sum(money(F.col("purchase_revenue_in_usd"))).alias("revenue"),
     )
-    micros = round_half_up_ratio(F.col("revenue_cents"), F.col("revenue_events"), CENTS_TO_MICROS)
+    micros = round_money(F.col("revenue"), F.col("revenue_events"), 6)
     return rev.select("user_pseudo_id", "event_date",
                       (micros.cast("double") / MICRO_DOLLARS).alias("purchase_revenue_in_usd"),
                       "revenue_events")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import DEFAULTS, HISTORY_BUCKET_US, PURCHASE, CheckoutSpec
+from cartlane.config import DEFAULTS, HISTORY_SPLIT_ROWS, PURCHASE, CheckoutSpec
 from cartlane.functions.labels import lag_names
 from cartlane.functions.numeric import round2, round2_ratio
 from cartlane.operators import sequences as S
@@ -21,30 +21,32 @@ SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "r
                    "avg_payment_touches", "user_avg_payment_touches", "max_payment_touches")
 
 
-def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, bucket_us: int | None) -> DataFrame:
+def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, partition_by: tuple[str, ...],
+                       split_rows: int) -> DataFrame:
     """Sequence groups of both kinds that pass their kind's friction rule."""
     names = lag_names(spec.history)
-    frame = S.history_frame(labeled, spec.history, bucket_us)
+    frame = S.history_frame(labeled, spec.history, partition_by, split_rows)
     is_comp = F.col(S.LABEL) == PURCHASE
     is_churn = S.churn_row_predicate(spec)
     rows = frame.where(is_comp | is_churn).select(
         F.when(is_comp, "completer").otherwise("churner").alias("kind"),
         F.col(S.LABEL).alias("last_event"), *names, S.USER)
-    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]),
-                               spec.history)
-    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate())
-                              | ((F.col("kind") == "completer") & S.completer_friction_predicate()))
+    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]), spec)
+    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate(spec))
+                              | ((F.col("kind") == "completer") & S.completer_friction_predicate(spec)))
     return frictioned
 
 
+# --- fixed values: segment and revenue labels of the result ------------------
 SEGMENTS = (
     ("churner", "Friction Churners", "Lost Revenue"),
     ("completer", "Friction Completers", "At-Risk Revenue Retained"),
 )
+# ------------------------------------------------------------------------------
 
 
 def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                      bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
+                      partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
     """One row per segment (Friction Churners, Friction Completers).
 
     The reference runs two pipelines over the same history. Here both are
@@ -53,8 +55,9 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
     (kind, sequence) once, filtered by each kind's friction rule and reduced
     to one row per kind. An empty segment still yields its row (0
     sequences, NULL sums) as the reference's global aggregates do."""
-    frictioned = _frictioned_groups(labeled, spec, bucket_us)
-    touches = F.col("pay_meth_count") + F.col("add_pay_count")
+    frictioned = _frictioned_groups(labeled, spec, partition_by, split_rows)
+    touches = sum((F.col(S.count_name(s)) for s in spec.payment_steps), F.lit(0))
+    begins = F.col(S.count_name(spec.begin))
     # One global aggregate with conditional sums per kind: it returns a row
     # even over empty input, so an empty segment keeps its row (0
     # sequences, NULL sums) without a join to a table of segments.
@@ -64,9 +67,9 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
         aggs += [
             F.count_if(on).alias(f"{kind}_n"),
             F.sum(F.when(on, F.col("users"))).alias(f"{kind}_users"),
-            F.sum(F.when(on, F.col("begin_checkout_count"))).alias(f"{kind}_bc"),
-            F.sum(F.when(on, F.col("begin_checkout_count") * F.col("users"))).alias(f"{kind}_bc_w"),
-            F.max(F.when(on, F.col("begin_checkout_count"))).alias(f"{kind}_bc_max"),
+            F.sum(F.when(on, begins)).alias(f"{kind}_bc"),
+            F.sum(F.when(on, begins * F.col("users"))).alias(f"{kind}_bc_w"),
+            F.max(F.when(on, begins)).alias(f"{kind}_bc_max"),
             F.sum(F.when(on, touches)).alias(f"{kind}_pt"),
             F.sum(F.when(on, touches * F.col("users"))).alias(f"{kind}_pt_w"),
             F.max(F.when(on, touches)).alias(f"{kind}_pt_max"),
@@ -94,7 +97,7 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                  bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
+                  partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
     """Churner rows, distinct checkout churners, friction churners (the
     reference's sum over sequence groups, and distinct), friction share.
 
@@ -103,7 +106,7 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
     affected-user count is the number of (user, friction sequence) pairs,
     since each group contributes its distinct users."""
     names = lag_names(spec.history)
-    rows = S.churner_rows_with_friction(labeled, spec, bucket_us)
+    rows = S.churner_rows_with_friction(labeled, spec, partition_by, split_rows)
     pairs = rows.groupBy(S.USER, "last_event", *names).agg(
         F.count(F.lit(1)).alias("_rows"), F.bool_or("is_friction").alias("_fr"))
     per_user = pairs.groupBy(S.USER).agg(
@@ -123,10 +126,10 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
 
 
 def friction_revenue_total(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                           bucket_us: int | None = HISTORY_BUCKET_US) -> DataFrame:
+                           partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
     """Friction-affected users of both segments and their revenue
     (one global aggregate over the frictioned sequence groups)."""
-    total = _frictioned_groups(labeled, spec, bucket_us).agg(
+    total = _frictioned_groups(labeled, spec, partition_by, split_rows).agg(
         F.coalesce(F.sum("users"), F.lit(0)).alias("friction_affected_users"))
     return total.select(
         "friction_affected_users",

@@ -61,17 +61,19 @@ def funnel_users(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> DataF
     return present(_pivot(cells, "users", spec), *keys)
 
 
-def _rates(counts: DataFrame, spec: FunnelSpec) -> list:
+def _rates(counts: DataFrame, spec: FunnelSpec, strict: bool = False) -> list:
     base = F.col(spec.base)
+    if strict:
+        base = F.when(base == 0, F.raise_error(F.lit(f"funnel segment without {spec.base}")).cast("long")).otherwise(base)
     return [round2_ratio(F.col(s) * 100, base).alias(rate_name(s)) for s in spec.steps]
 
 
-def funnel_rates(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> DataFrame:
+def funnel_rates(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel, strict: bool = False) -> DataFrame:
     """Each step as a percentage of the base step (first_visit), two
-    decimals; NULL where the base is 0."""
+    decimals; NULL where the base is 0, or an error with ``strict``."""
     counts = funnel_counts(events, spec)
     keys = list(spec.segment.keys)
-    return counts.select(*reversed(keys), *_rates(counts, spec))
+    return counts.select(*reversed(keys), *_rates(counts, spec, strict))
 
 
 def funnel_counts_and_rates(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> DataFrame:

@@ -12,12 +12,12 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import BEGIN_CHECKOUT, DEFAULTS, INFORMATION_PAGE, PAGE_VIEW, PURCHASE
+from cartlane.config import BEGIN_CHECKOUT, INFORMATION_PAGE, PAGE_VIEW, PURCHASE
 from cartlane.functions.numeric import round2_ratio
 from cartlane.operators.events import until
 
 
-def population_counts(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
+def population_counts(events: DataFrame, cutoff: _dt.date | None = None) -> DataFrame:
     """Unique users, users who began checkout, users who purchased."""
     name = F.col("event_name")
     per_user = until(events, cutoff).groupBy("user_pseudo_id").agg(

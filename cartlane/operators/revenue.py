@@ -7,18 +7,19 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import DEFAULTS, PURCHASE
+from cartlane.config import PURCHASE
+from cartlane.functions.numeric import money
 from cartlane.operators.events import until
 
 
-def average_order_value(events: DataFrame, cutoff: _dt.date | None = DEFAULTS.cutoff) -> DataFrame:
-    """AVG(revenue) over every purchase row up to ``cutoff``: one row.
+def average_order_value(events: DataFrame, cutoff: _dt.date | None = None) -> DataFrame:
+    """AVG(revenue) over every purchase row (up to ``cutoff``): one row.
 
     The sum is exact (DECIMAL), so the value does not depend on partitioning
     or row order; a global aggregate is a partial sum per task plus one tiny
     final merge."""
     rev = until(events, cutoff).where(F.col("event_name") == PURCHASE).select(
-        F.col("purchase_revenue_in_usd").cast("decimal(18,2)").alias("rev"))
+        money(F.col("purchase_revenue_in_usd")).alias("rev"))
     return rev.agg(
         (F.sum("rev").cast("double") / F.count("rev")).alias("aov"),
         F.count("rev").alias("purchase_events"),

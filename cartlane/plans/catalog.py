@@ -6,6 +6,7 @@ full and runs one operator of the library with the reference's parameters.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ from cartlane.operators import (clean_path, duration, events, facts, friction, f
                                 sequences)
 from cartlane.sources.fixture import load_raw_events
 
+# The date filter that some of the analyses have, on the dates of the driver's
+# fixture (January 2024).
+FIXTURE_CUTOFF = _dt.date(2024, 1, 25)
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
 
@@ -50,6 +55,11 @@ def q_user_day_facts(spark, sf_dir):
     return facts.user_day_facts(normalized(spark, sf_dir))
 
 
+@query("user_day_facts_paired")
+def q_user_day_facts_paired(spark, sf_dir):
+    return facts.user_day_facts(normalized(spark, sf_dir), paired=True)
+
+
 @query("purchase_revenue_user_day")
 def q_purchase_revenue_user_day(spark, sf_dir):
     return facts.purchase_revenue_user_day(normalized(spark, sf_dir))
@@ -57,22 +67,32 @@ def q_purchase_revenue_user_day(spark, sf_dir):
 
 @query("daily_purchase_duration")
 def q_daily_purchase_duration(spark, sf_dir):
-    return duration.purchase_duration(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return duration.purchase_duration(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("purchase_duration_by_segment")
 def q_purchase_duration_by_segment(spark, sf_dir):
-    return duration.purchase_duration_by(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return duration.purchase_duration_by(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+
+
+@query("segment_gaps")
+def q_segment_gaps(spark, sf_dir):
+    return duration.segment_gaps(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+
+
+@query("purchase_weighted_duration")
+def q_purchase_weighted_duration(spark, sf_dir):
+    return duration.purchase_weighted_duration(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("slowest_segment")
 def q_slowest_segment(spark, sf_dir):
-    return duration.slowest_segment(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return duration.slowest_segment(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("aov")
 def q_aov(spark, sf_dir):
-    return revenue.average_order_value(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return revenue.average_order_value(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 # --- funnel ------------------------------------------------------------------
@@ -137,6 +157,11 @@ def q_friction_segments(spark, sf_dir):
     return friction.friction_segments(labeled(spark, sf_dir), aov=DEFAULTS.aov)
 
 
+@query("friction_segments_session")
+def q_friction_segments_session(spark, sf_dir):
+    return friction.friction_segments(labeled(spark, sf_dir), aov=DEFAULTS.aov, partition_by=sequences.SESSION)
+
+
 @query("churn_summary")
 def q_churn_summary(spark, sf_dir):
     return friction.churn_summary(labeled(spark, sf_dir))
@@ -152,6 +177,11 @@ def q_churners_by_last_event(spark, sf_dir):
     return sequences.churners_by_last_event(labeled(spark, sf_dir))
 
 
+@query("churner_shares")
+def q_churner_shares(spark, sf_dir):
+    return sequences.churner_shares(labeled(spark, sf_dir))
+
+
 @query("payment_step_churners")
 def q_payment_step_churners(spark, sf_dir):
     return sequences.payment_step_churners(labeled(spark, sf_dir))
@@ -181,28 +211,28 @@ def q_clean_path_user_days(spark, sf_dir):
 
 @query("clean_vs_overall")
 def q_clean_vs_overall(spark, sf_dir):
-    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("clean_vs_overall_session")
 def q_clean_vs_overall_session(spark, sf_dir):
-    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff, fanout="session")
+    return clean_path.clean_vs_overall(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF, fanout="session")
 
 
 @query("aov_candidates")
 def q_aov_candidates(spark, sf_dir):
-    return clean_path.aov_candidates(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return clean_path.aov_candidates(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("clean_path_speedup")
 def q_clean_path_speedup(spark, sf_dir):
-    return clean_path.clean_path_speedup(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return clean_path.clean_path_speedup(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 # --- population ---------------------------------------------------------------
 @query("population_counts")
 def q_population_counts(spark, sf_dir):
-    return population.population_counts(normalized(spark, sf_dir), cutoff=DEFAULTS.cutoff)
+    return population.population_counts(normalized(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
 @query("missing_step_share")

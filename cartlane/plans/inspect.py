@@ -27,7 +27,9 @@ def plan_stats(df: DataFrame, execute: bool = True) -> dict[str, int]:
     """Operator counts; with ``execute`` the query runs first so that the
     adaptive plan is final (reused exchanges, runtime join choices)."""
     if execute:
-        df.collect()
+        # The plan that is explained must be this DataFrame's own, so no writer;
+        # one result partition comes to the driver, not the whole result.
+        next(df.toLocalIterator(), None)
     text = plan_text(df)
     final = text.split("== Initial Plan ==")[0]
     return {

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job of this library wants. AQE re-plans joins from runtime
@@ -22,11 +19,6 @@ SESSION_CONF = {
     # Python call-site capture for error messages costs one JVM round trip
     # per Column call while a plan is built; off for batch jobs.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Keys are non-NULL by contract (normalize_events). Inferred IS NOT NULL
-    # filters on derived keys would be pushed below exchanges into the read
-    # stage and make two uses of one aggregate differ, which defeats
-    # exchange reuse.
-    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromConstraints",
 }
 
 
@@ -42,22 +34,4 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
-
-    The setting is read from the session; only when it is unset (local tests)
-    is a private scratch folder created and registered.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    scratch = tempfile.mkdtemp(prefix="cartlane-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch

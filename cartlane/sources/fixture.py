@@ -96,10 +96,8 @@ def adapt_events(events: DataFrame) -> DataFrame:
     ts_micros = _NTZ_MICROS if dict(events.dtypes)["ts"] == "timestamp_ntz" else "unix_micros(ts)"
     src = events.selectExpr("event_id", "user_id", "event_type", "value",
                             "CAST(get_json_object(props, '$.k') AS INT) AS k", f"{ts_micros} AS us")
-    # coalesce(): a NULL-tolerant predicate, so the optimizer infers no
-    # IS NOT NULL(k) filter to push below a source spread into the read task.
     expanded = src.selectExpr("*", f"inline(element_at({_template_sql()}, event_type))").where(
-        "coalesce(k BETWEEN kmin AND kmax, false)")
+        "k BETWEEN kmin AND kmax")
     return expanded.selectExpr(
         "concat(CAST(user_id AS STRING), '.', CAST(k % 10 AS STRING)) AS user_pseudo_id",
         "event_name",
@@ -115,18 +113,5 @@ def adapt_events(events: DataFrame) -> DataFrame:
 
 def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_events derived from ``{sf_dir}/events.parquet`` (only the six
-    columns the adapter needs are read, with a declared schema).
-
-    A source that yields fewer scan splits than the cluster has cores (a
-    small single-row-group file) is hash-spread on its unique ``event_id``
-    first (deterministic on retry, no pre-sort as round-robin needs), so the
-    four-fold expansion does not run in one task. A large table has at
-    least that many splits and is never reshuffled."""
-    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if events.rdd.getNumPartitions() < cores:
-            events = events.repartition(cores, "event_id")
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): keep the scan as is
-        pass
-    return adapt_events(events)
+    columns the adapter needs are read, with a declared schema)."""
+    return adapt_events(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet"))

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                  single_file: bool = False) -> str:
     """Write a result. ``single_file`` (one CSV for a dashboard, as the
-    reference exported) is only meant for the small report tables; large
+    reference exported) is only meant for the small report tables, whose rows are
+    moved to one task after they are made; large
     outputs keep their partitioning and may be ``partition_by`` a date."""
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

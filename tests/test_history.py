@@ -1,4 +1,4 @@
-"""The bucketed, skew-safe history equals a brute-force per-user LAG, also
+"""The skew-safe history equals a brute-force per-user LAG, also
 for a hot user holding about a third of all events and for ties."""
 
 import random
@@ -35,29 +35,55 @@ def _brute(rows, n=5):
     return out
 
 
+def _brute_by(rows, keys, n=5):
+    return _brute([{**r, "user_pseudo_id": tuple(r[k] for k in keys)} for r in rows], n)
+
+
 def test_history_matches_brute_force(spark, events):
     lab = label_checkout_events(_random_events(events).norm(spark))
-    expected = _brute([r.asDict() for r in lab.collect()])
+    rows = [r.asDict() for r in lab.collect()]
     names = lag_names(5)
-    for bucket in (None, 3_600_000_000, 60_000_000 * 7, 86_400_000_000):
-        got = {r.event_seq: tuple(r[c] for c in names) for r in S.prior_events(lab, bucket_us=bucket).collect()}
-        assert got == expected, f"bucket {bucket}"
+    for keys in ((S.USER,), S.SESSION):
+        expected = _brute_by(rows, keys)
+        for split in (1_000_000, 100, 20, 6, 1):
+            got = {r.event_seq: tuple(r[c] for c in names)
+                   for r in S.prior_events(lab, partition_by=keys, split_rows=split).collect()}
+            assert got == expected, (keys, split)
 
 
-def test_churners_independent_of_bucketing(spark, events):
+def test_all_at_one_timestamp(spark, events):
+    for k in range(60):
+        events.add("tied", LABELS[k % 4], 5).add("other", LABELS[k % 3], 5)
+    lab = label_checkout_events(events.norm(spark))
+    expected = _brute([r.asDict() for r in lab.collect()])
+    got = {r.event_seq: tuple(r[c] for c in lag_names(5)) for r in S.prior_events(lab, split_rows=10).collect()}
+    assert got == expected
+
+
+def test_churners_independent_of_splitting(spark, events):
     lab = label_checkout_events(_random_events(events, seed=11).norm(spark))
-    a = sorted(map(tuple, S.checkout_churners(lab, bucket_us=None).collect()))
-    b = sorted(map(tuple, S.checkout_churners(lab, bucket_us=3_600_000_000).collect()))
-    assert a == b
+    for keys in ((S.USER,), S.SESSION):
+        results = [sorted(map(tuple, S.checkout_churners(lab, partition_by=keys, split_rows=n).collect()), key=repr)
+                   for n in (1_000_000, 50, 3)]
+        assert results[0] == results[1] == results[2]
+    assert results[0]  # sessions that end on a checkout step, without a purchase
 
 
 def test_hot_user_is_spread_over_tasks(spark, events):
+    """The largest task's share of a split user, with all lag columns kept, so that no window is pruned."""
     lab = label_checkout_events(_random_events(events).norm(spark))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
     try:
-        frame = S.history_frame(lab, 5, bucket_us=3_600_000_000)
-        parts = (frame.where(F.col("user_pseudo_id") == "hot")
-                 .select(F.spark_partition_id().alias("p")).distinct().count())
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        frame = S.history_frame(lab, 5, split_rows=40).withColumn("_task", F.spark_partition_id())
+        rows = [r for r in frame.collect() if r["user_pseudo_id"] == "hot"]
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert parts > 1
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_task = {}
+    for r in rows:
+        by_task[r["_task"]] = by_task.get(r["_task"], 0) + 1
+    # Edges of its slices share one task; no other holds more than a few slices.
+    assert len(rows) > 300 and max(by_task.values()) < 0.4 * len(rows) and len(by_task) >= 6

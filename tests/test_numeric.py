@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cartlane.functions.numeric import minutes_between, money_cents, round2_ratio, round_half_up_ratio
+from cartlane.functions.numeric import mean_money, minutes_between, money, round2_ratio, round_half_up_ratio, round_money
 
 
 def test_round2_ratio_half_up_and_null(spark):
@@ -16,8 +16,15 @@ def test_round_half_up_ratio_scale(spark):
     assert df.select(round_half_up_ratio(F.col("n"), F.col("d"), 10_000)).first()[0] == 3336667
 
 
-def test_money_cents_and_minutes(spark):
-    df = spark.createDataFrame([(48.23, 59_000_000, 120_000_000)], "v double, a long, b long")
-    r = df.select(money_cents(F.col("v")), minutes_between(F.col("a"), F.col("b"))).first()
-    assert r[0] == 4823
-    assert r[1] == 1  # 00:00:59 -> 00:02:00 is one whole minute (T1)
+def test_minutes(spark):
+    df = spark.createDataFrame([(59_000_000, 120_000_000)], "a long, b long")
+    # 00:00:59 -> 00:02:00 is one whole minute
+    assert df.select(minutes_between(F.col("a"), F.col("b"))).first()[0] == 1
+
+
+def test_money_keeps_every_digit_and_rounds_once(spark):
+    df = spark.createDataFrame([(0.125,), (0.125,), (0.0000000004,)], "v double")
+    total = df.agg(F.sum(money(F.col("v"))).cast("decimal(28,10)").alias("s"), F.count("v").alias("n"))
+    r = total.select("s", round_money(F.col("s"), F.lit(2), 2), round_money(F.col("s"), F.lit(0), 2),
+                     mean_money(F.col("s"), F.lit(2))).first()
+    assert str(r[0]) == "0.2500000004" and r[1] == 13 and r[2] is None and str(r[3]).startswith("0.1250000002")

