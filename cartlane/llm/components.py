@@ -28,14 +28,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
         least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the least node that links reach. Rounds grow with
     the logarithm of the component size; each is written, so lineage stays short."""
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(),
+                    "edges")
+    seen = _mark(edges)
     for _ in range(rounds):
         edges = written(_small_star(_large_star(edges)), "edges")
-        mark = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        mark = _mark(edges)
         if mark == seen:
             stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
             return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -11,7 +11,7 @@ shingles in one global order (frequent ones last, else by hash), two linked sets
 one. Then:
 
 1. Stars. In each block the document with the most block places is the hub; a document is verified against the hub
-   that it shares most blocks with. Groups of near copies, small or very large, become one label this way, with one
+   that it shares most blocks with, if their points allow a link. Groups of near copies, small or very large, become one label this way, with one
    pair per document.
 2. Trees. Blocks that still hold two labels get an R-tree over their points, which gives the pairs of different
    label that the bound allows; these are verified. Blocks over ``TILE`` documents are cut into tiles, each with the
@@ -33,41 +33,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import BATCH_BYTES, HASHES, batches, hidden, left_join_hot, payload, words_of, written
+from cartlane.llm.common import BATCH_BYTES, batches, hidden, left_join_hot, payload, written
 from cartlane.llm.components import components
+from cartlane.llm.words import sequence_hash, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 GROUPS, LEAF = 128, 16
 #: Documents of a block that one tree takes, and members verified in one task for a hub.
 TILE, STAR = 4096, 1000
 #: A shingle counts as frequent from so many documents of one slice of the scan; so many are put last.
-SLICE, FREQUENT, FREQUENT_KEPT = 4_000_000, 8, 1 << 16
-MIX = np.uint64(0xFF51AFD7ED558CCD)
-
-
-def shingles(text: bytes | None) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
+SLICE, FREQUENT, FREQUENT_KEPT = 4_000_000, 2, 1 << 18
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes of a text's word hashes, sorted."""
+    if not len(words):
+        return words
+    width = min(SHINGLE, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + len(out)]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(out)]
         out ^= out >> np.uint64(32)
-    out *= MIX
-    return np.unique(out ^ (out >> np.uint64(29)))
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
-def node_of(text: bytes | None) -> int:
-    """The word sequence's hash, as a signed number."""
-    value = xxhash.xxh3_64_intdigest(b" ".join(words_of(text)))
-    return value - (1 << 64) if value >> 63 else value
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    return (value.as_py() for value in column)
 
 
 def needed(a, b):
@@ -88,22 +83,23 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 
 def _describe(source) -> Iterator[pa.RecordBatch]:
     """(id, payload) -> rows (kind 0: id, n, node) of every document and (kind 1: shingle, documents) of the
-    frequent shingles of each slice."""
-    names, seen, held, size = ["kind", "a", "b", "c"], set(), [], 0
+    frequent shingles of each slice. Documents also have their point."""
+    names, seen, held, size = ["kind", "a", "b", "c", "point"], set(), [], 0
 
     def frequent():
         keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64),) * 2
         keys, n = keys[n >= FREQUENT], n[n >= FREQUENT]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(_signed(keys)),
-                                           pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.int64())], names)
+                                           pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.int64()),
+                                           pa.nulls(len(keys), pa.binary())], names)
 
     for batch in source:
-        n, nodes = [], []
-        for value in batch.column(1):
-            text = value.as_py()
-            keys, node = shingles(text), node_of(text)
+        n, nodes, points = [], [], []
+        for words in word_hashes(_texts(batch.column(1))):
+            keys, node = shingles(words), sequence_hash(words)
             n.append(len(keys))
             nodes.append(node)
+            points.append(point(keys).tobytes())
             if node not in seen:
                 seen.add(node)
                 held.append(keys)
@@ -112,7 +108,7 @@ def _describe(source) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 seen, held, size = set(), [], 0
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()),
-                                          pa.array(nodes, pa.int64())], names)
+                                          pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names)
     yield frequent()
 
 
@@ -126,15 +122,14 @@ def _prefixes(last: np.ndarray):
         seen: set[int] = set()
         for batch in source:
             keys, nodes, sizes, held = [], [], [], 0
-            for value in batch.column(0):
-                text = value.as_py()
-                node = node_of(text)
+            for words in word_hashes(_texts(batch.column(0))):
+                node = sequence_hash(words)
                 if node in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                own = shingles(text)
+                own = shingles(words)
                 n = len(own)
                 if not n:
                     continue
@@ -162,14 +157,18 @@ def _posting_batch(keys, nodes, sizes) -> pa.RecordBatch:
 
 
 def _node_column(texts: pa.Array) -> pa.Array:
-    return pa.array([node_of(t.as_py()) for t in texts], pa.int64())
+    return pa.array([sequence_hash(w) for w in word_hashes(_texts(texts))], pa.int64())
 
 
-def _points(source) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("point", pa.binary())])
-    for batch in source:
-        rows = zip(batch.column(0).to_pylist(), (point(shingles(t.as_py())).tobytes() for t in batch.column(1)), strict=True)
-        yield from batches(rows, schema)
+def _allowed(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+    """Whether the bound of two points reaches the overlap that a link needs."""
+    a, b = (_unbounded(np.frombuffer(b"".join(_texts(x)), np.uint16).reshape(-1, GROUPS)) for x in (left, right))
+    sizes = n.to_numpy(zero_copy_only=False).astype(np.int64) + m.to_numpy(zero_copy_only=False)
+    return pa.array(np.minimum(a, b).sum(1) >= needed(sizes, 0))
+
+
+def _unbounded(points: np.ndarray) -> np.ndarray:
+    return np.where(points == 65_535, 1 << 30, points.astype(np.int64))
 
 
 # --- the tree ---------------------------------------------------------------
@@ -178,7 +177,7 @@ class CountVectorTree:
     group and the least size beneath its nodes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        points = np.where(points == 65_535, 1 << 30, points.astype(np.int64))
+        points = _unbounded(points)
         spread = np.argsort(points.std(0))[-4:]
         self.order = np.lexsort((*points[:, spread].T, sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
@@ -255,13 +254,14 @@ def _verify(source) -> Iterator[pa.RecordBatch]:
     def links():
         key, own = None, None
         for batch in source:
-            for a, salt, b, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            rows = zip(*(batch.column(c).to_pylist() for c in range(3)), word_hashes(_texts(batch.column(3))), strict=True)
+            for a, salt, b, words in rows:
                 if b is None:
-                    key, own = (a, salt), shingles(value.as_py())
+                    key, own = (a, salt), shingles(words)
                     continue
                 if key != (a, salt):
                     raise ValueError(f"the text of node {a} is missing")
-                other = shingles(value.as_py())
+                other = shingles(words)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= PERCENT * (len(own) + len(other) - both):
                     yield a, b
@@ -269,16 +269,42 @@ def _verify(source) -> Iterator[pa.RecordBatch]:
     return batches(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``. A node's partners come to it, at most ``STAR`` to a task."""
-    sums = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
-    salted = pairs.join(sums, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    partners = salted.join(texts.select(F.col("node").alias("b"), "payload"), "b").select("a", "salt", "b", "payload")
-    # Only the salts that occur: a node without partners in one of them sends no text there.
-    own = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), "payload"), "a").select(
-        "a", "salt", F.lit(None).cast("long").alias("b"), "payload")
-    dealt = partners.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_verify, "a long, b long")
+class Nodes:
+    """The distinct word sequences: node, n, point and the smallest id of a row that has it."""
+
+    def __init__(self, docs: DataFrame, described: DataFrame, text: str, ids: str):
+        least = F.lit(-(1 << 63))
+        rows = described.where("kind = 0 and b > 0")
+        self.table = written(rows.groupBy(F.col("c").alias("node")).agg(
+            F.min(F.coalesce("a", least)).alias("id"), F.first("b").cast("int").alias("n"), F.first("point").alias("point")), "nodes")
+        named = docs.select(F.coalesce(F.col(ids).cast("long"), least).alias("id"), payload(text).alias("payload"))
+        self.rows = named.withColumn("node", F.arrow_udf(_node_column, "long")("payload"))
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """The texts of the nodes in ``pairs(a, b)``, one for each node."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = self.table.select("id", "node").join(wanted, "node", "left_semi")
+        chosen = self.rows.join(first, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+        return written(chosen.select("node", "payload"), "texts")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that their points allow."""
+        a, b = (self.table.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "point")]) for side in "ab")
+        both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+        allowed = F.arrow_udf(_allowed, "boolean")("a_point", "b_point", "a_n", "b_n")
+        return both.where(allowed).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of ``pairs(a, b)``. A node's partners come to it, at most ``STAR`` to a task."""
+        texts = self.texts(pairs)
+        sums = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
+        salted = pairs.join(sums, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+        partners = salted.join(texts.select(F.col("node").alias("b"), "payload"), "b").select("a", "salt", "b", "payload")
+        # Only the salts that occur: a node without partners in one of them sends no text there.
+        own = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), "payload"), "a").select(
+            "a", "salt", F.lit(None).cast("long").alias("b"), "payload")
+        dealt = partners.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return written(dealt.mapInArrow(_verify, "a long, b long"), "links")
 
 
 # --- the join ---------------------------------------------------------------
@@ -288,6 +314,7 @@ def _near_sizes(a: str, b: str):
 
 def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that is linked."""
+    nodes = Nodes(docs, described, text, ids)
     frequent = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a")
     last = np.array([r[0] for r in frequent.limit(FREQUENT_KEPT).collect()][::-1], np.int64).view(np.uint64)
     postings = docs.select(payload(text)).mapInArrow(_prefixes(last), "shingle long, node long, n int")
@@ -306,16 +333,8 @@ def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> Da
     star = blocks.join(hubs, "shingle").where(F.col("node") != F.col("hub.node")).where(_near_sizes("n", "hub.hub_n"))
     star = star.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
     star = star.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
-    star = written(star.select(F.col("best.hub").alias("a"), F.col("node").alias("b")), "stars")
-
-    # The texts of the nodes in blocks, one for each node.
-    first = described.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("c").alias("node"))
-    first = first.groupBy("node").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("id"))
-    first = first.join(places.select("node"), "node", "left_semi")
-    named = docs.select(F.coalesce(F.col(ids).cast("long"), F.lit(-(1 << 63))).alias("id"), payload(text).alias("payload"))
-    named = named.withColumn("node", F.arrow_udf(_node_column, "long")("payload"))
-    texts = written(named.join(first, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select("node", "payload"), "texts")
-    starred = written(verified(star, texts), "links")
+    star = written(nodes.bounded(star.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))), "stars")
+    starred = nodes.verified(star)
 
     # Trees in the blocks that still hold two labels. A hub keeps its own label.
     hub_nodes = starred.select(F.col("a").alias("b")).distinct()
@@ -330,17 +349,16 @@ def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> Da
     rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("shingle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "n",
                        "label", "side")
-    points = texts.mapInArrow(_points, "node long, point binary")
-    rows = rows.join(points, "node").select("shingle", "i", "j", "node", "n", "label", "side", "point")
+    rows = rows.join(nodes.table.select("node", "point"), "node").select("shingle", "i", "j", "node", "n", "label", "side", "point")
     dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     pairs = written(dealt.mapInArrow(_tree_pairs, "a long, b long").distinct(), "pairs")
-    return written(starred.unionByName(verified(pairs, texts)), "links")
+    return starred.unionByName(nodes.verified(pairs))
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, node (the word sequence's hash)."""
     bare = docs.select(F.col(doc_id).cast("long"), payload(text))
-    described = written(bare.mapInArrow(_describe, "kind int, a long, b long, c long"), "described")
+    described = written(bare.mapInArrow(_describe, "kind int, a long, b long, c long, point binary"), "described")
     links = node_links(docs, text, described, doc_id)
     rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
