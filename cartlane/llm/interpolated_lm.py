@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import HASHES, crc_mod, payload, words_of, written
+from cartlane.llm.common import crc_mod, payload, written
+from cartlane.llm.words import word_hashes
 
 #: Bytes of text in a block, and the fewest blocks and key ranges.
-BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 24
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 24
 FOLDS, DELETED_FOLD = 10, 1
 BUCKETS, STEP, ROUNDS = 24, 8, 60
 KEPT, DELETED, HELD = 0, 1, 2
@@ -48,43 +49,41 @@ ANSWERED = ("range int, block long, word_train binary, word_kept binary, bigram_
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Little-endian numbers by byte planes, which the shuffle's compression shortens where high bytes are 0."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as the byte planes that they need: one byte with the number of planes, then these."""
+    planes = -(-int(values.max()).bit_length() // 8) if len(values) else 0
+    return bytes([planes]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def _unplaned(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n).T
+    return out.view("<u8").reshape(-1)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted distinct 64-bit keys: their number, then their differences."""
+    return len(keys).to_bytes(8, "little") + pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(data[8:], int.from_bytes(data[:8], "little")), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return _planes(counts.astype("<u8"))
+    return len(counts).to_bytes(8, "little") + pack(counts)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return _unplaned(data, "<u8").astype(np.int64)
+    return unpack(data[8:], int.from_bytes(data[:8], "little")).astype(np.int64)
 
 
 def token_keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts in order: the tokens' keys, the bigrams' keys and each text's number of tokens."""
     parts, sizes = [], []
-    for text in texts:
-        words = words_of(text)
-        keys = np.empty(len(words) + 1, np.uint64)
-        keys[:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-        keys[-1] = END
-        parts.append(keys)
-        sizes.append(len(keys))
+    for words in word_hashes(texts):
+        parts += [words, np.array([END])]
+        sizes.append(len(words) + 1)
     tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     sizes = np.array(sizes, np.int64)
     before = np.empty_like(tokens)
