@@ -1,18 +1,19 @@
-"""Byte-level BPE encoding and decoding in Spark expressions.
+"""Byte-level BPE encoding and decoding.
 
-A text is split by the vocabulary's pattern (``regexp_extract_all``); a word becomes the ids of its bytes, and a fold
-merges them: the pair with the least rank goes first, of equal ones the leftmost, until no pair has a rank. A fold
-step looks up two ranks only, those of the pairs that the last merge made. The ranks are one literal: two arrays of
-buckets (pairs as numbers, and the ids that they merge to), probed by a bucket number and ``array_position``.
-Decoding looks every id's bytes up in a literal array and concatenates the pieces.
+A text is split by the vocabulary's pattern; a word becomes its bytes, and ranked merges fold them: the pair with
+the least rank goes first, of equal ones the leftmost, until no pair has a rank. Decoding looks every id's bytes up
+in a literal array and concatenates the pieces, in Spark expressions.
 
-Words are folded once where that pays: the distinct words of all documents are counted, the ``KNOWN_WORDS`` most
-frequent ones folded and put into a second literal of the same form; all other words are folded where they stand.
-The literal is bounded by its number of words and their length, and only saves time: a word gets the same ids
-either way.
+There are two encoders with the same results:
 
-A fold copies the word at every merge, so it is quadratic in the word's bytes. Words over ``FOLD_BYTES`` bytes
-(pages of letters without a space) take a heap instead, in an Arrow function that gets nothing but those words.
+* ``NativeEncoder``: Spark higher-order functions alone. The ranks are one literal (buckets of pairs and of the ids
+  that they merge to); a fold step looks up the two ranks that the last merge made. The most frequent distinct
+  words of all documents are folded once and put into a second literal, others are folded where they stand.
+* ``WordCoder``: the same merges in an Arrow function. A worker keeps the ids of the distinct words that it has met.
+
+``encode`` takes the Arrow function: Spark interprets higher-order functions, and a fold takes about 0.1 ms a word
+there, which the README sets against the time that the corpus allows. In both a merge copies the rest of the word,
+so words over ``FOLD_BYTES`` bytes (pages of letters without a space) take a heap instead.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives an
 empty result; other columns of the input, whatever their names, are not touched. Special strings inside a text are
@@ -32,7 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import written
+from cartlane.llm.common import hidden, written
+from cartlane.llm.splits import LATIN, PATTERN, is_latin
 
 #: Most words in the literal of known words, and the most bytes of one.
 KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 48
@@ -40,6 +42,8 @@ KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 48
 RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 #: Words over so many bytes are merged with a heap.
 FOLD_BYTES = 2048
+#: Words whose ids a worker keeps, and the most characters of one.
+CACHED_WORDS, CACHED_CHARS = 400_000, 40
 NONE = (1 << 31) - 1
 
 
@@ -108,7 +112,7 @@ def _probe(keys: Column, values: Column, bucket: Column, key: Column) -> Column:
     return F.get(F.get(values, bucket), F.array_position(F.get(keys, bucket), key).cast("int"))
 
 
-class Encoder:
+class NativeEncoder:
     """Column expressions for one rank file."""
 
     def __init__(self, path: str):
@@ -180,13 +184,11 @@ class Encoder:
         return _let(F.struct(self.tables.alias("t"), known.alias("d")),
                     lambda x: F.flatten(F.transform(words, lambda w: one(w, x["t"], x["d"]))))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes that ids stand for: binary pieces, concatenated."""
-        return _let(_literal(self.pieces, "array<string>"),
-                    lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
-
 
-_RANKS: dict[str, dict[bytes, int]] = {}
+def decode(path: str, ids: Column) -> Column:
+    """The bytes that ids stand for: binary pieces, concatenated."""
+    return _let(_literal(_tables(path)[3], "array<string>"),
+                lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -215,35 +217,107 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _merge_long(path: str):
+class WordCoder:
+    """ids of texts, with the ids of the distinct words it has met."""
+
+    def __init__(self, path: str):
+        self.ranks = {t: i for i, t in enumerate(read_ranks(path))}
+        self.pattern = regex.compile(PATTERN)
+        self.known: dict[str, list[int]] = {}
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ranked merges over the bytes of a word; the ranks of the pairs are kept beside them."""
+        ranks = self.ranks
+        if (whole := ranks.get(word)) is not None:
+            return [whole]
+        if len(word) > FOLD_BYTES:
+            return heap_merge(word, ranks)
+        parts = [word[i:i + 1] for i in range(len(word))]
+        pairs = [ranks.get(word[i:i + 2], NONE) for i in range(len(word) - 1)]
+        while pairs:
+            least = min(pairs)
+            if least == NONE:
+                break
+            i = pairs.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+        return [ranks[p] for p in parts]
+
+    def _new(self, word: str) -> list[int]:
+        ids = self.merge(word.encode())
+        if len(word) <= CACHED_CHARS:
+            if len(self.known) >= CACHED_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        known, out = self.known.get, []
+        for word in (LATIN if is_latin(text) else self.pattern).findall(text):
+            ids = known(word)
+            out += self._new(word) if ids is None else ids
+        return out
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder(path: str) -> WordCoder:
+    """One for each worker process and file."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
+
+
+def _over_texts(path: str):
+    def encoded(texts: pa.Array) -> pa.Array:
+        c = coder(path)
+        return pa.array([c.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32()))
+
+    return F.arrow_udf(encoded, "array<int>")
+
+
+def _over_words(path: str):
     def merged(words: pa.Array) -> pa.Array:
-        if path not in _RANKS:
-            _RANKS[path] = {t: i for i, t in enumerate(read_ranks(path))}
-        ranks = _RANKS[path]
-        done = [[heap_merge(w.encode(), ranks) for w in row] for row in words.to_pylist()]
-        return pa.array(done, pa.list_(pa.list_(pa.int32())))
+        c = coder(path)
+        return pa.array([[c.merge(w.encode()) for w in row] for row in words.to_pylist()], pa.list_(pa.list_(pa.int32())))
 
     return F.arrow_udf(merged, "array<array<int>>")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", known_words: int = KNOWN_WORDS) -> DataFrame:
-    """All rows with their ids (array of int) as column ``ids``. A plan for a text has one pass; the known words'
-    counts are another before it."""
-    encoder = Encoder(path)
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """All rows with their ids (array of int) as column ``ids``."""
+    return docs.withColumn(ids, _over_texts(path)(F.col(text)))
+
+
+def encode_native(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
+                  known_words: int = KNOWN_WORDS) -> DataFrame:
+    """The same by expressions alone, but for words over ``FOLD_BYTES``. The known words' counts are a pass of
+    their own."""
+    encoder = NativeEncoder(path)
     known = encoder.known_words(docs, text, known_words)
-    words, long = "__bpe_words", "__bpe_long"
+    words, long, long_ids = (hidden(docs, x) for x in ("words", "long", "long_ids"))
     split = docs.withColumn(words, encoder.words(F.col(text)))
     split = split.withColumn(long, F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > FOLD_BYTES)))
-    split = split.withColumn("__bpe_long_ids", _merge_long(path)(long))
-    out = split.withColumn(ids, encoder.ids(F.col(words), known, F.col(long), F.col("__bpe_long_ids")))
-    return out.drop(words, long, "__bpe_long_ids")
+    split = split.withColumn(long_ids, _over_words(path)(long))
+    out = split.withColumn(ids, encoder.ids(F.col(words), known, F.col(long), F.col(long_ids)))
+    return out.drop(words, long, long_ids)
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by a space), decoded_sha256."""
-    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = encode(bare, path).select("doc_id", "ids")
+def digests(coded: DataFrame, path: str) -> DataFrame:
+    """Of rows with ``doc_id`` and ``ids``: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by a space),
+    decoded_sha256."""
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
-                        F.sha2(Encoder(path).decode(F.col("ids")), 256).alias("decoded_sha256"))
+                        F.sha2(decode(path, F.col("ids")), 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode every text, then decode the ids."""
+    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return digests(encode(bare, path).select("doc_id", "ids"), path)

@@ -32,19 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlane.llm.common import byte_letters
+from cartlane.llm.splits import LATIN, PATTERN, is_latin
 
 #: Words whose tables a worker keeps, and the most code points of such a word.
 CACHED_WORDS, CACHED_CHARS = 150_000, 40
 
-#: The split of byte-level BPE; a fixed value of the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-# The same split for texts of Latin-1, where explicit classes let the standard library's faster engine run; the
-# alternatives begin with different characters (but for the contractions), so the commonest may come first.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-
 
 def later_code_points() -> str:
     """A character class of the code points that Unicode 3.2 does not have. Engines of different age disagree on
@@ -85,12 +77,10 @@ class PrefixCounter:
         self.spines: dict[bytes, tuple[list, list]] = {}
 
     def split(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
+        if is_latin(text):
             return LATIN.findall(text)
-        except UnicodeEncodeError:
-            if self.later.search(text) is None:
-                return self.pattern.findall(text)
+        if self.later.search(text) is None:
+            return self.pattern.findall(text)
         if self.library is None:
             from tokenizers import Tokenizer
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlane.llm.common import batches, byte_letters
+from cartlane.llm.splits import BLANK, LETTERS, NUMBERS, is_latin
 
 WINDOW = 4096
 #: The least piece that closing cuts off, and the most items that a task holds before it closes its windows.
@@ -43,8 +44,7 @@ CHUNK = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 #: What ``str.split`` takes for white space and the vocabulary does not.
 SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: The vocabulary's split for Latin-1, where lower-casing is character by character and NFC changes nothing.
-LETTERS, NUMBERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\\t-\\r \\x85\\xa0{LETTERS}{NUMBERS}]+")
+LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{BLANK}{LETTERS}{NUMBERS}]+")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -79,12 +79,7 @@ class ChunkEncoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        try:
-            chunk.encode("latin-1")
-            plain = not any(s in chunk for s in self.special)
-        except UnicodeEncodeError:
-            plain = False
-        if plain:
+        if is_latin(chunk) and not any(s in chunk for s in self.special):
             ids = b"".join([self._word(w) for w in LATIN.findall(chunk.lower())])
         else:
             ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
