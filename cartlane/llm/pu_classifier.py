@@ -41,16 +41,23 @@ STATISTICS = 14
 WIDTH = 256 + STATISTICS + HASHED
 _CAPITALS = re.compile(rb"^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$")
 _PLAIN = re.compile(rb"^[A-Za-z\x80-\xff'-]+[.,;:]?$")
-_HASHES: dict[bytes, int] = {}
 
 
-def _bucket(word: bytes) -> int:
-    found = _HASHES.get(word)
-    if found is None:
-        if len(_HASHES) > 200_000:
-            _HASHES.clear()
-        found = _HASHES[word] = zlib.crc32(word) % HASHED
-    return found
+class _WordCodes(dict):
+    """A word's bucket, with flags for words in capitals and for plain words; kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = zlib.crc32(word) % HASHED
+        code |= bool(_CAPITALS.match(word)) * CAPITALS | bool(_PLAIN.match(word)) * PLAIN
+        if len(word) <= 64:
+            self[word] = code
+        return code
+
+
+CAPITALS, PLAIN = 1 << 16, 1 << 17
+_CODES = _WordCodes()
 
 
 def features(text: bytes) -> np.ndarray:
@@ -64,18 +71,18 @@ def features(text: bytes) -> np.ndarray:
     if not words:
         return out
     n, counts, lines = len(words), Counter(words), [x for x in text.split(b"\n") if x.strip()]
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    pairs = len(set(zip(words, words[1:], strict=False)))
+    codes = np.fromiter(map(_CODES.__getitem__, counts), np.int64, len(counts))
+    often = np.fromiter(counts.values(), np.float64, len(counts))
+    sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+    pairs = Counter(zip(words, words[1:], strict=False))
+    mean = (sizes * often).sum() / n
     out[256:256 + STATISTICS] = (
-        np.log1p(n), lengths.mean(), lengths.std(), len(counts) / n, max(counts.values()) / n,
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, pairs / n,
-        sum(c for w, c in counts.items() if _CAPITALS.match(w)) / n,
-        sum(c for w, c in counts.items() if _PLAIN.match(w)) / n,
+        np.log1p(n), mean, np.sqrt(max((sizes ** 2 * often).sum() / n - mean ** 2, 0)), len(counts) / n,
+        often.max() / n, sum(c for (a, b), c in pairs.items() if a == b) / n, len(pairs) / n,
+        often[codes & CAPITALS > 0].sum() / n, often[codes & PLAIN > 0].sum() / n,
         np.log1p(len(lines)), np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines),
-        sum(c for w, c in counts.items() if len(w) <= 3) / n, sum(len(w) == 1 for w in words) / n)
-    places = np.fromiter((_bucket(w) for w in counts), np.int64, len(counts))
-    weight = np.fromiter(counts.values(), np.float64, len(counts))
-    out[256 + STATISTICS:] = np.sqrt(np.bincount(places, weight, HASHED) / n)
+        often[sizes <= 3].sum() / n, often[sizes == 1].sum() / n)
+    out[256 + STATISTICS:] = np.sqrt(np.bincount(codes & 0xFFFF, often, HASHED) / n)
     return out
 
 
@@ -92,19 +99,19 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02,
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.05,
              decay: float = 1e-3, slack: float = 0.0) -> Model:
     """Minimise the non-negative unbiased risk of a linear scorer by Adam on the whole sample."""
     mean = unlabelled.mean(0)
     scale = 1 / np.maximum(unlabelled.std(0), 1e-2)
-    xp, xu = (positive - mean) * scale, (unlabelled - mean) * scale
+    xp, xu = (((x - mean) * scale).astype(np.float32) for x in (positive, unlabelled))
     w = np.zeros(WIDTH + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    grad = lambda x, g: np.append(x.T @ g, g.sum()) / len(g)
+    grad = lambda x, g: np.append(g.astype(np.float32) @ x, g.sum()) / len(g)
     for step in range(1, steps + 1):
-        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        zp, zu = (x @ w[:-1].astype(np.float32) + w[-1] for x in (xp, xu))
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_negative = grad(xu, su) - prior * grad(xp, sp)
