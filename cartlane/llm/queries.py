@@ -96,6 +96,24 @@ _OP5_SQL = rf"""
            AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 2 * n_dup_lines <= n_lines AS kept
     FROM m""".replace("\\\\", "\\")
 
+# All pairs that share a shingle, their exact overlap, and the documents that links reach.
+_OP6_SQL = r"""
+    WITH RECURSIVE d AS (
+           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+                 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                 ELSE [array_to_string(w, ' ')] END) AS shingle FROM d WHERE len(w) > 0),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+         pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (shingle)
+                   WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+         links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+                   WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+         reach AS (SELECT doc_id, doc_id AS other FROM d
+                   UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
+    SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+    FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
 # Base32 by hand: the SHA-1's 160 bits in groups of five.
 _OP7_SQL = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -116,6 +134,7 @@ _OP7_SQL = """
 # Equal texts share a SHA-256, so the check groups by the text itself and computes the digest beside it.
 ORACLE = {
     "op5_threshold_rules": _OP5_SQL,
+    "op6_count_vector_join": _OP6_SQL,
     "op7_chunked_warc": _OP7_SQL,
     "op9_patricia_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
