@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: whole tables, production parameters, digest columns."""
+"""The registered queries of the operators: whole tables, production parameters, digest columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlane.llm import (byte_bpe, interpolated_lm, jaccard_rtree, patricia, prefix_counts, pu_classifier, quality_rules,
-                          splitters, sum_of_squares, warc_chunks)
+from cartlane.llm import (byte_bpe, filter_audit, interpolated_lm, jaccard_rtree, patricia, prefix_counts, pu_classifier,
+                          quality_rules, skip_chain, splitters, sum_of_squares, warc_chunks, whitening)
 from cartlane.llm.common import table, tokenizer_path
 
 
@@ -49,6 +49,18 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_chain.digests(skip_chain.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_prefix_counts": op2_prefix_counts,
@@ -60,6 +72,9 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_patricia_dedup": op9_patricia_dedup,
     "op10_pu_quality": op10_pu_quality,
+    "op11_spectrum_slicing": op11_spectrum_slicing,
+    "op12_skip_chain": op12_skip_chain,
+    "op13_survival_words": op13_survival_words,
 }
 
 # Measures only; the verdict ``kept`` of the rule table is checked against a plain Python version in the tests, and
@@ -131,6 +146,40 @@ _OP7_SQL = """
            CASE WHEN p.page_id <> d.owner THEN d.owner END AS refers_to
     FROM p JOIN d ON p.h = d.h"""
 
+# Counts by part and failed filters, then every step of every order over them: no survival word, no subset count.
+_OP13_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         first AS (SELECT t, min(doc_id) AS owner FROM d GROUP BY t),
+         l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+         f AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+                             100 * len(regexp_extract_all(d.t, '[A-Z]')) > 5 * length(d.t),
+                             regexp_matches(d.t, '[#$%&*|]'), coalesce(d.doc_id > owner, false)] AS fails,
+                      coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+               FROM d JOIN first ON d.t = first.t LEFT JOIN l ON l.doc_id = d.doc_id),
+         g AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+         k AS (SELECT unnest(range(1, 6)) AS k),
+         orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e
+                    WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+         steps AS (SELECT o, step, o[step] AS own, o[1:step - 1] AS earlier FROM orders, (SELECT k AS step FROM k)),
+         x AS (SELECT part, o, step, own, n, good, toxic, fails[own] AS hit,
+                      len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+                      len(list_filter(fails, lambda b: b)) AS failed
+               FROM g, steps),
+         y AS (SELECT part, o, step, own, sum(n) FILTER (NOT gone AND NOT hit) AS kept,
+                      sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+                      sum(n) FILTER (hit AND failed = 1) AS unique_fails,
+                      sum(good) FILTER (hit AND NOT gone) AS good_lost,
+                      sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+               FROM x GROUP BY ALL)
+    SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i AS INT), 1)), '') AS filter_order,
+           CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+           CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+           CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+           CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM y"""
+
 # Equal texts share a SHA-256, so the check groups by the text itself and computes the digest beside it.
 ORACLE = {
     "op5_threshold_rules": _OP5_SQL,
@@ -141,4 +190,5 @@ ORACLE = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op13_survival_words": _OP13_SQL,
 }
