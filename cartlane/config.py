@@ -44,10 +44,9 @@ ADD_SHIPPING = "add_shipping_info"
 PAYMENT_PAGE = "Payment Method"
 ADD_PAYMENT = "add_payment_info"
 
-# Event history (operators.sequences): a user with more rows than this is
-# split over several tasks by time; at most so many users are.
+# Event history (operators.history): a user with more rows than this is
+# split over several tasks.
 HISTORY_SPLIT_ROWS = 1_000_000
-HISTORY_SPLIT_USERS = 1000
 
 
 @dataclass(frozen=True)

@@ -29,8 +29,11 @@ from cartlane.functions.numeric import (MONEY, mean_money, minutes_between, mone
                                         round_half_up_ratio, round_money)
 from cartlane.operators.duration import present
 from cartlane.operators.events import until
+from cartlane.operators.skew import hot_keys, renamed, same
 
 KEY = ["user_pseudo_id", "event_date"]
+#: Rows of a user-day that one task takes as a list.
+DAY_ROWS = 1_000_000
 # --- fixed values: output names of the checkpoint counters --------------------
 COUNT_NAMES = {"add_shipping_info": "add_shipping_count", "Payment Method": "payment_page_count",
                "add_payment_info": "payment_info_count"}
@@ -47,25 +50,46 @@ def checkout_start(labeled: DataFrame) -> DataFrame:
         F.min("event_us").alias("checkout_us"))
 
 
-def checkpoint_counts(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout) -> DataFrame:
+def checkpoint_counts(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
+                      most_rows: int | None = DAY_ROWS) -> DataFrame:
     """Per user-day with a begin_checkout: checkpoint occurrences at or after
     the first begin_checkout, and whether the user purchased that day.
 
-    Events of a label at one timestamp are one row from the map side on; the
-    first checkout comes from a window over the (few) timestamps of a
-    user-day, whose shuffle the counts share."""
+    An ordinary user-day is one row of an aggregate: its first checkout beside
+    the times of its checkpoints, which are then counted in place (one scan, one
+    shuffle, no join, no window). A user-day of more than about ``most_rows`` rows
+    would be a list too long for a task: those (found on a sample) get their
+    first checkout by a broadcast of the few hot days' facts, and their
+    occurrences are counted map-side. With None no user-day is taken as hot."""
     label, begin = F.col("event_label"), F.col("event_label") == BEGIN_CHECKOUT
-    times = labeled.where(label.isin(BEGIN_CHECKOUT, PURCHASE, *spec.checkpoints)).groupBy(
-        *KEY, "event_label", "event_us").agg(F.count(F.lit(1)).alias("_n"))
-    first = F.min(F.when(begin, F.col("event_us"))).over(Window.partitionBy(*KEY))
-    dated = times.withColumn("checkout_us", first).where(F.col("checkout_us").isNotNull())
-    after = F.col("event_us") >= F.col("checkout_us")
-    counts = [F.sum(F.when((label == c) & after, F.col("_n")).otherwise(0)).alias(_count_name(c))
-              for c in spec.checkpoints]
-    days = dated.groupBy(*KEY).agg(F.min("checkout_us").alias("checkout_us"), *counts,
-                                   F.bool_or(label == PURCHASE).alias("purchased"))
-    return days.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"),
-                       *[_count_name(c) for c in spec.checkpoints], "purchased")
+    rows = labeled.where(label.isin(BEGIN_CHECKOUT, PURCHASE, *spec.checkpoints)).select(*KEY, "event_label", "event_us")
+    first = F.min(F.when(begin, F.col("event_us"))).alias("checkout_us")
+    purchased = F.bool_or(label == PURCHASE).alias("purchased")
+    names = [_count_name(c) for c in spec.checkpoints]
+    hot = hot_keys(rows, KEY, most_rows) if most_rows else None
+    keys = None if hot is None else F.broadcast(renamed(hot, KEY, "_h_"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        times = [F.collect_list(F.when(label == c, F.col("event_us"))).alias(name)
+                 for c, name in zip(spec.checkpoints, names, strict=True)]
+        days = rows.groupBy(*KEY).agg(first, purchased, *times).where("checkout_us IS NOT NULL")
+        after = [F.size(F.filter(name, lambda us: us >= F.col("checkout_us"))).cast("long").alias(name) for name in names]
+        return days.select(*KEY, "checkout_us", *after, "purchased")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy(*KEY).agg(first, purchased).where("checkout_us IS NOT NULL")
+        dated = rows.join(F.broadcast(renamed(facts, [*KEY, "purchased"], "_f_")), same(KEY, "_f_"))
+        counts = [F.count_if((label == c) & (F.col("event_us") >= F.col("checkout_us"))).alias(name)
+                  for c, name in zip(spec.checkpoints, names, strict=True)]
+        return dated.groupBy(*KEY).agg(F.first("checkout_us").alias("checkout_us"), *counts,
+                                       F.first("_f_purchased").alias("purchased"))
+
+    if keys is None:
+        days = listed(rows)
+    else:
+        days = listed(rows.join(keys, same(KEY, "_h_"), "left_anti")).unionByName(
+            counted(rows.join(keys, same(KEY, "_h_"), "left_semi")))
+    return days.select(*KEY, F.timestamp_micros("checkout_us").alias("checkout_time"), *names, "purchased")
 
 
 def _day_paths(rows: DataFrame, label: Column, checkpoint: Column, facts: dict[str, Column],

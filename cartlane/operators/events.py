@@ -13,6 +13,9 @@ from cartlane.functions.labels import keep_predicate, label_expr
 NORMALIZED_COLUMNS = ("user_pseudo_id", "event_name", "page_title", "event_date", "event_timestamp",
                       "event_us", "browser", "operating_system", "purchase_revenue_in_usd", "event_seq")
 
+#: What orders tied events of a table that has no sequence of its own.
+CONTENT_ORDER = "concat_ws('|', event_date, event_name, page_title)"
+
 
 def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates: bool = False) -> DataFrame:
     """Typed view of raw events.
@@ -23,7 +26,14 @@ def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates:
     arithmetic. ``user_pseudo_id`` must be non-NULL (it is the key of every
     operator and makes the reference's ``NOT IN`` equal to an anti-join):
     ``on_null_user`` is ``"raise"`` (default) or ``"drop"``.
+
+    A table without ``event_seq`` gets one from its content (``CONTENT_ORDER``):
+    of events at one time the order is that of date, name and title. These fix an
+    event's label, so tied rows that are still equal can change places without
+    changing any result, and the order does not depend on files or partitions.
     """
+    if "event_seq" not in raw.columns:
+        raw = raw.withColumn("event_seq", F.expr(CONTENT_ORDER))
     if on_null_user == "raise":
         user = ("CASE WHEN user_pseudo_id IS NULL THEN raise_error('raw_events: NULL user_pseudo_id') "
                 "ELSE user_pseudo_id END AS user_pseudo_id")

@@ -22,7 +22,7 @@ SEGMENT_COLUMNS = ("segment", "revenue_label", "sequences", "affected_users", "r
 
 
 def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, partition_by: tuple[str, ...],
-                       split_rows: int) -> DataFrame:
+                       split_rows: int | None) -> DataFrame:
     """Sequence groups of both kinds that pass their kind's friction rule."""
     names = lag_names(spec.history)
     frame = S.history_frame(labeled, spec.history, partition_by, split_rows)
@@ -46,7 +46,7 @@ SEGMENTS = (
 
 
 def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                      partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                      partition_by: tuple[str, ...] = (S.USER,), split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     """One row per segment (Friction Churners, Friction Completers).
 
     The reference runs two pipelines over the same history. Here both are
@@ -97,7 +97,7 @@ def friction_segments(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: Check
 
 
 def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                  partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                  partition_by: tuple[str, ...] = (S.USER,)) -> DataFrame:
     """Churner rows, distinct checkout churners, friction churners (the
     reference's sum over sequence groups, and distinct), friction share.
 
@@ -106,7 +106,7 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
     affected-user count is the number of (user, friction sequence) pairs,
     since each group contributes its distinct users."""
     names = lag_names(spec.history)
-    rows = S.churner_rows_with_friction(labeled, spec, partition_by, split_rows)
+    rows = S.churner_rows_with_friction(labeled, spec, partition_by)
     pairs = rows.groupBy(S.USER, "last_event", *names).agg(
         F.count(F.lit(1)).alias("_rows"), F.bool_or("is_friction").alias("_fr"))
     per_user = pairs.groupBy(S.USER).agg(
@@ -126,7 +126,7 @@ def churn_summary(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
 
 
 def friction_revenue_total(labeled: DataFrame, aov: float = DEFAULTS.aov, spec: CheckoutSpec = DEFAULTS.checkout,
-                           partition_by: tuple[str, ...] = (S.USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                           partition_by: tuple[str, ...] = (S.USER,), split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     """Friction-affected users of both segments and their revenue
     (one global aggregate over the frictioned sequence groups)."""
     total = _frictioned_groups(labeled, spec, partition_by, split_rows).agg(

@@ -1,97 +1,24 @@
 """Event histories, checkout churners, sequence groups.
 
-History (W10)
--------------
-Labelled events are shuffled once by user and read by one window, which gives
-the ``n`` labels before an event, the user's last timestamp and whether the
-user ever purchased. Ordinary users, however many, need nothing else.
-
-A bot-like user with a third of all events would make one task hold them all.
-So the rows of every user are counted first (a partial aggregate on the key
-alone), and the users with more than ``split_rows`` rows -- the largest
-``HISTORY_SPLIT_USERS`` of them at most, a bounded table that is broadcast --
-are cut into time slices of about that many rows. Slices get windows of their
-own; their first ``n`` rows lack labels, so the edges of the slices (``2n`` rows
-each) pass through a second, per-user window. Only split users' edges take
-part in that second shuffle; without a split user it does not run. Their last
-timestamp and purchase flag come with the count.
-
-Results are the same for any ``split_rows``. ``partition_by`` scopes the
-history: per user (default, the reference's reading) or per session
-(``SESSION``, the user's day).
-
-The order is total: (event_timestamp, event_seq). The reference orders by
-timestamp only, which leaves tied events (Payment Method and
-add_payment_info fire together) in an arbitrary order.
+Histories come from ``operators.history``: the full frame where every event's lags are wanted (W10, completers, D5), the
+bounded tails where only a user's last events matter (W11 and all that builds on it: no history is shuffled there).
+``partition_by`` scopes both: per user (default, the reference's reading) or per session (``SESSION``, the user's day).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlane.config import (ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, HISTORY_SPLIT_ROWS, HISTORY_SPLIT_USERS, PURCHASE,
+from cartlane.config import (ADD_PAYMENT, ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, HISTORY_SPLIT_ROWS, PAYMENT_PAGE, PURCHASE,
                              CheckoutSpec)
 from cartlane.functions.labels import lag_names, occurrences
-
-USER = "user_pseudo_id"
-LABEL = "event_label"
-SESSION = (USER, "event_date")
-USER_LAST_US = "_user_last_us"
-USER_PURCHASED = "_user_purchased"
-_BASE = (USER, "event_date", "event_timestamp", "event_us", "event_seq", LABEL)
-_SLICE = "_slice"
-
-
-def _split_scopes(labeled: DataFrame, scope: list[str], split_rows: int) -> DataFrame:
-    """The largest scopes over ``split_rows`` rows: time range, slices and the
-    facts a window over the whole scope would give."""
-    counted = labeled.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("event_us").alias("_from"), F.max("event_us").alias("_to"),
-        F.bool_or(F.col(LABEL) == PURCHASE).alias("_bought"))
-    large = counted.where(F.col("_n") > split_rows).orderBy(F.desc("_n"), *scope).limit(HISTORY_SPLIT_USERS)
-    slices = F.ceil(F.col("_n") / split_rows)
-    width = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / slices), F.lit(1))
-    return large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(scope)], "_from", width.alias("_width"),
-                        F.col("_to").alias("_last"), "_bought")
-
-
-def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history, partition_by: tuple[str, ...] = (USER,),
-                  split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
-    """Labelled events with ``n`` lag columns, the scope's last timestamp and
-    its purchase flag."""
-    names, scope = lag_names(n), list(partition_by)
-    base = labeled.select(*_BASE)
-    large = F.broadcast(_split_scopes(base, scope, split_rows))
-    own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(scope)])
-    sliced = F.floor((F.col("event_us") - F.col("_from")) / F.col("_width")).cast("long")
-
-    def windowed(rows: DataFrame) -> DataFrame:
-        """Lags within (scope, slice); the slice of a scope that is whole is NULL."""
-        w = Window.partitionBy(*scope, _SLICE).orderBy("event_us", "event_seq")
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        edge = (F.row_number().over(w) <= n) | F.lead(F.lit(1), n).over(w).isNull()
-        return rows.select(
-            *_BASE, *[F.lag(LABEL, k).over(w).alias(names[k - 1]) for k in range(1, n + 1)],
-            F.coalesce(F.col("_last"), F.max("event_us").over(whole)).alias(USER_LAST_US),
-            F.coalesce(F.col("_bought"), F.bool_or(F.col(LABEL) == PURCHASE).over(whole)).alias(USER_PURCHASED),
-            (F.row_number().over(w) <= n).alias("_head"), (F.col(_SLICE).isNotNull() & edge).alias("_edge"))
-
-    out = [*_BASE, *names, USER_LAST_US, USER_PURCHASED]
-    body = windowed(base.join(large, own, "left").withColumn(_SLICE, sliced)).where(~F.col("_edge"))
-    # Split scopes alone: with none, the broadcast side is empty and the branch is dropped at run time.
-    cut = windowed(base.join(large, own, "inner").withColumn(_SLICE, sliced)).where("_edge")
-    w = Window.partitionBy(*scope).orderBy("event_us", "event_seq")
-    edges = cut.select(
-        *_BASE, *[F.when(F.col("_head"), F.lag(LABEL, k).over(w)).otherwise(F.col(names[k - 1])).alias(names[k - 1])
-                  for k in range(1, n + 1)], USER_LAST_US, USER_PURCHASED)
-    return body.select(*out).unionByName(edges.select(*out))
+from cartlane.operators.history import (LABEL, SESSION, USER, USER_LAST_US, USER_PURCHASED, churn_tails,  # noqa: F401
+                                        history_frame)
 
 
 def prior_events(labeled: DataFrame, n: int = DEFAULTS.checkout.history, partition_by: tuple[str, ...] = (USER,),
-                 split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                 split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     """Every labelled event with the ``n`` previous labels of the same
     user (across days, as in the reference) or of ``partition_by``."""
     return history_frame(labeled, n, partition_by, split_rows).select(
@@ -106,12 +33,12 @@ def churn_row_predicate(spec: CheckoutSpec = DEFAULTS.checkout) -> Column:
 
 
 def checkout_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                      partition_by: tuple[str, ...] = (USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                      partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """Rows at each user's last labelled timestamp (ties kept) whose
-    label is a checkout step, for users who never purchased. No join: the
-    per-user facts come with the history frame."""
-    frame = history_frame(labeled, spec.history, partition_by, split_rows)
-    return frame.where(churn_row_predicate(spec)).select(
+    label is a checkout step, for users who never purchased. No join and no
+    history: the users' tails hold all that is asked."""
+    tails = churn_tails(labeled, spec.history, partition_by)
+    return tails.where((F.col("event_us") == F.col(USER_LAST_US)) & F.col(LABEL).isin(*spec.churn_steps)).select(
         USER, "event_date", "event_timestamp", F.col(LABEL).alias("churn_event"), *lag_names(spec.history))
 
 
@@ -128,14 +55,14 @@ def group_sequences(rows: DataFrame, event_col: str, out_col: str, n: int = DEFA
 
 
 def completer_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                        partition_by: tuple[str, ...] = (USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                        partition_by: tuple[str, ...] = (USER,), split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     seq = prior_events(labeled, spec.history, partition_by, split_rows).where(F.col(LABEL) == PURCHASE)
     return group_sequences(seq, LABEL, "current_event", spec.history)
 
 
 def churner_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                      partition_by: tuple[str, ...] = (USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
-    rows = checkout_churners(labeled, spec, partition_by, split_rows)
+                      partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
+    rows = checkout_churners(labeled, spec, partition_by)
     return group_sequences(rows, "churn_event", "last_event", spec.history)
 
 
@@ -178,16 +105,14 @@ def completer_friction_predicate(spec: CheckoutSpec = DEFAULTS.checkout) -> Colu
 
 
 def churner_rows_with_friction(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                               partition_by: tuple[str, ...] = (USER,),
-                               split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                               partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """Churner rows with their friction counts and the F9 flag (row level)."""
-    rows = checkout_churners(labeled, spec, partition_by, split_rows).withColumnRenamed("churn_event", "last_event")
+    rows = checkout_churners(labeled, spec, partition_by).withColumnRenamed("churn_event", "last_event")
     return friction_counts(rows, spec).withColumn("is_friction", churn_friction_predicate(spec))
 
 
 def churners_by_last_event(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                           partition_by: tuple[str, ...] = (USER,),
-                           split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                           partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """D3: friction churners by the step they churned on: churn rows,
     sequence groups, affected users (sum over groups, as the reference
     counts) and distinct users.
@@ -195,7 +120,7 @@ def churners_by_last_event(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.che
     One chain of aggregates, each finer than the next: (step, sequence, user)
     pairs, then (step, sequence) and (step, user) side by side as counts of
     distinct values over the pairs."""
-    rows = churner_rows_with_friction(labeled, spec, partition_by, split_rows).where("is_friction")
+    rows = churner_rows_with_friction(labeled, spec, partition_by).where("is_friction")
     pairs = rows.groupBy("last_event", USER, F.struct(*lag_names(spec.history)).alias("_sequence")).agg(
         F.count(F.lit(1)).alias("_rows"))
     return pairs.groupBy("last_event").agg(
@@ -204,10 +129,10 @@ def churners_by_last_event(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.che
 
 
 def churner_shares(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                   partition_by: tuple[str, ...] = (USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                   partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """Affected users of each last step and their share of all friction
     churners. The steps are few, so one aggregate gathers them for the total."""
-    steps = churners_by_last_event(labeled, spec, partition_by, split_rows)
+    steps = churners_by_last_event(labeled, spec, partition_by)
     total = steps.agg(F.collect_list(F.struct("last_event", "affected_users")).alias("_steps"),
                       F.sum("affected_users").alias("all_affected_users"))
     share = F.round(F.col("affected_users").cast("decimal(20,0)") * 100 / F.col("all_affected_users"), 2)
@@ -216,12 +141,12 @@ def churner_shares(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
 
 
 def payment_step_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
-                          partition_by: tuple[str, ...] = (USER,), split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                          partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """Churners whose last event is a payment step, and those among them
     with friction (F9). This is broader than a reading of the prose that asks
-    for users who submitted payment info and went back to the payment method:
-    any churner ending on either step counts."""
-    rows = churner_rows_with_friction(labeled, spec, partition_by, split_rows).where(
+    for users who submitted payment info and went back to the payment method
+    (``payment_return_churners``): any churner ending on either step counts."""
+    rows = churner_rows_with_friction(labeled, spec, partition_by).where(
         F.col("last_event").isin(*spec.payment_steps))
     per_user = rows.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("is_friction").alias("_fr"))
     return per_user.agg(
@@ -231,8 +156,19 @@ def payment_step_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.chec
     )
 
 
+def payment_return_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
+                            partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
+    """D4, the strict reading: churners who left on the payment page after they
+    had submitted payment info (among the labels before): rows and users."""
+    rows = checkout_churners(labeled, spec, partition_by).where(F.col("churn_event") == PAYMENT_PAGE)
+    back = rows.where(occurrences(lag_names(spec.history), ADD_PAYMENT) > 0)
+    per_user = back.groupBy(USER).agg(F.count(F.lit(1)).alias("_n"))
+    return per_user.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("return_churn_rows"),
+                        F.count(F.lit(1)).alias("return_churn_users"))
+
+
 def shipping_redirects(labeled: DataFrame, partition_by: tuple[str, ...] = (USER,),
-                       split_rows: int = HISTORY_SPLIT_ROWS) -> DataFrame:
+                       split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     """begin_checkout immediately after add_shipping_info (a redirect
     back to checkout): events and distinct users."""
     seq = prior_events(labeled, 1, partition_by, split_rows)

@@ -40,6 +40,11 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.label_checkout_events(normalized(spark, sf_dir))
 
 
+def labeled_unsequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled events of a raw table that has no ``event_seq``, as the reference's."""
+    return events.label_checkout_events(events.normalize_events(load_raw_events(spark, sf_dir).drop("event_seq")))
+
+
 @query("normalize_events")
 def q_normalize_events(spark, sf_dir):
     return normalized(spark, sf_dir)
@@ -132,6 +137,21 @@ def q_checkout_churners(spark, sf_dir):
     return sequences.checkout_churners(labeled(spark, sf_dir))
 
 
+@query("checkout_churners_session")
+def q_checkout_churners_session(spark, sf_dir):
+    return sequences.checkout_churners(labeled(spark, sf_dir), partition_by=sequences.SESSION)
+
+
+@query("prior_event_sequence_unsequenced")
+def q_prior_event_sequence_unsequenced(spark, sf_dir):
+    return sequences.prior_events(labeled_unsequenced(spark, sf_dir))
+
+
+@query("checkout_churners_unsequenced")
+def q_checkout_churners_unsequenced(spark, sf_dir):
+    return sequences.checkout_churners(labeled_unsequenced(spark, sf_dir))
+
+
 @query("completer_sequences")
 def q_completer_sequences(spark, sf_dir):
     return sequences.completer_sequences(labeled(spark, sf_dir))
@@ -167,6 +187,11 @@ def q_churn_summary(spark, sf_dir):
     return friction.churn_summary(labeled(spark, sf_dir))
 
 
+@query("churn_summary_session")
+def q_churn_summary_session(spark, sf_dir):
+    return friction.churn_summary(labeled(spark, sf_dir), partition_by=sequences.SESSION)
+
+
 @query("friction_revenue_total")
 def q_friction_revenue_total(spark, sf_dir):
     return friction.friction_revenue_total(labeled(spark, sf_dir), aov=DEFAULTS.aov)
@@ -187,6 +212,11 @@ def q_payment_step_churners(spark, sf_dir):
     return sequences.payment_step_churners(labeled(spark, sf_dir))
 
 
+@query("payment_return_churners")
+def q_payment_return_churners(spark, sf_dir):
+    return sequences.payment_return_churners(labeled(spark, sf_dir))
+
+
 @query("shipping_redirects")
 def q_shipping_redirects(spark, sf_dir):
     return sequences.shipping_redirects(labeled(spark, sf_dir))

@@ -11,7 +11,7 @@ from cartlane.operators.clean_path import COUNT_NAMES as CHECKPOINT_NAMES
 from cartlane.operators.funnel import RATE_NAMES
 from cartlane.operators.sequences import COUNT_NAMES as STEP_NAMES
 from cartlane.functions.labels import LAG_NAMES
-from cartlane.plans.oracle_base import LABELS_CTE, half_up, histories, query, r2, sql_list
+from cartlane.plans.oracle_base import LABELS_CTE, UNSEQUENCED_CTE, half_up, histories, query, r2, sql_list
 
 CUTOFF = "DATE '2024-01-25'"
 IN_SEGMENT = (f"list_contains({sql_list(SEGMENT_BROWSERS)}, browser) "
@@ -133,10 +133,15 @@ _STEP_COUNTS = ", ".join(f"CAST(len([x FOR x IN prior IF x = '{s}']) AS INT) AS
 _AGAIN = "list_contains(prior, event_label)"
 _TWICE = f"list_bool_or([len([x FOR x IN prior IF x = s]) > 1 FOR s IN {sql_list(CHURN_STEPS)}])"
 
-ORACLE["prior_event_sequence"] = query(*_HISTORY) + f"""
-SELECT user_pseudo_id, event_date, event_timestamp, event_seq, event_label, {_LAGS} FROM steps"""
-ORACLE["checkout_churners"] = query(*_HISTORY) + f"""
-SELECT user_pseudo_id, event_date, event_timestamp, event_label AS churn_event, {_LAGS} FROM steps WHERE {_CHURNED}"""
+_PRIOR = f"SELECT user_pseudo_id, event_date, event_timestamp, event_seq, event_label, {_LAGS} FROM steps"
+_CHURNERS = f"""SELECT user_pseudo_id, event_date, event_timestamp, event_label AS churn_event, {_LAGS} FROM steps
+WHERE {_CHURNED}"""
+_SESSION = ("user_pseudo_id", "event_date")
+ORACLE["prior_event_sequence"] = query(*_HISTORY) + _PRIOR
+ORACLE["checkout_churners"] = query(*_HISTORY) + _CHURNERS
+ORACLE["checkout_churners_session"] = query(*histories(*_SESSION)) + _CHURNERS
+ORACLE["prior_event_sequence_unsequenced"] = query(*_HISTORY, typed=UNSEQUENCED_CTE) + _PRIOR
+ORACLE["checkout_churners_unsequenced"] = query(*_HISTORY, typed=UNSEQUENCED_CTE) + _CHURNERS
 
 
 def _groups(where: str, name: str, scope: tuple[str, ...] = ("user_pseudo_id",)) -> tuple[str, ...]:
@@ -179,15 +184,22 @@ GROUP BY s.segment, s.revenue_label"""
 
 _USER = ("user_pseudo_id",)
 ORACLE["friction_segments"] = _segments(_USER)
-ORACLE["friction_segments_session"] = _segments(("user_pseudo_id", "event_date"))
+ORACLE["friction_segments_session"] = _segments(_SESSION)
 ORACLE["friction_revenue_total"] = query(*_frictioned(_USER)) + f"""
 SELECT CAST(coalesce(sum(users), 0) AS BIGINT) AS friction_affected_users,
        {_risk('coalesce(sum(users), 0)')} AS revenue_at_risk
 FROM frictioned"""
 
-_CHURN_ROWS = (*_HISTORY, f"""churned AS (
+
+
+def _churn_rows(scope: tuple[str, ...]) -> tuple[str, ...]:
+    return (*histories(*scope), f"""churned AS (
   SELECT user_pseudo_id AS u, event_label AS last_event, prior, {_AGAIN} AS friction FROM steps WHERE {_CHURNED})""")
-ORACLE["churn_summary"] = query(*_CHURN_ROWS) + f""", counts AS (
+
+
+_CHURN_ROWS = _churn_rows(_USER)
+for _name, _scope in (("churn_summary", _USER), ("churn_summary_session", _SESSION)):
+    ORACLE[_name] = query(*_churn_rows(_scope)) + f""", counts AS (
 SELECT count(*) AS churner_rows, count(DISTINCT u) AS checkout_churners,
        count(DISTINCT (u, last_event, prior)) FILTER (friction) AS friction_affected_users,
        count(DISTINCT u) FILTER (friction) AS friction_churners_distinct
@@ -208,6 +220,9 @@ ORACLE["payment_step_churners"] = query(*_CHURN_ROWS) + """
 SELECT count(*) AS payment_churn_rows, count(DISTINCT u) AS payment_churn_users,
        count(DISTINCT u) FILTER (friction) AS friction_payment_churn_users
 FROM churned WHERE last_event IN ('Payment Method', 'add_payment_info')"""
+ORACLE["payment_return_churners"] = query(*_CHURN_ROWS) + """
+SELECT count(*) AS return_churn_rows, count(DISTINCT u) AS return_churn_users
+FROM churned WHERE last_event = 'Payment Method' AND list_contains(prior, 'add_payment_info')"""
 ORACLE["shipping_redirects"] = query(*_HISTORY) + """
 SELECT count(*) AS redirect_events, count(DISTINCT user_pseudo_id) AS redirect_users
 FROM steps WHERE event_label = 'begin_checkout' AND prior[1] = 'add_shipping_info'"""

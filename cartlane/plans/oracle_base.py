@@ -57,6 +57,16 @@ TYPED_CTE = """typed AS (
   FROM raw_events r
 )"""
 
+# The same for a table without a sequence: ties are ordered by date, name and title.
+UNSEQUENCED_CTE = """typed AS (
+  SELECT r.* EXCLUDE (event_date, event_timestamp, event_seq),
+         strptime(r.event_date, '%Y%m%d')::DATE AS event_date,
+         make_timestamp(r.event_timestamp) AS event_timestamp,
+         r.event_timestamp AS event_us,
+         concat_ws('|', r.event_date, r.event_name, r.page_title) AS event_seq
+  FROM raw_events r
+)"""
+
 # A page view is its title if that is a checkout page; any other event is its name unless it is noise.
 LABELS_CTE = f"""labels_of_events AS (
   SELECT *, page_title AS event_label FROM typed
@@ -87,8 +97,8 @@ def histories(*keys: str) -> tuple[str, ...]:
 )""")
 
 
-def query(*ctes: str) -> str:
-    return "WITH " + ",\n".join((RAW_EVENTS_CTE, TYPED_CTE, *ctes)) + "\n"
+def query(*ctes: str, typed: str = TYPED_CTE) -> str:
+    return "WITH " + ",\n".join((RAW_EVENTS_CTE, typed, *ctes)) + "\n"
 
 
 def fdiv(a: str, b: str) -> str:

@@ -22,7 +22,7 @@ RAW_EVENTS_SCHEMA = T.StructType([
     T.StructField("browser", T.StringType(), True),
     T.StructField("operating_system", T.StringType(), True),
     T.StructField("purchase_revenue_in_usd", T.DoubleType(), True),
-    # Total-order tie-break for events sharing a timestamp.
+    # Total-order tie-break for events sharing a timestamp; a table may lack it (last field).
     T.StructField("event_seq", T.LongType(), True),
 ])
 
@@ -38,7 +38,10 @@ def raw_date_upper_bound(cutoff: _dt.date | None):
 
 
 def read_raw_events(spark: SparkSession, path: str, cutoff: _dt.date | None = None) -> DataFrame:
-    """Read a raw-events Parquet table (optionally ``event_date``-partitioned)."""
-    df = spark.read.schema(RAW_EVENTS_SCHEMA).parquet(path)
+    """Read a raw-events Parquet table (optionally ``event_date``-partitioned). A table that has no ``event_seq``
+    (its footer tells) is read without it; ``normalize_events`` then orders ties by content."""
+    sequenced = "event_seq" in spark.read.parquet(path).columns
+    schema = RAW_EVENTS_SCHEMA if sequenced else T.StructType(RAW_EVENTS_SCHEMA.fields[:-1])
+    df = spark.read.schema(schema).parquet(path)
     pred = raw_date_upper_bound(cutoff)
     return df if pred is None else df.where(pred)

@@ -5,9 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from cartlane.config import CHURN_STEPS
 from cartlane.operators import sequences as S
 from cartlane.operators.events import label_checkout_events
+from cartlane.operators.friction import churn_summary
 from cartlane.functions.labels import lag_names
+from cartlane.plans.inspect import plan_text
 
 LABELS = ["begin_checkout", "add_shipping_info", "add_payment_info", "add_to_cart", "purchase", "view_item"]
 
@@ -60,13 +63,84 @@ def test_all_at_one_timestamp(spark, events):
     assert got == expected
 
 
-def test_churners_independent_of_splitting(spark, events):
+def _brute_churners(rows, keys):
+    """Rows at the last timestamp of scopes without a purchase, on a checkout step, with their lags."""
+    lags, out = _brute_by(rows, keys), []
+    for r in rows:
+        own = [x for x in rows if all(x[k] == r[k] for k in keys)]
+        last = max((x["event_us"] for x in own if x["event_us"] is not None), default=None)
+        if last is not None and r["event_us"] == last and r["event_label"] in CHURN_STEPS and not any(
+                x["event_label"] == "purchase" for x in own):
+            out.append((r["user_pseudo_id"], r["event_date"], r["event_timestamp"], r["event_label"], *lags[r["event_seq"]]))
+    return sorted(out, key=repr)
+
+
+def test_churners_from_tails(spark, events):
+    """Tails give what whole histories give, with ties at the last timestamp, and from a split frame too."""
+    for k in range(9):
+        events.add("tied", CHURN_STEPS[k % 4], 50)
     lab = label_checkout_events(_random_events(events, seed=11).norm(spark))
+    rows = [r.asDict() for r in lab.collect()]
     for keys in ((S.USER,), S.SESSION):
-        results = [sorted(map(tuple, S.checkout_churners(lab, partition_by=keys, split_rows=n).collect()), key=repr)
-                   for n in (1_000_000, 50, 3)]
-        assert results[0] == results[1] == results[2]
-    assert results[0]  # sessions that end on a checkout step, without a purchase
+        want = _brute_churners(rows, keys)
+        assert want
+        assert sorted(map(tuple, S.checkout_churners(lab, partition_by=keys).collect()), key=repr) == want
+        for split in (None, 50, 3):
+            frame = S.history_frame(lab, 5, keys, split).where(S.churn_row_predicate())
+            got = frame.select(S.USER, "event_date", "event_timestamp", "event_label", *lag_names(5)).collect()
+            assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_tails_are_shuffled_not_histories(spark, events):
+    """The limit stands below the exchange, and a busy user leaves each map task as its last timestamps."""
+    for k in range(4000):
+        events.add("busy", LABELS[k % 4], k % 1400)
+    lab = label_checkout_events(events.norm(spark)).repartition(4)
+    for frame in (S.checkout_churners(lab), churn_summary(lab)):
+        text = plan_text(frame)
+        partial = next(x for x in text.splitlines() if "WindowGroupLimit" in x and "Partial" in x)
+        assert "Exchange hashpartitioning(user_pseudo_id" in text[:text.index(partial)].splitlines()[-1]
+    parts = {}
+    for r in lab.withColumn("_part", F.spark_partition_id()).collect():
+        parts.setdefault(r["_part"], []).append(r["event_us"])
+    passed = sum(sum(us in set(sorted(set(p))[-6:]) for us in p) for p in parts.values())
+    assert passed < 0.1 * sum(map(len, parts.values()))
+
+
+def test_null_timestamps_and_an_early_event(spark, events):
+    """Rows without a timestamp come first, split or not."""
+    for k in range(43):
+        events.add("hot", LABELS[k % 4], k)
+    for k in (5, 17, 30):
+        events.rows[k] = (*events.rows[k][:4], None, *events.rows[k][5:])
+    lab = label_checkout_events(events.norm(spark))
+    whole = sorted(map(tuple, S.history_frame(lab, split_rows=None).collect()), key=repr)
+    for split in (1, 3, 10, 20):
+        assert sorted(map(tuple, S.history_frame(lab, split_rows=split).collect()), key=repr) == whole, split
+
+
+def test_splitters_follow_the_rows(spark):
+    """One early event moves no slice: the hot user's rows are spread evenly over tasks."""
+    us = F.when(F.col("id") == 0, F.lit(1702000000000000)).otherwise(F.lit(1705017600000000) + F.col("id") * 1_000_000)
+    raw = spark.range(0, 4001, 1, 8).withColumn("event_us", us).selectExpr(
+        "'hot' AS user_pseudo_id", "DATE'2024-01-05' AS event_date", "timestamp_micros(event_us) AS event_timestamp",
+        "event_us", "id AS event_seq", "concat('e', id % 7) AS event_label")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        frame = S.history_frame(raw, 5, split_rows=200).withColumn("_task", F.spark_partition_id())
+        rows = frame.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_task = {}
+    for r in rows:
+        by_task[r["_task"]] = by_task.get(r["_task"], 0) + 1
+    assert len(rows) == 4001 and max(by_task.values()) < 0.2 * len(rows)
+    want = [tuple(f"e{(i - k) % 7}" if i >= k else None for k in range(1, 6)) for i in range(4001)]
+    assert [tuple(r[c] for c in lag_names(5)) for r in sorted(rows, key=lambda r: r["event_seq"])] == want
 
 
 def test_hot_user_is_spread_over_tasks(spark, events):
@@ -85,5 +159,4 @@ def test_hot_user_is_spread_over_tasks(spark, events):
     by_task = {}
     for r in rows:
         by_task[r["_task"]] = by_task.get(r["_task"], 0) + 1
-    # Edges of its slices share one task; no other holds more than a few slices.
     assert len(rows) > 300 and max(by_task.values()) < 0.4 * len(rows) and len(by_task) >= 6

@@ -11,8 +11,8 @@ from conftest import SF001
 SINGLE_SCAN = ["daily_purchase_duration", "user_day_facts", "funnel_counts", "population_counts", "aov",
                "segment_gaps", "checkpoint_counts", "clean_path_user_days", "clean_vs_overall",
                "clean_vs_overall_session", "aov_candidates", "clean_path_speedup"]
-# The second scan counts rows by user and reads no other column of the events.
-HISTORY = ["prior_event_sequence", "checkout_churners", "friction_segments", "churn_summary"]
+HISTORY = ["prior_event_sequence", "completer_sequences", "friction_segments", "shipping_redirects"]
+TAILS = ["checkout_churners", "churner_sequences", "churn_summary", "churner_shares", "payment_step_churners"]
 
 
 @pytest.mark.parametrize("name", SINGLE_SCAN)
@@ -43,15 +43,13 @@ def test_latest_checkpoints_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_text(CATALOG["clean_path_user_days"](spark, SF001))
 
 
-@pytest.mark.parametrize("name", HISTORY)
-def test_history_of_ordinary_users_is_shuffled_once(spark, name):
-    """Without a user to split, the branch for split users is gone at run time: what is left of the history is one
-    scan of the events and the count by user."""
+@pytest.mark.parametrize("name", HISTORY + TAILS)
+def test_history_of_ordinary_users_is_one_scan(spark, name):
+    """Without a hot user: one scan, no join, and the labelled rows (or the tails) pass one exchange by user."""
     df = CATALOG[name](spark, SF001)
-    df.collect()
-    final = plan_text(df).split("== Initial Plan ==")[0]
-    assert "_edge" not in final.replace("NOT _edge", "") or plan_stats(df, execute=False)["scans"] <= 2
-    assert plan_stats(df, execute=False)["scans"] <= 2
+    stats, text = plan_stats(df), plan_text(df).split("== Initial Plan ==")[0]
+    assert stats["scans"] == 1 and "Join" not in text
+    assert ("WindowGroupLimit" in text) == (name in TAILS)
 
 
 def test_cutoff_pushed_to_raw_scan(spark, tmp_path):

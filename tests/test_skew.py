@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartlane.operators import clean_path
 from cartlane.operators.events import label_checkout_events, normalize_events
+from cartlane.operators.skew import hot_keys
 from cartlane.plans.inspect import plan_text
 
 STEPS = ["begin_checkout", "add_shipping_info", "add_payment_info", "add_to_cart", "purchase"]
@@ -47,3 +48,25 @@ def test_counts_of_a_hot_user_day(spark):
     got = clean_path.checkpoint_counts(lab).first()
     assert got.add_shipping_count == sum(r.event_label == "add_shipping_info" and r.event_us >= start for r in rows)
     assert got.payment_info_count == sum(r.event_label == "add_payment_info" and r.event_us >= start for r in rows)
+
+
+def test_hot_user_days_are_counted_where_they_are_read(spark):
+    """Hot user-days, found on a sample, get their checkout by a broadcast; counts are the same, no window holds them."""
+    lab = label_checkout_events(normalize_events(_hot_raw(spark)))
+    want = sorted(map(tuple, clean_path.checkpoint_counts(lab, most_rows=None).collect()))
+    for most in (20, 1000):
+        df = clean_path.checkpoint_counts(lab, most_rows=most)
+        assert sorted(map(tuple, df.collect())) == want
+        text = plan_text(df)
+        assert "BroadcastHashJoin" in text and "Window" not in text and "SortMergeJoin" not in text
+    # The hot branch alone is counted map-side before its exchange.
+    assert "partial_count" in text
+    assert "Join" not in plan_text(clean_path.checkpoint_counts(lab, most_rows=10_000_000))
+
+
+def test_lists_of_ordinary_days_are_bounded(spark):
+    """The user-days that become lists hold no hot one."""
+    lab = label_checkout_events(normalize_events(_hot_raw(spark)))
+    hot = hot_keys(lab, clean_path.KEY, 1000)
+    assert [r["user_pseudo_id"] for r in hot.collect()] == ["hot"]
+    assert hot_keys(lab, clean_path.KEY, 1_000_000) is None
