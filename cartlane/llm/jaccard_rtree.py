@@ -6,20 +6,24 @@ R-tree whose nodes keep the largest count of every group beneath them drops whol
 overlap a link needs; what survives is verified on the full shingle sets.
 
 Points of all documents in one tree would have to meet in one task, so blocks come first, and lose no link: with
-shingles in one global order (frequent ones last, else by hash), two linked sets share one of their first
-``n - ceil(0.8 n) + 1`` shingles. Documents that share such a shingle are a block; blocks with the same members are
-one. Then:
+shingles in one global order, two linked sets share one of their first ``n - ceil(0.8 n) + 1`` shingles. Documents that
+share such a shingle are a block; blocks with the same members are one. The order puts frequent shingles last: a sketch
+of fixed size holds, for each of ``SKETCH`` hash values, the logarithm of the largest number of documents that a
+shingle there has. Any order is exact; this one keeps blocks small. Then:
 
 1. Stars. In each block the document with the most block places is the hub; a document is verified against the hub
-   that it shares most blocks with, if their points allow a link. Groups of near copies, small or very large, become one label this way, with one
-   pair per document.
+   that it shares most blocks with, if their points allow a link. Groups of near copies, small or very large, become one
+   label this way, with one pair per document.
 2. Trees. Blocks that still hold two labels get an R-tree over their points, which gives the pairs of different
-   label that the bound allows; these are verified. Blocks over ``TILE`` documents are cut into tiles, each with the
+   label that the bound allows. A pair is left out where the shingles after this one are too few for a link (``1 + min(n -
+   place - 1)`` of both must reach the overlap), and where one of the last ``BEFORE`` blocks of both is the same: that
+   block gives the pair. The others are verified. Blocks over ``TILE`` documents are cut into tiles, each with the
    pairs of two parts, so that no task holds more than two parts.
 3. Components of all verified links.
 
-Copies (equal word sequences) are one node throughout, so they cost one row each. Frequent shingles come from all
-documents; they only set the order and cannot change a result. Nodes and shingles are 64-bit hashes.
+Copies (equal word sequences) are one node throughout, so they cost one row each. A node is a 64-bit hash of the
+sequence; a second hash beside it shows where two sequences have one, and such sequences are known by the second.
+Shingles are 64-bit hashes.
 
 Defined cases: a text without words has no shingle, links with nothing (not even with another empty one) and is its
 own component; a text of fewer than five words has one shingle, the whole sequence; a null id is no component's
@@ -30,6 +34,7 @@ input, whatever their names, are not touched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +43,16 @@ from pyspark.sql import functions as F
 
 from cartlane.llm.common import BATCH_BYTES, batches, hidden, left_join_hot, payload, written
 from cartlane.llm.components import components
-from cartlane.llm.words import sequence_hash, word_hashes
+from cartlane.llm.words import sequence_digest, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 GROUPS, LEAF = 128, 16
 #: Documents of a block that one tree takes, and members verified in one task for a hub.
 TILE, STAR = 4096, 1000
-#: A shingle counts as frequent from so many documents of one slice of the scan; so many are put last.
-SLICE, FREQUENT, FREQUENT_KEPT = 4_000_000, 2, 1 << 18
+#: A shingle is counted from so many documents of one slice of the scan; entries of the sketch of counts.
+SLICE, FREQUENT, SKETCH = 4_000_000, 2, 1 << 20
+#: Earlier blocks that a document carries in a block.
+BEFORE = 16
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -82,23 +89,24 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 
 
 def _describe(source) -> Iterator[pa.RecordBatch]:
-    """(id, payload) -> rows (kind 0: id, n, node) of every document and (kind 1: shingle, documents) of the
+    """(id, payload) -> rows (kind 0: id, n, node, check) of every document and (kind 1: shingle, documents) of the
     frequent shingles of each slice. Documents also have their point."""
-    names, seen, held, size = ["kind", "a", "b", "c", "point"], set(), [], 0
+    names, seen, held, size = ["kind", "a", "b", "c", "d", "point"], set(), [], 0
 
     def frequent():
         keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64),) * 2
         keys, n = keys[n >= FREQUENT], n[n >= FREQUENT]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(_signed(keys)),
-                                           pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.int64()),
+                                           pa.array(n.astype(np.int64)), *[pa.nulls(len(keys), pa.int64())] * 2,
                                            pa.nulls(len(keys), pa.binary())], names)
 
     for batch in source:
-        n, nodes, points = [], [], []
+        n, nodes, checks, points = [], [], [], []
         for words in word_hashes(_texts(batch.column(1))):
-            keys, node = shingles(words), sequence_hash(words)
+            keys, (node, check) = shingles(words), sequence_digest(words)
             n.append(len(keys))
             nodes.append(node)
+            checks.append(check)
             points.append(point(keys).tobytes())
             if node not in seen:
                 seen.add(node)
@@ -108,22 +116,27 @@ def _describe(source) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 seen, held, size = set(), [], 0
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()),
-                                          pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names)
+                                          pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()),
+                                          pa.array(points, pa.binary())], names)
     yield frequent()
 
 
-def _prefixes(last: np.ndarray):
-    """For mapInArrow over payloads: (shingle, node, n) of every text's first shingles; ``last`` are the frequent
-    shingles, the more frequent the later."""
-    order = np.argsort(last)
-    ranked = last[order]
+def _node(words: np.ndarray, clashes: frozenset[int]) -> int:
+    node, check = sequence_digest(words)
+    return check if node in clashes else node
+
+
+def _prefixes(sketch: np.ndarray, clashes: frozenset[int]):
+    """For mapInArrow over payloads: (shingle, node, n, place, rank) of every text's first shingles by rank (the
+    sketch's entry) and hash."""
+    shift = np.uint64(64 - (len(sketch) - 1).bit_length())
 
     def postings(source) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in source:
-            keys, nodes, sizes, held = [], [], [], 0
+            rows, held = [], 0
             for words in word_hashes(_texts(batch.column(0))):
-                node = sequence_hash(words)
+                node = _node(words, clashes)
                 if node in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -133,31 +146,49 @@ def _prefixes(last: np.ndarray):
                 n = len(own)
                 if not n:
                     continue
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
-                    rank = np.where(ranked[at] == own, order[at] + 1, 0)
-                    own = own[np.argsort(rank, kind="stable")]
-                own = own[:n + (-PERCENT * n // 100) + 1]
-                keys.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
-                sizes.append(np.full(len(own), n, np.int32))
-                held += 20 * len(own)
+                rank = sketch[(own >> shift).astype(np.int64)]
+                # Shingles come sorted, so a stable sort by rank is the order of (rank, hash).
+                first = np.argsort(rank, kind="stable")[:n + (-PERCENT * n // 100) + 1]
+                rows.append((own[first], np.full(len(first), node, np.int64), np.full(len(first), n, np.int32),
+                             np.arange(len(first), dtype=np.int32), rank[first].astype(np.int32)))
+                held += 28 * len(first)
                 if held > BATCH_BYTES:
-                    yield _posting_batch(keys, nodes, sizes)
-                    keys, nodes, sizes, held = [], [], [], 0
-            if keys:
-                yield _posting_batch(keys, nodes, sizes)
+                    yield _posting_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _posting_batch(rows)
 
     return postings
 
 
-def _posting_batch(keys, nodes, sizes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)),
-                                       pa.array(np.concatenate(sizes))], ["shingle", "node", "n"])
+def _posting_batch(rows) -> pa.RecordBatch:
+    shingle, *others = (np.concatenate(c) for c in zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(_signed(shingle)), *map(pa.array, others)], ["shingle", "node", "n", "place", "rank"])
+
+
+def _node_column(clashes: frozenset[int]):
+    def column(texts: pa.Array) -> pa.Array:
+        return pa.array([_node(w, clashes) for w in word_hashes(_texts(texts))], pa.int64())
 
+    return F.arrow_udf(column, "long")
 
-def _node_column(texts: pa.Array) -> pa.Array:
-    return pa.array([sequence_hash(w) for w in word_hashes(_texts(texts))], pa.int64())
+
+def sketch_of(frequent: DataFrame) -> np.ndarray:
+    """For each of ``SKETCH`` hash values the logarithm of the most documents of a shingle there; ``frequent`` has
+    (shingle a, documents b) of slices. The driver gets at most ``SKETCH`` small rows."""
+    shift = 64 - (SKETCH - 1).bit_length()
+    counts = frequent.groupBy("a").agg(F.sum("b").alias("n"))
+    entries = counts.groupBy(F.shiftrightunsigned("a", shift).cast("int").alias("at")).agg(
+        F.floor(F.log2(F.max("n"))).cast("byte").alias("rank")).toArrow()
+    out = np.zeros(SKETCH, np.uint8)
+    out[entries["at"].to_numpy()] = entries["rank"].to_numpy()
+    return out
+
+
+def clashing_nodes(described: DataFrame) -> frozenset[int]:
+    """Nodes that two different sequences have: none, or a few among very many documents."""
+    checks = described.where("kind = 0 and b > 0").groupBy("c").agg(F.min("d").alias("l"), F.max("d").alias("h"))
+    return frozenset(r["c"] for r in checks.where("l <> h").select("c").collect())
 
 
 def _allowed(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
@@ -203,29 +234,48 @@ class CountVectorTree:
         return self.order[found]
 
 
-def block_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: np.ndarray,
-                sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes of different label that the bound allows; with ``sides`` only pairs across the two sides."""
-    tree = CountVectorTree(points, sizes)
+class Block(NamedTuple):
+    """A block's members: node, set size, label, side, the place of its shingle, points and earlier blocks (0: none)."""
+
+    nodes: np.ndarray
+    sizes: np.ndarray
+    labels: np.ndarray
+    sides: np.ndarray
+    places: np.ndarray
+    points: np.ndarray
+    before: np.ndarray
+
+
+def block_pairs(block: Block, across: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes of different label that the bounds allow and no earlier block gives; ``across``: only pairs of
+    two sides."""
+    nodes, sizes, labels, sides, places, points, before = block
+    tree, rest = CountVectorTree(points, sizes), sizes - places
     for at, i in enumerate(tree.order):
         hits = tree.search(at)
         hits = hits[(nodes[hits] > nodes[i]) & (labels[hits] != labels[i])]
-        if sides is not None:
+        if across:
             hits = hits[sides[hits] != sides[i]]
+        # The shared shingles are this one and some of those after it, or the pair is an earlier block's.
+        hits = hits[np.minimum(rest[hits], rest[i]) >= needed(sizes[hits] + sizes[i], 0)]
+        own = before[i][before[i] != 0]
+        if len(own) and len(hits):
+            hits = hits[~np.isin(before[hits], own).any(1)]
         for j in hits:
             yield int(nodes[i]), int(nodes[j])
 
 
 def _tree_pairs(source) -> Iterator[pa.RecordBatch]:
-    """Rows (block, i, j, node, n, label, side, point) sorted by (block, i, j) -> candidate pairs (a, b)."""
+    """Rows (block, i, j, node, n, label, side, place, before, point) sorted by (block, i, j) -> candidates (a, b)."""
 
     def runs():
         held, key = [], None
         for batch in source:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-            points = np.frombuffer(b"".join(v.as_py() for v in batch.column(7)), np.uint16).reshape(-1, GROUPS)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            arrays = [np.frombuffer(b"".join(_texts(batch.column(c))), kind).reshape(len(batch), width)
+                      for c, kind, width in ((9, np.uint16, GROUPS), (8, np.int64, BEFORE))] if len(batch) else []
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
-            edges = [0, *change.tolist(), len(points)]
+            edges = [0, *change.tolist(), len(batch)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
@@ -234,19 +284,23 @@ def _tree_pairs(source) -> Iterator[pa.RecordBatch]:
                     yield key, held
                     held = []
                 key = this
-                held.append(([c[a:b] for c in columns[3:]], points[a:b]))
+                held.append([c[a:b] for c in (*columns[3:], *arrays)])
         if held:
             yield key, held
 
     def pairs():
         for (_, i, j), held in runs():
-            nodes, sizes, labels, sides = (np.concatenate([h[0][c] for h in held]) for c in range(4))
-            points = np.concatenate([h[1] for h in held])
-            yield from block_pairs(nodes, sizes.astype(np.int64), labels, points, sides if i != j else None)
+            block = Block(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from block_pairs(block._replace(sizes=block.sizes.astype(np.int64)), i != j)
 
     return batches(pairs(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _packed(lists: pa.Array) -> pa.Array:
+    """Lists of up to ``BEFORE`` numbers as bytes of one length, padded by 0."""
+    return pa.array([np.array((v + [0] * BEFORE)[:BEFORE], np.int64).tobytes() for v in lists.to_pylist()], pa.binary())
+
+
 # --- verification -----------------------------------------------------------
 def _verify(source) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b, payload) sorted so that a's own row (b null) comes before its partners: the linked pairs."""
@@ -272,13 +326,13 @@ def _verify(source) -> Iterator[pa.RecordBatch]:
 class Nodes:
     """The distinct word sequences: node, n, point and the smallest id of a row that has it."""
 
-    def __init__(self, docs: DataFrame, described: DataFrame, text: str, ids: str):
+    def __init__(self, docs: DataFrame, described: DataFrame, text: str, ids: str, clashes: frozenset[int]):
         least = F.lit(-(1 << 63))
         rows = described.where("kind = 0 and b > 0")
         self.table = written(rows.groupBy(F.col("c").alias("node")).agg(
             F.min(F.coalesce("a", least)).alias("id"), F.first("b").cast("int").alias("n"), F.first("point").alias("point")), "nodes")
         named = docs.select(F.coalesce(F.col(ids).cast("long"), least).alias("id"), payload(text).alias("payload"))
-        self.rows = named.withColumn("node", F.arrow_udf(_node_column, "long")("payload"))
+        self.rows = named.withColumn("node", _node_column(clashes)("payload"))
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """The texts of the nodes in ``pairs(a, b)``, one for each node."""
@@ -308,23 +362,28 @@ class Nodes:
 
 
 # --- the join ---------------------------------------------------------------
+def _unsigned(c: str):
+    """Orders signed numbers as the unsigned ones that they stand for."""
+    return F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def _near_sizes(a: str, b: str):
     return (F.greatest(a, b) * PERCENT) <= (F.least(a, b) * 100)
 
 
-def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> DataFrame:
+def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str, clashes: frozenset[int]) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that is linked."""
-    nodes = Nodes(docs, described, text, ids)
-    frequent = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a")
-    last = np.array([r[0] for r in frequent.limit(FREQUENT_KEPT).collect()][::-1], np.int64).view(np.uint64)
-    postings = docs.select(payload(text)).mapInArrow(_prefixes(last), "shingle long, node long, n int")
+    nodes = Nodes(docs, described, text, ids, clashes)
+    sketch = sketch_of(described.where("kind = 1"))
+    postings = docs.select(payload(text)).mapInArrow(_prefixes(sketch, clashes), "shingle long, node long, n int, place int, rank int")
     distinct = postings.repartition("shingle").dropDuplicates(["shingle", "node"])
     shared = distinct.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("members > 1")
     shared = written(shared, "shared")
-    # Blocks with equal members are one; members are compared by two 64-bit sums.
-    lists = shared.groupBy("shingle").agg(F.first("members").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                          F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    kept = lists.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+    # Blocks with equal members are one, the first in the order; members are compared by two 64-bit sums.
+    lists = shared.groupBy("shingle").agg(
+        F.first("members").alias("m"), F.first("rank").alias("rank"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = lists.groupBy("m", "x", "y").agg(F.min(F.struct("rank", _unsigned("shingle"), "shingle")).alias("f")).select("f.shingle")
     places = shared.groupBy("node").agg(F.count(F.lit(1)).alias("places"))
     blocks = written(shared.join(kept, "shingle", "left_semi").join(places, "node"), "blocks")
 
@@ -339,17 +398,21 @@ def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> Da
     # Trees in the blocks that still hold two labels. A hub keeps its own label.
     hub_nodes = starred.select(F.col("a").alias("b")).distinct()
     labels = starred.join(hub_nodes, "b", "left_anti").select(F.col("b").alias("node"), F.col("a").alias("hub"))
-    labelled = blocks.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("hub", "node").alias("label"))
+    labelled = blocks.join(labels, "node", "left").select("shingle", "rank", "place", "node", "n", F.coalesce("hub", "node").alias("label"))
     labelled = written(labelled, "labelled")
     sizes = labelled.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m"))
     mixed = sizes.where("l <> h").select("shingle", F.ceil(F.col("m") / (TILE // 2)).cast("int").alias("parts"), "m")
     mixed = mixed.withColumn("parts", F.when(F.col("m") > TILE, F.col("parts")).otherwise(1)).drop("m")
     rows = labelled.join(mixed, "shingle")
+    # The blocks of the document before this one, in the global order.
+    earlier = Window.partitionBy("node").orderBy("rank", _unsigned("shingle")).rowsBetween(-BEFORE, -1)
+    rows = rows.withColumn("before", F.arrow_udf(_packed, "binary")(F.collect_list("shingle").over(earlier)))
     side = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("shingle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "n",
-                       "label", "side")
-    rows = rows.join(nodes.table.select("node", "point"), "node").select("shingle", "i", "j", "node", "n", "label", "side", "point")
+                       "label", "side", "place", "before")
+    rows = rows.join(nodes.table.select("node", "point"), "node").select(
+        "shingle", "i", "j", "node", "n", "label", "side", "place", "before", "point")
     dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     pairs = written(dealt.mapInArrow(_tree_pairs, "a long, b long").distinct(), "pairs")
     return starred.unionByName(nodes.verified(pairs))
@@ -357,9 +420,16 @@ def node_links(docs: DataFrame, text: str, described: DataFrame, ids: str) -> Da
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, node (the word sequence's hash)."""
+    return _grouped(docs, doc_id, text)[0]
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, frozenset[int]]:
     bare = docs.select(F.col(doc_id).cast("long"), payload(text))
-    described = written(bare.mapInArrow(_describe, "kind int, a long, b long, c long, point binary"), "described")
-    links = node_links(docs, text, described, doc_id)
+    described = written(bare.mapInArrow(_describe, "kind int, a long, b long, c long, d long, point binary"), "described")
+    clashes = clashing_nodes(described)
+    if clashes:
+        described = described.withColumn("c", F.when(F.col("c").isin(*clashes), F.col("d")).otherwise(F.col("c")))
+    links = node_links(docs, text, described, doc_id, clashes)
     rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -367,21 +437,21 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = written(rooted.join(least, "root").select("node", "copies", "component_id"), "components")
     found = left_join_hot(rows, named, "node", "copies")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), "node"), clashes
 
 
 def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component, that with the smallest id, with all its columns; texts without words all stay."""
-    node, ident, spread = hidden(docs, "node"), hidden(docs, "id"), hidden(docs, "spread")
-    kept = jaccard_groups(docs, doc_id, text).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
+    node, ident, spread, kept_node, kept_id = (hidden(docs, x) for x in ("node", "id", "spread", "kept_node", "kept_id"))
+    found, clashes = _grouped(docs, doc_id, text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     least = F.lit(-(1 << 63))
-    kept = kept.select(F.col("node").alias("__kept_node"), F.coalesce("doc_id", least).alias("__kept_id"))
+    kept = kept.select(F.col("node").alias(kept_node), F.coalesce("doc_id", least).alias(kept_id))
     empty = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\f\r", "     ")) == ""
-    marked = docs.withColumns({node: F.arrow_udf(_node_column, "long")(payload(text)),
+    marked = docs.withColumns({node: _node_column(clashes)(payload(text)),
                                ident: F.coalesce(F.col(doc_id).cast("long"), least),
                                spread: F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1))})
     full = marked.where(F.col(spread) == -1).join(
-        kept, (F.col(node) == F.col("__kept_node")) & (F.col(ident) == F.col("__kept_id")), "left_semi")
+        kept, (F.col(node) == F.col(kept_node)) & (F.col(ident) == F.col(kept_id)), "left_semi")
     chosen = full.dropDuplicates([node, ident]).unionByName(marked.where(F.col(spread) != -1))
     return chosen.drop(node, ident, spread)

@@ -220,9 +220,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
     """The owners' rows with all their columns, one for each different text. Rows are dealt by (id, content), so a
     group of copies is spread, and only the owner's rows find a partner."""
-    mark, ident = hidden(docs, "sha"), hidden(docs, "id")
-    owners = text_owners(docs, doc_id, text, keep).select(F.col("text_sha256").alias("__owner_sha"),
-                                                          F.col("keep_id").alias("__owner_id"))
+    mark, ident, owner_sha, owner_id = (hidden(docs, x) for x in ("sha", "id", "owner_sha", "owner_id"))
+    owners = text_owners(docs, doc_id, text, keep).select(F.col("text_sha256").alias(owner_sha), F.col("keep_id").alias(owner_id))
     marked = docs.withColumns({mark: F.sha2(payload(text), 256), ident: F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))})
-    same = (F.col(mark) == F.col("__owner_sha")) & (F.col(ident) == F.coalesce(F.col("__owner_id"), F.lit(-1)))
+    same = (F.col(mark) == F.col(owner_sha)) & (F.col(ident) == F.coalesce(F.col(owner_id), F.lit(-1)))
     return marked.join(owners, same, "left_semi").dropDuplicates([mark, ident]).drop(mark, ident)

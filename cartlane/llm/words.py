@@ -1,12 +1,15 @@
 """Words of texts as 64-bit hashes, for many texts at a time.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A word's hash is a polynomial of its bytes (each replaced by a
-64-bit number) modulo 2^64, mixed at the end; with running sums over the bytes of a whole group of texts it takes a
-few array operations and no loop over words. The hash of a word does not depend on where it stands.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A word's hash is the sum, modulo 2^64 and mixed at the end, of its
+bytes' numbers times the numbers of their places in the word. Both are arbitrary 64-bit numbers, so no pattern of
+letters cancels out (powers of one base would let doubling patterns do so). With running sums over the bytes of a
+whole group of texts it takes a few array operations and no loop over words. The hash of a word does not depend on
+where it stands.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -15,21 +18,22 @@ import numpy as np
 
 #: Bytes of text that are hashed at once; a longer text is cut after a word.
 GROUP = 1 << 18
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
 BLANK = re.compile(rb"[\x09-\x0d\x20]")
 MASK = (1 << 64) - 1
 
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """Arbitrary 64-bit numbers of small ones."""
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _numbers() -> np.ndarray:
     """A 64-bit number for each byte, those of A-Z being those of a-z."""
-    out = np.empty(256, np.uint64)
-    for byte in range(256):
-        x = ((byte | 0x20 if 65 <= byte <= 90 else byte) + 1) * 0x9E3779B97F4A7C15 & MASK
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
-        out[byte] = x ^ x >> 31
-    return out
+    byte = np.arange(256)
+    return _scatter(np.where((byte >= 65) & (byte <= 90), byte | 0x20, byte))
 
 
 NUMBERS = _numbers()
@@ -37,13 +41,9 @@ IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 @lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+def _places(n: int) -> np.ndarray:
+    """An odd number for each of the first ``n`` places of a word."""
+    return _scatter(np.arange(n) + 1000) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,10 +57,15 @@ def _hash_joined(data: bytes, starts_of_texts: np.ndarray) -> tuple[np.ndarray,
     blank = IS_BLANK[raw]
     edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(1 << max(len(raw), GROUP).bit_length())
+    first = np.zeros(len(raw), np.int64)
+    first[starts] = starts
+    place = np.arange(len(raw)) - np.maximum.accumulate(first)
+    longest = int((ends - starts).max(initial=0))
+    # A blank after a word counts for no word; its place is of no matter.
+    numbers = _places(1 << max(longest, 63).bit_length())
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(NUMBERS[raw] * power[:len(raw)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, starts_of_texts)
+    np.cumsum(NUMBERS[raw] * numbers[np.minimum(place, len(numbers) - 1)], dtype=np.uint64, out=sums[1:])
+    return mix(sums[ends] - sums[starts]), np.searchsorted(starts, starts_of_texts)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -99,10 +104,9 @@ def word_hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         yield from flush()
 
 
-def sequence_hash(words: np.ndarray) -> int:
-    """One hash of a text's words in order, as a signed 64-bit number."""
+def sequence_digest(words: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of a text's words in order, as signed 64-bit numbers; zeros without words."""
     if not len(words):
-        return 0
-    power, _ = _powers(1 << max(len(words), GROUP).bit_length())
-    total = np.array([np.sum(words * power[:len(words)], dtype=np.uint64) + np.uint64(len(words))])
-    return int(mix(total).view(np.int64)[0])
+        return 0, 0
+    digest = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)

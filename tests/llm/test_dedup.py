@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from edge_cases import docs, empty, prose, texts
 
 from cartlane.llm import jaccard_rtree as J
@@ -114,10 +115,10 @@ def test_components_of_near_copies(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_components(rows)
     assert sorted((tuple(r) for r in J.jaccard_groups(frame).drop("node").collect()), key=str) == want
-    # Blocks in many tiles, hubs with several tasks, and a list of frequent shingles.
+    # Blocks in many tiles, hubs with several tasks, and a sketch that tells next to nothing.
     monkeypatch.setattr(J, "TILE", 6)
     monkeypatch.setattr(J, "STAR", 2)
-    monkeypatch.setattr(J, "FREQUENT_KEPT", 50)
+    monkeypatch.setattr(J, "SKETCH", 16)
     assert sorted((tuple(r) for r in J.jaccard_groups(frame).drop("node").collect()), key=str) == want
 
 
@@ -142,7 +143,63 @@ def test_tree_drops_no_link():
         sets.append(np.unique(own))
     nodes, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
     points = np.stack([J.point(s) for s in sets])
-    found = set(J.block_pairs(nodes, sizes, nodes, points))
+    zero = np.zeros(len(sets), np.int64)
+    block = J.Block(nodes, sizes, nodes, zero, zero, points, np.zeros((len(sets), J.BEFORE), np.int64))
+    found = set(J.block_pairs(block))
     links = {(a, b) for a in nodes for b in nodes if a < b and
              100 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - i)}
     assert links and links <= found and len(found) < len(sets) ** 2 / 8
+
+
+def doubling(a, b, n):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_doubling_patterns_of_letters_and_words_differ(spark):
+    """Texts of equal letters in patterns that cancel out in sums of powers of one base."""
+    ship_package(spark)
+    one, two = "".join(doubling("a", "b", 1024)), "".join(doubling("b", "a", 1024))
+    rows = [(1, one), (2, two), (3, " ".join(doubling("x", "y", 1024))), (4, " ".join(doubling("y", "x", 1024))), (5, one), (6, one.upper())]
+    got = sorted(tuple(r) for r in J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("node").collect())
+    assert got == brute_components(rows)
+    assert {i: c for i, _, c in got}[2] == 2 and {i: c for i, _, c in got}[6] == 1
+
+
+def test_sequences_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of two values nearly all nodes clash; the second hash tells the sequences apart."""
+    ship_package(spark)
+    rows = near_rows()[:90]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    real = J.clashing_nodes
+    monkeypatch.setattr(J, "clashing_nodes", lambda d: frozenset(r["c"] for r in d.where("kind = 0 and b > 0 and c % 2 = 0").select("c").distinct().collect()) | real(d))
+    assert sorted((tuple(r) for r in J.jaccard_groups(frame).drop("node").collect()), key=str) == brute_components(rows)
+
+
+def test_clashing_column_names(spark):
+    ship_package(spark)
+    names = ["__node", "__id", "__spread", "__kept_node", "__kept_id", "__owner_sha"]
+    frame = docs(spark)
+    for name in names:
+        frame = frame.withColumn(name, F.lit("x"))
+    kept = J.keep_documents(frame)
+    assert kept.columns == frame.columns and kept.count() == J.keep_documents(docs(spark)).count()
+    exact = patricia.keep_documents(frame)
+    assert exact.columns == frame.columns and exact.count() == patricia.keep_documents(docs(spark)).count()
+
+
+def test_pairs_come_from_one_block():
+    """A pair whose blocks follow each other is given by the first; a place too late for a link gives none."""
+    r = np.random.default_rng(5)
+    keys = np.unique(r.integers(0, 2**63, 100).astype(np.uint64))
+    points, n = np.stack([J.point(keys)] * 2), np.array([len(keys)] * 2)
+    nodes, zero = np.array([1, 2]), np.zeros(2, np.int64)
+    before = np.zeros((2, J.BEFORE), np.int64)
+    assert list(J.block_pairs(J.Block(nodes, n, nodes, zero, zero, points, before))) == [(1, 2)]
+    assert not list(J.block_pairs(J.Block(nodes, n, nodes, zero, zero + 15, points, before)))
+    before[:, 3] = 77
+    assert not list(J.block_pairs(J.Block(nodes, n, nodes, zero, zero, points, before)))
+    before[0, 3] = 78
+    assert list(J.block_pairs(J.Block(nodes, n, nodes, zero, zero, points, before))) == [(1, 2)]
