@@ -22,77 +22,121 @@ the input, whatever their names, are not touched.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlane.llm.common import batches, byte_letters
-from cartlane.llm.splits import BLANK, LETTERS, NUMBERS, is_latin
+from cartlane.llm.splits import BLANK, LETTERS, NUMBERS
 
 WINDOW = 4096
 #: The least piece that closing cuts off, and the most items that a task holds before it closes its windows.
 LEAST_CUT, OPEN_ITEMS = 16, 50_000
-#: Chunks and words whose ids a worker keeps, and the longest of them.
-CACHED_CHUNKS, CACHED_WORDS, CACHED_CHARS = 400_000, 400_000, 40
+#: Chunks and words whose ids a worker keeps in each of two generations, and the longest of them.
+CACHED_CHUNKS, CACHED_WORDS, CACHED_CHARS = 400_000, 600_000, 40
+#: Bytes of text whose words are numbered together; a longer text is a group of its own.
+GROUP = 8 << 20
 #: A run of anything but Unicode white space, which the vocabulary's normaliser and splitter drop.
 CHUNK = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: What ``str.split`` takes for white space and the vocabulary does not.
-SEPARATORS = re.compile("[\\x1c-\\x1f]")
-#: The vocabulary's split for Latin-1, where lower-casing is character by character and NFC changes nothing.
-LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{BLANK}{LETTERS}{NUMBERS}]+")
+#: The vocabulary's split for Latin-1, where lower-casing is character by character and NFC changes nothing: these
+#: stand alone, letters between them and blanks are a word.
+MARKS = f"('(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{BLANK}{LETTERS}{NUMBERS}]+)"
+#: Blanks beyond ASCII.
+WIDE_BLANK = "[\\x{85}\\x{a0}]"
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Kept(dict):
+    """What ``make`` gives for a string, kept in two generations of ``size`` at most: when the younger is full it
+    becomes the older, and what is asked for again moves up."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class ChunkEncoder:
-    """Ids of the tokenizers library as little-endian unsigned 32-bit numbers. The vocabulary drops white space, so a
-    text's ids are those of its white-space-separated chunks in order. A worker keeps the ids of chunks and of
-    words; a new Latin-1 chunk is split here and its new words go to the library's model, any other new chunk to the
-    library as a whole."""
+    """Ids of the tokenizers library as little-endian unsigned 32-bit numbers, for many texts at a time.
+
+    The vocabulary lower-cases, drops white space and merges within words. Latin-1 texts are cut into words by Arrow: a
+    blank is put around everything but letters, and the pieces between blanks are numbered, so each word of a group of
+    texts is looked up once; new ones go to the library's model. The texts' ids are gathered from one flat array. Any
+    other text's chunks between white space go to the library as a whole. A worker keeps the ids of words and chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        #: What makes a text go to the library: letters beyond Latin-1, and special strings.
+        self.other = "|".join([r"[^\x{00}-\x{ff}]", *special])
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Kept(self._chunk, CACHED_CHUNKS), _Kept(self._word, CACHED_WORDS)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            written = "".join([self.letters[b] for b in word.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-            if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        # Printable ASCII is written as itself.
+        written = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return _numbers([t.id for t in self.model.tokenize(written)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if is_latin(chunk) and not any(s in chunk for s in self.special):
-            ids = b"".join([self._word(w) for w in LATIN.findall(chunk.lower())])
-        else:
-            ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.chunks) >= CACHED_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
-        known = self.chunks.get
-        return b"".join([self._chunk(c) if (ids := known(c)) is None else ids for c in chunks])
+        return _numbers(self.library.encode(chunk, add_special_tokens=False).ids)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text; a null one has none."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(sizes, np.arange(GROUP, sizes[-1] if len(sizes) else 0, GROUP)) + 1
+        edges = [0, *np.unique(cuts[cuts < len(texts)]).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            group = pc.fill_null(texts[a:b], "")
+            other = pc.match_substring_regex(group, self.other)
+            latin = self._latin(group.filter(pc.invert(other)))
+            for text, alone in zip(group, other.to_pylist(), strict=True):
+                yield b"".join(map(self.chunks.__getitem__, CHUNK.findall(text.as_py()))) if alone else next(latin)
+
+    def _latin(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(
+            pc.replace_substring_regex(pc.utf8_lower(texts), WIDE_BLANK, " "), MARKS, r" \1 "))
+        flat = lists.flatten().dictionary_encode()
+        known = [self.words[w] if w else b"" for w in flat.dictionary.to_pylist()]
+        table = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        counts, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(counts)
+        ids = table[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(texts) else []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield ids[a:b].tobytes()
+
+
+def _numbers(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class SumOfSquares:
@@ -210,8 +254,8 @@ def packer(path: str, end_id: int, window: int, least_cut: int, open_items: int)
         encoder, end = ChunkEncoder(path), np.array([end_id], "<u4").tobytes()
         lane = Lane(TaskContext.get().partitionId(), window, least_cut, open_items)
         for batch in source:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from lane.add(doc_id, encoder.encode(text.as_py() or "") + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                yield from lane.add(doc_id, ids + end)
         yield from lane.close()
 
     return lambda source: batches(pieces(source), PIECES)
