@@ -17,7 +17,8 @@ NORMALIZED_COLUMNS = ("user_pseudo_id", "event_name", "page_title", "event_date"
 CONTENT_ORDER = "concat_ws('|', event_date, event_name, page_title)"
 
 
-def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates: bool = False) -> DataFrame:
+def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates: bool = False,
+                     also: tuple[str, ...] = ()) -> DataFrame:
     """Typed view of raw events.
 
     ``event_date`` becomes a DATE parsed from the stored ``yyyyMMdd`` string
@@ -25,7 +26,8 @@ def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates:
     TIMESTAMP; ``event_us`` keeps the epoch microseconds for exact
     arithmetic. ``user_pseudo_id`` must be non-NULL (it is the key of every
     operator and makes the reference's ``NOT IN`` equal to an anti-join):
-    ``on_null_user`` is ``"raise"`` (default) or ``"drop"``.
+    ``on_null_user`` is ``"raise"`` (default) or ``"drop"``; ``sources.rejects``
+    keeps such rows beside the events. Columns in ``also`` stay as they are.
 
     A table without ``event_seq`` gets one from its content (``CONTENT_ORDER``):
     of events at one time the order is that of date, name and title. These fix an
@@ -54,6 +56,7 @@ def normalize_events(raw: DataFrame, on_null_user: str = "raise", lenient_dates:
         "operating_system",
         "purchase_revenue_in_usd",
         "event_seq",
+        *also,
     )
 
 

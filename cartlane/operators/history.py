@@ -102,10 +102,27 @@ def _carried(hot_rows: DataFrame, scope: list[str], n: int) -> DataFrame:
         *scope, _SLICE, "_before", "_last", "_bought")
 
 
+def marked(frame: DataFrame, n: int, partition_by: tuple[str, ...]) -> DataFrame:
+    """``frame`` with its scope and number of lags in a column's metadata, which Parquet keeps."""
+    return frame.withMetadata(USER_PURCHASED, {"scope": list(partition_by), "lags": n})
+
+
+def stored(labeled: DataFrame, n: int, partition_by: tuple[str, ...]) -> DataFrame | None:
+    """A stored history (``sources.history_store``) cut to ``n`` lags; None if ``labeled`` is none."""
+    if USER_PURCHASED not in labeled.columns:
+        return None
+    held = labeled.schema[USER_PURCHASED].metadata
+    if held.get("scope") != list(partition_by) or held.get("lags", 0) < n:
+        raise ValueError(f"the stored history has scope {held.get('scope')} and {held.get('lags')} lags, not {list(partition_by)} and {n}")
+    return labeled.select(*BASE, *lag_names(n), USER_LAST_US, USER_PURCHASED)
+
+
 def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history, partition_by: tuple[str, ...] = (USER,),
                   split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     """Labelled events with ``n`` lag columns, the scope's last timestamp and its purchase flag. ``split_rows`` is how
-    many rows of a scope one task takes; with None no scope is split."""
+    many rows of a scope one task takes; with None no scope is split. A stored history is used as it is."""
+    if (found := stored(labeled, n, partition_by)) is not None:
+        return found
     names, scope = lag_names(n), list(partition_by)
     base = labeled.select(*BASE)
     hot = hot_slices(base, scope, split_rows) if split_rows else None
@@ -138,7 +155,10 @@ def history_frame(labeled: DataFrame, n: int = DEFAULTS.checkout.history, partit
 
 def churn_tails(labeled: DataFrame, n: int = DEFAULTS.checkout.history, partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     """Of scopes that never purchased: the rows at their last ``n + 1`` timestamps (ties kept) with ``n`` lag columns
-    and the last timestamp. Lags are right for the rows at the last timestamp."""
+    and the last timestamp. Lags are right for the rows at the last timestamp. Of a stored history: all rows of such
+    scopes."""
+    if (found := stored(labeled, n, partition_by)) is not None:
+        return found.where(~F.col(USER_PURCHASED)).drop(USER_PURCHASED)
     names, scope = lag_names(n), list(partition_by)
     rows = labeled.select(*BASE).withColumn("_purchase", F.coalesce(F.col(LABEL) == PURCHASE, F.lit(False)))
     level = F.dense_rank().over(Window.partitionBy(*scope).orderBy(F.desc("_purchase"), F.desc_nulls_last("event_us")))
