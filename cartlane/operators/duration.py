@@ -28,10 +28,14 @@ def present(df: DataFrame, *order) -> DataFrame:
 def daily_duration(facts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per (date, *keys): purchases and rounded mean minutes, plus the cents
     integer of the mean (input of the summary)."""
-    d = facts.groupBy("event_date", *keys).agg(
+    return daily_rows(facts.groupBy("event_date", *keys).agg(
         F.count(F.lit(1)).alias("no_of_purchases"),
         F.sum("minutes_to_purchase").alias("total_minutes"),
-    )
+    ), keys)
+
+
+def daily_rows(d: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Daily means from (event_date, *keys, no_of_purchases, total_minutes)."""
     return d.select(
         F.col("event_date").alias("purchase_date"),
         round2_ratio(F.col("total_minutes"), F.col("no_of_purchases")).alias("avg_minutes_to_purchase"),
@@ -88,14 +92,13 @@ def purchase_weighted_duration(events: DataFrame, cutoff: _dt.date | None = None
                         "no_of_purchases")
 
 
-def _segment_summaries(events: DataFrame, segment: SegmentSpec, cutoff: _dt.date | None) -> DataFrame:
-    """Summary rows of all traffic (``_all``) and of every segment in one pass.
+def purchase_views(ev: DataFrame, segment: SegmentSpec = DEFAULTS.segment) -> DataFrame:
+    """Minutes to purchase of every purchasing user-day, once for all traffic
+    (``_all``) and once for the segment-filtered traffic with its segment.
 
-    A single ``groupBy(user, day)`` computes the facts of all traffic and of
-    the segment-filtered traffic side by side; a generator splits them into
-    two views that share the daily and summary aggregates."""
+    A single ``groupBy(user, day)`` computes both side by side; a generator
+    splits them into two views."""
     keys = tuple(segment.keys)
-    ev = until(events, cutoff)
     is_p = F.col("event_name") == PURCHASE
     in_seg = segment_filter(segment)
     # Two levels so that the string MAX runs on collapsed rows (see
@@ -118,9 +121,15 @@ def _segment_summaries(events: DataFrame, segment: SegmentSpec, cutoff: _dt.date
         F.struct(F.lit(False).alias("_all"), F.col("fe_seg").alias("fe"), F.col("fp_seg").alias("fp"),
                  *[F.col(k).alias(k) for k in keys]),
     )
-    facts = per_day.select("event_date", F.inline(views)).where(F.col("fp").isNotNull()).select(
+    return per_day.select("event_date", F.inline(views)).where(F.col("fp").isNotNull()).select(
         "_all", "event_date", *keys, minutes_between(F.col("fe"), F.col("fp")).alias("minutes_to_purchase"))
-    return summarize_daily(daily_duration(facts, ("_all", *keys)), ("_all", *keys))
+
+
+def _segment_summaries(events: DataFrame, segment: SegmentSpec, cutoff: _dt.date | None) -> DataFrame:
+    """Summary rows of all traffic (``_all``) and of every segment in one pass;
+    both views share the daily and summary aggregates."""
+    keys = ("_all", *segment.keys)
+    return summarize_daily(daily_duration(purchase_views(until(events, cutoff), segment), keys), keys)
 
 
 def segment_gaps(events: DataFrame, segment: SegmentSpec = DEFAULTS.segment,

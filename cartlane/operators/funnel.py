@@ -33,7 +33,7 @@ def rate_name(step: str) -> str:
     return RATE_NAMES.get(step, f"prct_{step}")
 
 
-def _pivot(cells: DataFrame, value: str, spec: FunnelSpec) -> DataFrame:
+def pivot(cells: DataFrame, value: str, spec: FunnelSpec) -> DataFrame:
     keys = list(spec.segment.keys)
     return cells.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("event_name") == s, F.col(value)).otherwise(F.lit(0))).cast("long").alias(s)
@@ -48,7 +48,7 @@ def funnel_counts(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> Data
     ev = events.where(segment_filter(spec.segment) & F.col("event_name").isin(*spec.steps))
     cells = ev.groupBy("event_name", *keys).agg(F.count("user_pseudo_id").alias("user_events"))
     cells = cells.where(F.col("user_events") > spec.min_count)
-    return present(_pivot(cells, "user_events", spec), *keys)
+    return present(pivot(cells, "user_events", spec), *keys)
 
 
 def funnel_users(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> DataFrame:
@@ -58,7 +58,7 @@ def funnel_users(events: DataFrame, spec: FunnelSpec = DEFAULTS.funnel) -> DataF
     ev = events.where(segment_filter(spec.segment) & F.col("event_name").isin(*spec.steps))
     pairs = ev.select("event_name", *keys, "user_pseudo_id").distinct()
     cells = pairs.groupBy("event_name", *keys).agg(F.count(F.lit(1)).alias("users"))
-    return present(_pivot(cells, "users", spec), *keys)
+    return present(pivot(cells, "users", spec), *keys)
 
 
 def _rates(counts: DataFrame, spec: FunnelSpec, strict: bool = False) -> list:

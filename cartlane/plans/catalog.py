@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlane.config import DEFAULTS
-from cartlane.operators import (clean_path, duration, events, facts, friction, funnel, population, revenue,
+from cartlane.operators import (clean_path, daily, duration, events, facts, friction, funnel, population, revenue,
                                 sequences)
 from cartlane.sources.fixture import load_raw_events
 
@@ -268,3 +268,38 @@ def q_population_counts(spark, sf_dir):
 @query("missing_step_share")
 def q_missing_step_share(spark, sf_dir):
     return population.missing_step_share(normalized(spark, sf_dir))
+
+
+# --- reports from daily partials ------------------------------------------------
+def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.daily_partials(normalized(spark, sf_dir))
+
+
+@query("purchase_duration_from_partials")
+def q_purchase_duration_from_partials(spark, sf_dir):
+    return daily.purchase_duration(partials(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+
+
+@query("segment_duration_from_partials")
+def q_segment_duration_from_partials(spark, sf_dir):
+    return daily.purchase_duration(partials(spark, sf_dir), cutoff=FIXTURE_CUTOFF, keys=DEFAULTS.segment.keys)
+
+
+@query("funnel_counts_from_partials")
+def q_funnel_counts_from_partials(spark, sf_dir):
+    return daily.funnel_counts(partials(spark, sf_dir))
+
+
+@query("aov_from_partials")
+def q_aov_from_partials(spark, sf_dir):
+    return daily.average_order_value(partials(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+
+
+@query("population_counts_approx")
+def q_population_counts_approx(spark, sf_dir):
+    return daily.approximate_population(partials(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+
+
+@query("funnel_users_approx")
+def q_funnel_users_approx(spark, sf_dir):
+    return daily.approximate_funnel_users(partials(spark, sf_dir))

@@ -299,3 +299,9 @@ ORACLE["missing_step_share"] = query("""flags AS (
 SELECT count(*) AS checkout_starters, count(*) FILTER (NOT saw) AS missing_page_starters,
        {r2('count(*) FILTER (NOT saw) * 100', 'count(*)')} AS missing_share_prct
 FROM flags WHERE began"""
+
+# --- the same reports from daily partials (the approximate user counts have no exact SQL) ---
+ORACLE["purchase_duration_from_partials"] = ORACLE["daily_purchase_duration"]
+ORACLE["segment_duration_from_partials"] = ORACLE["purchase_duration_by_segment"]
+ORACLE["funnel_counts_from_partials"] = ORACLE["funnel_counts"]
+ORACLE["aov_from_partials"] = ORACLE["aov"]
