@@ -1,14 +1,15 @@
 """Exact deduplication with Patricia-trie owners.
 
-Every text is a byte string under a key of its content hash and its length. A task inserts the full byte strings
-into a compressed radix trie, whose terminal nodes store the owner (the largest or smallest id) and the number of
-rows. Tries are built twice: in the tasks that read the table, so that a group of copies leaves each of them as one
-row, and after a shuffle by (length, hash), where the owners of equal strings meet. Equality is decided by the
-bytes along the path; the hash only deals rows out.
+A task inserts whole texts, byte by byte, into one compressed radix trie: texts with a common beginning share its path,
+and equal texts end in one terminal node, which stores the owner (the largest or smallest id) and the number of rows.
+Equality is decided by the bytes along the path. Tries are built twice: in the tasks that read the table, so that a
+group of copies leaves each of them as one row, and after a shuffle by (length, content hash), where the owners of
+equal texts meet; the hash only deals texts out. Rows find the owner of their text by its SHA-256.
 
-Memory is bounded by ``budget``: over it, the largest subtree goes. A reading task hands the subtree's terminals to
-the shuffle early, a merging task writes them to a temporary file of its own and merges that file when its input
-ends.
+Memory is bounded by ``budget``: over it, subtrees go, from the place in the trie where they are largest, until a
+quarter of the budget is free. A reading task hands their terminals to the shuffle early. A merging task writes them to
+a temporary file of its own, to which later texts of these subtrees go as well, and merges the file when its input
+ends. What cannot go, a path that all texts share or a single text, may exceed the budget.
 
 Defined cases: a null text counts as empty and empty texts are equal to each other; a null id is smaller than any
 id, so it owns a group only where all of its ids are null; rows that repeat an id and a text count in
@@ -58,18 +59,19 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie of byte strings. A node is [terminal, edges]; a terminal is [owner, rows]; edges map a
-    first byte to [label, node]."""
+    """Compressed radix trie of byte strings. A node is [terminal, edges, sink]; a terminal is [owner, rows]; edges map
+    a first byte to [label, node]; the sink of a subtree that went takes its later entries (key, owner, rows)."""
 
-    def __init__(self, keep: str = "largest"):
-        self.keep, self.root, self.bytes = keep, [None, {}], 0
+    def __init__(self, keep: str = "largest", budget: int = TRIE_BUDGET):
+        self.keep, self.root, self.bytes = keep, [None, {}, None], 0
+        self.budget = self.limit = budget
 
     def insert(self, key: bytes, owner: int | None, rows: int = 1) -> None:
         node, at = self.root, 0
-        while at < len(key):
+        while at < len(key) and node[2] is None:
             edge = node[1].get(key[at])
             if edge is None:
-                child = [None, {}]
+                child = [None, {}, None]
                 node[1][key[at]] = [key[at:], child]
                 self.bytes += len(key) - at + NODE_BYTES
                 node = child
@@ -79,115 +81,138 @@ class PatriciaTrie:
                 at, node = at + len(label), edge[1]
                 continue
             n = _shared(label, key[at:at + len(label)])
-            middle = [None, {label[n]: [label[n:], edge[1]]}]
+            middle = [None, {label[n]: [label[n:], edge[1]]}, None]
             edge[:] = [label[:n], middle]
             self.bytes += NODE_BYTES
             at, node = at + n, middle
-        if node[0] is None:
+        if node[2] is not None:
+            node[2](key, owner, rows)
+        elif node[0] is None:
             node[0] = [owner, rows]
         else:
             node[0] = [_better(node[0][0], owner, self.keep), node[0][1] + rows]
 
-    def terminals(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(b"", self.root)]
+    def terminals(self, prefix: bytes = b"", node: list | None = None) -> Iterator[tuple[bytes, int | None, int]]:
+        stack = [(prefix, self.root if node is None else node)]
         while stack:
             prefix, node = stack.pop()
             if node[0] is not None:
                 yield prefix, *node[0]
             stack += [(prefix + label, child) for label, child in node[1].values()]
 
+    def overfull(self) -> bool:
+        return self.bytes > self.limit
 
-class SubtreeForest:
-    """One trie for each value of the key's byte ``depth``; ``spill(subtree)`` takes the largest over the budget."""
-
-    def __init__(self, keep: str, budget: int, depth: int = 0):
-        self.keep, self.budget, self.depth = keep, budget, depth
-        self.tries: dict[int, PatriciaTrie] = {}
-        self.bytes = 0
-
-    def insert(self, key: bytes, owner: int | None, rows: int) -> None:
-        trie = self.tries.get(key[self.depth])
-        if trie is None:
-            trie = self.tries[key[self.depth]] = PatriciaTrie(self.keep)
-        self.bytes -= trie.bytes
-        trie.insert(key, owner, rows)
-        self.bytes += trie.bytes
-
-    def overfull(self) -> int | None:
-        if self.bytes <= self.budget:
-            return None
-        return max(self.tries, key=lambda k: self.tries[k].bytes)
-
-    def take(self, byte: int) -> PatriciaTrie:
-        trie = self.tries.pop(byte)
-        self.bytes -= trie.bytes
-        return trie
-
-
-def _key(text: bytes) -> bytes:
-    """Content hash, then length, then the whole text."""
-    return hashlib.blake2b(text, digest_size=8).digest() + len(text).to_bytes(8, "big") + text
+    def _sizes(self) -> tuple[dict[int, int], set[int]]:
+        """Bytes of every subtree, by the node's id, and the nodes with a sink in their subtree."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += [child for _, child in node[1].values()]
+        sizes: dict[int, int] = {}
+        cut: set[int] = set()
+        for node in reversed(order):
+            sizes[id(node)] = sum(len(label) + NODE_BYTES + sizes[id(child)] for label, child in node[1].values())
+            if node[2] is not None or any(id(child) in cut for _, child in node[1].values()):
+                cut.add(id(node))
+        return sizes, cut
+
+    def take(self, sink=None) -> Iterator[tuple[bytes, int | None, int]]:
+        """Remove the largest subtrees of at most half the budget and give their terminals; ``sink`` gets what is
+        inserted there later. One such subtree stays, so what was taken is less than the whole."""
+        (sizes, cut), found, stack = self._sizes(), [], [(b"", self.root)]
+        while stack:
+            prefix, node = stack.pop()
+            for edge in node[1].values():
+                label, child = edge
+                weight = len(label) + NODE_BYTES + sizes[id(child)]
+                if child[2] is not None:
+                    continue
+                # A subtree around a sink stays, so that a text has one place.
+                if (weight > self.budget // 2 or id(child) in cut) and child[1]:
+                    stack.append((prefix + label, child))
+                else:
+                    found.append((weight, prefix + label, node, edge))
+        found.sort(key=lambda f: -f[0])
+        freed, gone = 0, []
+        for weight, path, node, edge in found[:-1]:
+            if freed >= self.budget // 4:
+                break
+            freed += weight
+            gone.append((path, edge[1]))
+            if sink is None:
+                del node[1][edge[0][0]]
+            else:
+                edge[1] = [None, {}, sink]
+                freed -= len(edge[0]) + NODE_BYTES
+        self.bytes -= freed
+        # Where little can go, the next try waits until a quarter of the budget has come.
+        self.limit = self.budget if freed >= self.budget // 8 else self.bytes + self.budget // 4
+        for path, child in gone:
+            yield from self.terminals(path, child)
 
 
 def _partial(entry: tuple[bytes, int | None, int]) -> tuple:
-    key, owner, n = entry
-    return (int.from_bytes(key[8:16], "big"), int.from_bytes(key[:8], "big", signed=True), key[16:], owner, n)
+    text, owner, n = entry
+    mark = hashlib.blake2b(text, digest_size=8).digest()
+    return len(text), int.from_bytes(mark, "big", signed=True), text, owner, n
 
 
 def read_side(keep: str, budget: int):
-    """For mapInArrow over (id, payload): the terminals of the task's tries."""
+    """For mapInArrow over (id, payload): the terminals of the task's trie."""
 
     def entries(source):
-        forest = SubtreeForest(keep, budget)
+        trie = PatriciaTrie(keep, budget)
         for batch in source:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, value in zip(ids, texts, strict=True):
-                forest.insert(_key(value.as_py()), i, 1)
-                if (byte := forest.overfull()) is not None:
-                    yield from map(_partial, forest.take(byte).terminals())
-        for byte in list(forest.tries):
-            yield from map(_partial, forest.take(byte).terminals())
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                trie.insert(value.as_py(), i)
+                if trie.overfull():
+                    yield from trie.take()
+        yield from trie.terminals()
 
-    return lambda source: batches(entries(source), PARTIAL, weigh=lambda r: len(r[2]) + 40)
+    return lambda source: batches(map(_partial, entries(source)), PARTIAL, weigh=lambda r: len(r[2]) + 40)
 
 
 def merge_side(keep: str, budget: int):
     """For mapInArrow over rows of ``PARTIAL`` dealt by (length, hash): one row for each different text."""
 
-    def merged(entries, depth: int):
-        forest, files = SubtreeForest(keep, budget, depth), {}
+    def merged(entries):
+        trie, files = PatriciaTrie(keep, budget), []
         try:
             for key, owner, n in entries:
-                if key[depth] in files:
-                    pickle.dump((key, owner, n), files[key[depth]])
-                    continue
-                forest.insert(key, owner, n)
-                if depth < 7 and (byte := forest.overfull()) is not None:
-                    files[byte] = tempfile.TemporaryFile()
-                    for entry in forest.take(byte).terminals():
-                        pickle.dump(entry, files[byte])
-            for byte in list(forest.tries):
-                yield from forest.take(byte).terminals()
-            for file in files.values():
+                trie.insert(key, owner, n)
+                if trie.overfull():
+                    files.append(file := tempfile.TemporaryFile())
+                    sink = _sink(file)
+                    for entry in trie.take(sink):
+                        sink(*entry)
+            yield from trie.terminals()
+            del trie
+            for file in files:
                 file.seek(0)
-                yield from merged(_unpickled(file), depth + 1)
+                yield from merged(_unpickled(file))
+                file.close()
         finally:
-            for file in files.values():
+            for file in files:
                 file.close()
 
-    def keyed(source):
+    def received(source):
         for batch in source:
-            heads = zip(*(batch.column(c).to_pylist() for c in ("length", "hash", "owner", "n")), strict=True)
-            for (length, mark, owner, n), value in zip(heads, batch.column("payload"), strict=True):
-                yield mark.to_bytes(8, "big", signed=True) + length.to_bytes(8, "big") + value.as_py(), owner, n
+            for value, owner, n in zip(batch.column("payload"), *(batch.column(c).to_pylist() for c in ("owner", "n")), strict=True):
+                yield value.as_py(), owner, n
 
     def rows(source):
-        for key, owner, n in merged(keyed(source), 0):
-            yield hashlib.sha256(memoryview(key)[16:]).hexdigest(), owner, n
+        for text, owner, n in merged(received(source)):
+            yield hashlib.sha256(text).hexdigest(), owner, n
 
     return lambda source: batches(rows(source), OWNERS)
 
 
+def _sink(file):
+    return lambda key, owner, n: pickle.dump((key, owner, n), file)
+
+
 def _unpickled(file):
     while True:
         try:

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from edge_cases import docs, empty, prose, texts
 
@@ -25,6 +26,41 @@ def test_trie_holds_what_a_dict_holds():
     assert {k: (o, n) for k, o, n in trie.terminals()} == want
 
 
+def test_texts_with_a_common_beginning_share_a_path():
+    """A thousand texts with ten thousand bytes in common cost little more than their ends."""
+    trie, start = patricia.PatriciaTrie(), b"the same long beginning " * 400
+    for i in range(1000):
+        trie.insert(start + b"%d" % i, i)
+    assert trie.bytes < len(start) + 1200 * (patricia.NODE_BYTES + 8)
+    assert sum(1 for _ in trie.terminals()) == 1000
+
+
+def test_subtrees_go_and_come_back():
+    """Whatever the budget, taken subtrees and what stays hold every text, and the trie stays near its budget."""
+    r = random.Random(4)
+    keys = [b"common " * r.randint(0, 3) + bytes(r.choice(b"abc") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    want = collections.Counter(keys)
+    for budget in (6_000, 20_000, 200_000, 10_000_000):
+        trie, gone, most = patricia.PatriciaTrie("largest", budget), collections.Counter(), 0
+        for i, key in enumerate(keys):
+            trie.insert(key, i)
+            if trie.overfull():
+                for k, _, n in trie.take():
+                    gone[k] += n
+            most = max(most, trie.bytes)
+        assert gone + collections.Counter({k: n for k, _, n in trie.terminals()}) == want
+        assert most <= 2 * budget
+        rows = list(patricia.merge_side("largest", budget)(iter([_partial_batch(keys)])))
+        got = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for b in rows for r in b.to_pylist()}
+        last = {k: i for i, k in enumerate(keys)}
+        assert got == {hashlib.sha256(k).hexdigest(): (last[k], n) for k, n in want.items()}
+
+
+def _partial_batch(keys):
+    return pa.RecordBatch.from_pylist([{"length": len(k), "hash": 0, "payload": k, "owner": i, "n": 1} for i, k in enumerate(keys)],
+                                      patricia.PARTIAL)
+
+
 def brute_groups(rows, better=max):
     groups = collections.defaultdict(list)
     for i, t in rows:
