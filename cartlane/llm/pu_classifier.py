@@ -6,8 +6,11 @@ difference estimates a cost and so must not be negative; where a flexible scorer
 and its gradient reversed (the non-negative estimator), which keeps the model from calling unlabelled positives junk.
 The loss is logistic, so the score is a probability of label 1.
 
-The prior is estimated over all labelled training rows, as the share of label 1. Ids of the fitting sample
-(``POSITIVES`` and ``UNLABELLED`` rows at most, the first by a hash of the id) are chosen without their texts; their
+The prior is estimated from the trusted positives and the unlabelled text alone; labels 0 are never read. A logistic
+scorer of half the sample ranks positives before unlabelled text, both weighing the same. On the other half, the share
+of unlabelled text over a threshold is at least the prior times the share of positives over it, and nearly equal where
+only positives live; the least upper confidence bound of that quotient over all thresholds gives the estimate. Ids of
+the fitting sample (``POSITIVES`` and ``UNLABELLED`` rows at most, the first by a hash of the id) are chosen without their texts; their
 whole texts become feature vectors in the tasks that read them, and the driver fits on the bounded vectors. Every
 row of the table is then scored in place; nothing is shuffled.
 
@@ -37,6 +40,7 @@ from cartlane.llm.common import crc_mod, hidden, payload
 #: Bounds of the fitting sample, and the hashed words' dimensions.
 POSITIVES, UNLABELLED, HASHED = 8_000, 16_000, 256
 FOLDS, THRESHOLD, UNTRAINED = 5, 0.3, 0.5
+PRIOR_RANGE, CONFIDENCE = (0.02, 0.98), 0.1
 STATISTICS = 14
 WIDTH = 256 + STATISTICS + HASHED
 _CAPITALS = re.compile(rb"^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$")
@@ -95,8 +99,11 @@ class Model(NamedTuple):
     bias: float
 
     def score(self, vectors: np.ndarray) -> np.ndarray:
-        z = ((vectors - self.mean) * self.scale) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return _sigmoid(((vectors - self.mean) * self.scale) @ self.weights + self.bias)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.05,
@@ -108,11 +115,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     w = np.zeros(WIDTH + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     grad = lambda x, g: np.append(g.astype(np.float32) @ x, g.sum()) / len(g)
     for step in range(1, steps + 1):
         zp, zu = (x @ w[:-1].astype(np.float32) + w[-1] for x in (xp, xu))
-        sp, su = sigmoid(zp), sigmoid(zu)
+        sp, su = _sigmoid(zp), _sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_negative = grad(xu, su) - prior * grad(xp, sp)
         g = prior * grad(xp, sp - 1) + g_negative if negative >= -slack else -g_negative
@@ -122,6 +128,31 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200, rate: float = 0.05,
+                   decay: float = 1e-3) -> float:
+    """The share of positives in unlabelled vectors."""
+    fit_p, fit_u = positive[::2], unlabelled[::2]
+    held = [x[1::2] if len(x) > 1 else x for x in (positive, unlabelled)]
+    mean = fit_u.mean(0)
+    scale = 1 / np.maximum(fit_u.std(0), 1e-2)
+    xp, xu, hp, hu = (((x - mean) * scale).astype(np.float32) for x in (fit_p, fit_u, *held))
+    w = np.zeros(positive.shape[1] + 1)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    logit = lambda x: x @ w[:-1].astype(np.float32) + w[-1]
+    grad = lambda x, g: np.append(g.astype(np.float32) @ x, g.sum()) / len(g)
+    for step in range(1, steps + 1):
+        g = 0.5 * grad(xu, _sigmoid(logit(xu))) + 0.5 * grad(xp, _sigmoid(logit(xp)) - 1)
+        g[:-1] += decay * w[:-1]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+    zp, zu = np.sort(logit(hp)), np.sort(logit(hu))
+    share_p = 1 - np.arange(len(zp)) / len(zp)
+    share_u = 1 - np.searchsorted(zu, zp) / len(zu)
+    doubt = np.sqrt(np.log(4 / CONFIDENCE) / 2) * (1 / np.sqrt(len(zp)) + 1 / np.sqrt(len(zu)))
+    best = int(np.argmin((share_u + doubt) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], *PRIOR_RANGE))
+
+
 def _vectors(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
@@ -144,15 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on the training rows (crc32 of the id modulo ``FOLDS`` is not 0); None without trusted positives."""
     keyed = docs.select(F.col(doc_id).alias("__id"), F.col(text))
     train = keyed.where(crc_mod("__id", FOLDS) != 0)
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(
-        F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & (crc_mod("__id", FOLDS) != 0))
-    if prior is None:
-        prior = known.agg(F.avg("__label")).first()[0]
-    xp = _sample(train, _first(known.where("__label = 1"), positives), text)
+    trusted = labels.where(F.col(doc_id).isNotNull() & (F.col(label) == 1)).select(F.col(doc_id).alias("__id")).where(
+        crc_mod("__id", FOLDS) != 0)
+    xp = _sample(train, _first(trusted, positives), text)
     xu = _sample(train, _first(train, unlabelled), text)
-    if not prior or not len(xp) or not len(xu):
+    if not len(xp) or not len(xu):
         return None
-    return fit_nnpu(xp, xu, min(max(prior, 0.02), 0.98))
+    return fit_nnpu(xp, xu, estimate_prior(xp, xu) if prior is None else min(max(prior, PRIOR_RANGE[0]), PRIOR_RANGE[1]))
 
 
 def score_column(model: Model | None, text: str = "text") -> Column:

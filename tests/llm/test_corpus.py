@@ -243,3 +243,45 @@ def test_stages_take_edge_cases(spark, tmp_path):
     for source in (docs, empty):
         for name, stage in C.STAGES[:-1]:
             assert stage(spark, source(spark), str(tmp_path)).columns == [c.split()[0] for c in NAMES.split(", ")], name
+
+
+def gaussians(share, n=4000, width=30, seed=1):
+    """Vectors of positives, and of unlabelled rows with that share of positives; eight coordinates tell the classes apart."""
+    r = np.random.default_rng(seed)
+    shift = np.r_[np.ones(8), np.zeros(width - 8)]
+    draw = lambda k, sign: r.normal(0, 1, (k, width)) + sign * shift
+    mixed = np.concatenate([draw(int(n * share), 1), draw(n - int(n * share), -1)])
+    r.shuffle(mixed)
+    return draw(n, 1).astype(np.float32), mixed.astype(np.float32)
+
+
+def test_prior_from_positives_and_unlabelled_text():
+    for share in (0.2, 0.5, 0.8, 0.95):
+        assert abs(pu_classifier.estimate_prior(*gaussians(share)) - share) < 0.06
+
+
+def plain_risk(positive, unlabelled, prior, model, decay):
+    """The non-negative risk, term by term."""
+    w = np.append(model.weights, model.bias).astype(float)
+    score = lambda x: ((x - model.mean) * model.scale) @ w[:-1] + w[-1]
+    cost = lambda z, y: np.log1p(np.exp(-z if y else z)).mean()
+    r_pos, r_unl, r_pos_as_neg = cost(score(positive), 1), cost(score(unlabelled), 0), cost(score(positive), 0)
+    return prior * r_pos + max(0.0, r_unl - prior * r_pos_as_neg) + decay / 2 * (w[:-1] ** 2).sum()
+
+
+def test_fit_minimises_the_plain_risk(monkeypatch):
+    monkeypatch.setattr(pu_classifier, "WIDTH", 30)
+    positive, unlabelled = gaussians(0.6, n=1500)
+    model = pu_classifier.fit_nnpu(positive, unlabelled, 0.6, steps=600, decay=1e-2)
+    best, r = plain_risk(positive, unlabelled, 0.6, model, 1e-2), np.random.default_rng(0)
+    for _ in range(60):
+        other = model._replace(weights=model.weights + r.normal(0, 0.05, 30).astype(np.float32), bias=model.bias + r.normal(0, 0.05))
+        assert plain_risk(positive, unlabelled, 0.6, other, 1e-2) > best - 1e-4
+
+
+def test_label_zero_is_never_read(spark):
+    """Without any row of label 0 the scores are the same."""
+    ship_package(spark)
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    all_rows = sorted(map(tuple, pu_classifier.classify(documents, labels).collect()))
+    assert sorted(map(tuple, pu_classifier.classify(documents, labels.where("quality = 1")).collect())) == all_rows
