@@ -11,8 +11,9 @@
 5. Rows are dealt by range; each range is sorted by key on its own and running sums give every row its exact place
    in the global order. The place picks the shard by the cumulated quotas, and the slot.
 
-The driver sees samples and range totals (both bounded by parameters), never rows. The ranges are many times the
-shards, so no task holds more than a small part of a shard.
+The driver sees samples and range totals, never rows: ``DRAWS`` keys and one total for each range, of which there are
+``RANGES`` a shard, or one for every ``RANGE_BYTES`` where that is more (25,000 at 100 TB). So no task holds more than a
+small part of a shard.
 
 Defined cases: a null text has no bytes and the size ``EXTRA``; a null id sorts first; repeated rows get slots of
 their own; an empty table gives an empty result; other columns of the input are carried along, whatever their names.
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlane.llm.common import payload, written
+from cartlane.llm.common import hidden, payload, written
 
 EXTRA = 16
 #: Ranges for each shard, draws for each range, and times its share from which a range is subdivided.
 RANGES, DRAWS, OVERFULL = 16, 8, 2.0
+#: The most bytes of records that a range is meant for: beyond them there are more ranges, so one fits a task at any size.
+RANGE_BYTES = 4 << 30
 #: A record over 1 / (HEAVY x shards) of all bytes is dealt by itself.
 HEAVY = 50
 LEAST = -(1 << 63)
@@ -99,10 +102,8 @@ def _quotas(heavy: list[int], rest: int, shards: int) -> tuple[list[int], list[f
 
 
 def assign_shards(rows: DataFrame, size: Column, key: Column, ident: Column, shards: int = 40) -> DataFrame:
-    """All columns of ``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in every shard)."""
-    clash = {"shard", "slot"} & {c.lower() for c in rows.columns}
-    if clash:
-        raise ValueError(f"rows have {sorted(clash)} already")
+    """``row`` (a struct of all columns of ``rows``, whatever their names) with ``shard`` (int) and ``slot`` (long,
+    gapless from 0 in every shard)."""
     keyed = written(rows.select(F.struct("*").alias("__row"), size.cast("long").alias("__size"),
                                 key.cast("long").alias("__key"),
                                 F.coalesce(ident.cast("long"), F.lit(LEAST)).alias("__id")), "keyed")
@@ -126,7 +127,7 @@ def assign_shards(rows: DataFrame, size: Column, key: Column, ident: Column, sha
     first = large.withColumn("__nth", nth).join(
         F.broadcast(plan), ["__size", "__key", "__id", "__nth"]).select("__row", "shard", "slot")
 
-    placed, sums = _ranges(keyed.where(F.col("__size") <= cut), max(rest, 1), shards * RANGES)
+    placed, sums = _ranges(keyed.where(F.col("__size") <= cut), max(rest, 1), max(shards * RANGES, rest // RANGE_BYTES))
     starts, at, count = [], 0, 0
     for r in sorted(sums):
         starts.append((r, at, count))
@@ -143,7 +144,7 @@ def assign_shards(rows: DataFrame, size: Column, key: Column, ident: Column, sha
     heads = {r[0]: r[1] for r in ranked.groupBy("shard").agg(F.min("__rank")).collect()}
     shift = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, used[s] - heads.get(s, 0))])
     second = ranked.select("__row", "shard", (F.col("__rank") + shift[F.col("shard")]).cast("long").alias("slot"))
-    return first.unionByName(second).select("__row.*", "shard", "slot")
+    return first.unionByName(second).select(F.col("__row").alias("row"), "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,13 +152,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
     bare = docs.select(F.col(doc_id).alias("doc_id"),
                        (F.coalesce(F.octet_length(text), F.lit(0)) + EXTRA).cast("long").alias("size"),
                        F.crc32(payload(text)).alias("text_crc32"), F.xxhash64(payload(text)).alias("text_key"))
-    done = assign_shards(bare, F.col("size"), F.col("text_key"), F.col("doc_id"), shards)
+    done = assign_shards(bare, F.col("size"), F.col("text_key"), F.col("doc_id"), shards).select("row.*", "shard", "slot")
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write whole records as one folder per shard. Rows stay in the ranges' tasks, so a shard has several files."""
+    """Write whole records as one folder per shard, named by ``shard`` or, where the input has such a column, by the
+    first of ``__shard``, ``__shard_`` ... that it has not. Rows stay in the ranges' tasks, so a shard has several files."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + EXTRA
     done = assign_shards(docs, size, F.xxhash64(payload(text)), F.col(doc_id), shards)
-    done.write.partitionBy("shard").parquet(path)
+    name = hidden(docs, "shard") if "shard" in {c.lower() for c in docs.columns} else "shard"
+    done.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)

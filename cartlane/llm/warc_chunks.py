@@ -37,8 +37,6 @@ from cartlane.llm.common import batches, left_join_hot, payload, written
 
 #: Bytes of record that a row holds at most.
 CHUNK = 1 << 16
-#: A header longer than this is an error; so what the reader holds before the payload is bounded.
-HEADER_LIMIT = 1 << 20
 #: Pages carry no date of capture; records get this one.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -119,7 +117,7 @@ class RecordReader:
     """Takes the chunks of one record in order; ``finish`` gives the record's row or raises ``ValueError``."""
 
     def __init__(self):
-        self.head, self.fields, self.left = b"", None, 0
+        self.head, self.fields, self.left = bytearray(), None, 0
         self.chunks, self.crc, self.tail = 0, 0, b""
         self.sha1, self.size = hashlib.sha1(), 0
 
@@ -129,19 +127,21 @@ class RecordReader:
             raise ValueError(f"chunk {number} is damaged or out of order")
         self.chunks += 1
         if self.fields is None:
+            # The header is as long as its URL; its end is looked for in what is new.
+            searched = max(len(self.head) - len(END), 0)
             self.head += data
-            warc, found, rest = self.head.partition(END)
+            if self.head.find(END, searched) < 0:
+                return
+            warc, found, rest = bytes(self.head).partition(END)
             http, found_http, body = rest.partition(END)
-            if not (found and found_http):
-                if len(self.head) > HEADER_LIMIT:
-                    raise ValueError("no end of the header")
+            if not found_http:
                 return
             lines = warc.decode().split("\r\n")
             if lines[0] != VERSION:
                 raise ValueError(f"not a WARC record: {lines[0]!r}")
             self.fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
             self.left = int(self.fields["content-length"]) - len(http) - len(END)
-            self.head, data = b"", body
+            self.head, data = bytearray(), body
         part = memoryview(data)[:self.left]
         self.sha1.update(part)
         self.size, self.left = self.size + len(part), self.left - len(part)
