@@ -10,6 +10,11 @@ stage's result as Parquet to the session's shared folder and reads it back for t
 4. ``ngram_jaccard``: of each group that near-duplicate links connect the one with the smallest id stays.
 5. ``packing``: the rest is packed into sequences of 4,096 tokens; one row per piece.
 
+Defined cases: a null text counts as empty (the rules reject it); texts of any length are read whole; of rows that
+repeat an id and a text one stays; a null id is the smallest of its group; without labels every document scores alike and
+stays; an empty table gives an empty result; other columns of ``documents``, whatever their names, are carried to the last
+stage.
+
 No SQL expresses the trained classifier or the online packing; the tests hold the rows against a brute-force version.
 """
 
