@@ -41,9 +41,9 @@ WINDOW = 4096
 #: The least piece that closing cuts off, and the most items that a task holds before it closes its windows.
 LEAST_CUT, OPEN_ITEMS = 16, 50_000
 #: Chunks and words whose ids a worker keeps in each of two generations, and the longest of them.
-CACHED_CHUNKS, CACHED_WORDS, CACHED_CHARS = 400_000, 600_000, 40
+CACHED_CHUNKS, CACHED_WORDS, CACHED_CHARS = 50_000, 150_000, 40
 #: Bytes of text whose words are numbered together; a longer text is a group of its own.
-GROUP = 8 << 20
+GROUP = 1 << 20
 #: A run of anything but Unicode white space, which the vocabulary's normaliser and splitter drop.
 CHUNK = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: The vocabulary's split for Latin-1, where lower-casing is character by character and NFC changes nothing: these
