@@ -15,11 +15,15 @@ def con():
     return duck_connection(SF001)
 
 
+#: Sketch estimates have no exact SQL; tests/test_daily.py holds them to their error.
+APPROXIMATE = {"population_counts_approx", "funnel_users_approx"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(CATALOG) <= set(E.queries()) and set(CATALOG) <= set(E.oracle_sql())
+    assert set(CATALOG) <= set(E.queries()) and set(CATALOG) - APPROXIMATE <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(CATALOG))
+@pytest.mark.parametrize("name", sorted(set(CATALOG) - APPROXIMATE))
 def test_query_matches_oracle(spark, con, name):
     ok, msg = compare(E.queries()[name](spark, SF001), con, E.oracle_sql()[name])
     assert ok, msg
