@@ -7,10 +7,15 @@ alone; the scores use the counts of both.
 
 How the counts travel: documents are dealt into blocks by a hash of id and text (a block lies within one part). A
 block's task counts its own words and bigrams, so a frequent word leaves it as one entry, and sends its sorted keys
-(64-bit hashes) as compact arrays, cut by key range. The task of a key range adds all blocks up and answers each
-block with the counts in the order of the block's own keys, so the answer carries no keys. The block's task meets the
-answers, finds its keys again and scores its documents. Words are never broadcast, no task holds more than a block
-or a key range, and both shrink with their number, which follows the bytes of the input.
+(64-bit hashes) as compact arrays, cut into ``RANGES`` key ranges. The task of a key range adds all blocks up and answers
+each block with the counts in the order of the block's own keys, so the answer carries no keys. The block's task meets
+the answers, finds its keys again and scores its documents.
+
+Where a range would hold more than ``RANGE_BYTES`` of the input, ``FAN`` blocks are first merged, range by range, into
+one family, whose ranges are cut into ``FAN`` finer ones; families merge in the same way until the ranges are small
+enough. The answers come back the same way. Every such level has at most ``RANGES`` rows a block, so rows grow with the
+input (times its logarithm), not with its square; a task holds a block, ``FAN`` pieces of a range, or one fine range,
+and a word that every block has reaches the last task once a family. Levels never change a result.
 
 What the driver sees is bounded: totals, and a histogram of the deleted part (buckets x ratio bins), on which
 the expectation-maximisation runs; ratios are taken at the middle of bins of 1/8 of a power of two.
@@ -36,16 +41,19 @@ from pyspark.sql import functions as F
 from cartlane.llm.common import crc_mod, payload, written
 from cartlane.llm.words import word_hashes
 
-#: Bytes of text in a block, and the fewest blocks and key ranges.
+#: Bytes of text in a block, and the fewest blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 24
+#: Key ranges that a block is cut into, bytes of the input whose keys one range may hold, and how many blocks merge.
+RANGES, RANGE_BYTES, FAN = 64, 32 << 20, 64
 FOLDS, DELETED_FOLD = 10, 1
 BUCKETS, STEP, ROUNDS = 24, 8, 60
 KEPT, DELETED, HELD = 0, 1, 2
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 COUNTED = "range int, block long, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-ANSWERED = ("range int, block long, word_train binary, word_kept binary, bigram_train binary, bigram_kept binary,"
-            " tokens long, kept_tokens long, distinct long")
+ANSWERED = "range int, block long, word_train binary, word_kept binary, bigram_train binary, bigram_kept binary"
+TOTALS = "tokens long, kept_tokens long, distinct long"
+KINDS = (("words", "word_counts"), ("bigrams", "bigram_counts"))
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -98,33 +106,70 @@ def _texts(table: pa.Table) -> list:
     return [v.as_py() for v in table.column("payload")]
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where the sorted keys pass from one of ``ranges`` equal key ranges to the next."""
-    bounds = [(r << 64) // ranges for r in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]])
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of ``ranges`` equal ranges (fewer than 2^32) each key lies in; rises with the key."""
+    return (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _cut(block: int, counts: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.Table:
+    """Rows of COUNTED from sorted keys and counts of words and of bigrams: one for every range that has a key."""
+    held = [_range_of(keys, ranges) for keys, _ in counts]
+    met = np.union1d(*held)
+    columns = [pa.array(met, pa.int32()), pa.array([block] * len(met), pa.int64())]
+    for (keys, n), own in zip(counts, held, strict=True):
+        spans = list(zip(np.searchsorted(own, met), np.searchsorted(own, met, "right"), strict=True))
+        columns += [pa.array([pack_keys(keys[a:b]) for a, b in spans], pa.binary()),
+                    pa.array([pack_counts(n[a:b]) for a, b in spans], pa.binary())]
+    return pa.Table.from_arrays(columns, ["range", "block", "words", "word_counts", "bigrams", "bigram_counts"])
 
 
 def _count_block(ranges: int):
     def count(table: pa.Table) -> pa.Table:
         tokens, pairs, _ = token_keys(_texts(table))
-        block = table.column("block")[0].as_py()
-        (words, n_words), (bigrams, n_bigrams) = np.unique(tokens, return_counts=True), np.unique(pairs, return_counts=True)
-        at, to = _cuts(words, ranges), _cuts(bigrams, ranges)
-        rows = [(r, block, pack_keys(words[at[r]:at[r + 1]]), pack_counts(n_words[at[r]:at[r + 1]]),
-                 pack_keys(bigrams[to[r]:to[r + 1]]), pack_counts(n_bigrams[to[r]:to[r + 1]])) for r in range(ranges)]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)],
-                                    ["range", "block", "words", "word_counts", "bigrams", "bigram_counts"])
+        return _cut(table.column("block")[0].as_py(), [np.unique(k, return_counts=True) for k in (tokens, pairs)], ranges)
 
     return count
 
 
+def _merge_family(ranges: int):
+    """One range of a family's blocks as the family's own rows, in finer ranges (``ranges`` of them in all)."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows, counts = table.to_pylist(), []
+        for kind, n in KINDS:
+            keys, place = np.unique(np.concatenate([unpack_keys(r[kind]) for r in rows]), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, place, np.concatenate([unpack_counts(r[n]) for r in rows]))
+            counts.append((keys, sums))
+        return _cut(rows[0]["family"], counts, ranges)
+
+    return merge
+
+
+def _hand_down(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    """A family's answers in one range, back to its blocks in the order of their keys."""
+    rows, found = blocks.to_pylist(), sorted(answers.to_pylist(), key=lambda r: r["range"])
+    out = {"range": [r["range"] for r in rows], "block": [r["block"] for r in rows]}
+    for (kind, _), stem in zip(KINDS, ("word", "bigram"), strict=True):
+        keys = [unpack_keys(r[kind]) for r in rows]
+        everything = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+        for which in ("train", "kept"):
+            packed = [r[f"{stem}_{which}"] for r in found]
+            if not all(packed):  # only the deleted part is told the kept part's counts
+                out[f"{stem}_{which}"] = [b""] * len(rows)
+                continue
+            counts = np.concatenate([unpack_counts(p) for p in packed]) if packed else np.empty(0, np.int64)
+            out[f"{stem}_{which}"] = [pack_counts(counts[np.searchsorted(everything, k)]) for k in keys]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+
 def _add_range(table: pa.Table) -> pa.Table:
     """Sum the blocks' counts of one key range; answer each block in the order of its keys."""
     rows = table.to_pylist()
     answers = [[r["range"], r["block"]] for r in rows]
     totals = []
-    for kind, counts in (("words", "word_counts"), ("bigrams", "bigram_counts")):
+    for kind, counts in KINDS:
         keys = [unpack_keys(r[kind]) for r in rows]
         everything, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros((2, len(everything)), np.int64)
@@ -245,9 +290,29 @@ def _score(tokens: int, distinct: int, weights: np.ndarray):
     return score
 
 
+def _answers(counted: DataFrame, size: int, ranges: int, range_bytes: int, fan: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """Each block's answers, and the totals: training tokens, kept tokens, distinct training words."""
+    levels = []
+    while ranges * range_bytes < size:
+        # Blocks of a family lie within one part, which block % 3 goes on naming.
+        rows = written(counted, "counts").withColumn("family", F.expr(f"block div 3 div {fan} * 3 + block % 3"))
+        levels.append(rows)
+        ranges *= fan
+        counted = rows.groupBy("range", "family").applyInArrow(_merge_family(ranges), COUNTED)
+    answers = written(counted.groupBy("range").applyInArrow(_add_range, f"{ANSWERED}, {TOTALS}"), "answers")
+    names = ("tokens", "kept_tokens", "distinct")
+    totals = answers.groupBy("range").agg(*[F.first(c).alias(c) for c in names]).agg(*[F.sum(c) for c in names]).first()
+    answers = answers.drop(*names)
+    for rows in reversed(levels):
+        found = answers.groupBy((F.col("range") / fan).cast("int").alias("_range"), F.col("block").alias("_family"))
+        answers = written(rows.groupBy("range", "family").cogroup(found).applyInArrow(_hand_down, ANSWERED), "answers")
+    return answers, tuple(x or 0 for x in totals)
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+                    block_bytes: int = BLOCK_BYTES, ranges: int = RANGES, range_bytes: int = RANGE_BYTES,
+                    fan: int = FAN) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The sizes never change a result."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // block_bytes))
     fold = crc_mod(doc_id, FOLDS)
@@ -257,10 +322,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), share) * 3 + part
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), payload(text).alias("payload"),
                        dealt.cast("long").alias("block"))
-    counted = rows.groupBy("block").applyInArrow(_count_block(blocks), COUNTED)
-    answers = written(counted.groupBy("range").applyInArrow(_add_range, ANSWERED), "counts")
-    totals = answers.groupBy("range").agg(*[F.first(c).alias(c) for c in ("tokens", "kept_tokens", "distinct")])
-    tokens, kept, distinct = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("kept_tokens"), F.sum("distinct")).first())
+    counted = rows.groupBy("block").applyInArrow(_count_block(ranges), COUNTED)
+    answers, (tokens, kept, distinct) = _answers(counted, size, ranges, range_bytes, fan)
 
     deleted = F.col("block") % 3 == DELETED
     asked = lambda which: answers.select("range", "block", f"word_{which}", f"bigram_{which}")

@@ -11,6 +11,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from edge_cases import LONG, NAMES, docs, empty, prose, texts
 from test_dedup import brute_components, brute_groups
@@ -77,6 +79,34 @@ def test_scores(spark, case):
     assert L.score_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("range_bytes,fan,levels", [(3000, 2, 1), (1000, 3, 2), (300, 2, 4)])
+def test_scores_do_not_depend_on_levels(spark, monkeypatch, range_bytes, fan, levels):
+    ship_package(spark)
+    rows = [*[(k, prose(60, k % 40)) for k in range(90)], (None, None), (200, ""), (201, "a " * 3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    merged = []
+    monkeypatch.setattr(L, "_merge_family", lambda n, merge=L._merge_family: merged.append(n) or merge(n))
+    got = sorted(map(tuple, L.score_documents(frame, block_bytes=500, ranges=3, range_bytes=range_bytes, fan=fan).collect()), key=str)
+    assert len(merged) >= levels
+    for g, w in zip(got, brute_lm(rows), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_rows_between_stages_grow_with_the_input(spark):
+    """A block leaves at most ``RANGES`` rows, and so does every family of blocks for each of its blocks."""
+    block = pa.table({"payload": [b"one two three", b"two three four"] * 50, "block": [3] * 100})
+    for ranges in (1, 64, 4096):
+        rows = L._count_block(ranges)(block)
+        assert len(rows) <= min(ranges, 5 + 8)  # no row for a range without a key
+        keys = np.concatenate([L.unpack_keys(r) for r in rows.column("words").to_pylist()])
+        assert len(keys) == 5 and (np.diff(keys.astype(object)) > 0).all()
+        assert sum(L.unpack_counts(r).sum() for r in rows.column("word_counts").to_pylist()) == 400
+    family = rows.append_column("family", pa.array([0] * len(rows), pa.int64()))
+    for r in set(family.column("range").to_pylist()):
+        finer = L._merge_family(4096 * 8)(family.filter(pa.compute.equal(family.column("range"), r)))
+        assert {x // 8 for x in finer.column("range").to_pylist()} == {r}
+
+
 def test_weights_follow_the_better_estimate():
     middle = 64 * L.STEP
     weights = L.learn_weights([(3, middle + 80, middle + 8, 900), (3, -1, middle + 8, 100), (5, -1, middle + 40, 500)])
