@@ -28,6 +28,10 @@ CHURN_STEPS = ("begin_checkout", "add_payment_info", "Payment Method", "add_ship
 PAYMENT_STEPS = ("Payment Method", "add_payment_info")
 # Clean-path checkpoints: each must occur exactly once after checkout start.
 CLEAN_CHECKPOINTS = ("add_shipping_info", "Payment Method", "add_payment_info")
+# Further events of an online shop, as analytics exports name them: with the steps above, the labels that packed
+# sequence keys know (others are carried as they are).
+SHOP_EVENTS = ("view_item", "view_item_list", "select_item", "view_promotion", "select_promotion", "view_search_results",
+               "add_to_cart", "remove_from_cart", "view_cart", "add_to_wishlist", "click", "refund")
 # Browser / operating-system segment filter.
 SEGMENT_BROWSERS = ("Chrome", "Safari")
 SEGMENT_SYSTEMS = ("Macintosh", "Windows", "iOS", "Android")
@@ -67,6 +71,13 @@ class CheckoutSpec:
     payment_steps: tuple[str, ...] = PAYMENT_STEPS
     begin: str = BEGIN_CHECKOUT
     history: int = 5
+    shop_events: tuple[str, ...] = SHOP_EVENTS
+
+    @property
+    def labels(self) -> tuple[str, ...]:
+        """The labels that are known beforehand, each once."""
+        return tuple(dict.fromkeys((*self.pages, *self.churn_steps, *self.checkpoints, *self.payment_steps, self.begin, PURCHASE,
+                                    *self.shop_events)))
 
 
 @dataclass(frozen=True)

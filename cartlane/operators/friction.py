@@ -31,10 +31,11 @@ def _frictioned_groups(labeled: DataFrame, spec: CheckoutSpec, partition_by: tup
     rows = frame.where(is_comp | is_churn).select(
         F.when(is_comp, "completer").otherwise("churner").alias("kind"),
         F.col(S.LABEL).alias("last_event"), *names, S.USER)
-    groups = S.friction_counts(S.group_sequences(rows, "last_event", "last_event", spec.history, ["kind"]), spec)
-    frictioned = groups.where(((F.col("kind") == "churner") & S.churn_friction_predicate(spec))
-                              | ((F.col("kind") == "completer") & S.completer_friction_predicate(spec)))
-    return frictioned
+    # The rule reads a group's labels alone, so it is asked of the rows, before they are packed and grouped.
+    rule = F.when(F.col("kind") == "churner", S.churn_friction_predicate(spec)).otherwise(S.completer_friction_predicate(spec))
+    frictioned = S.friction_counts(rows, spec).where(rule).select(*rows.columns)
+    groups = S.group_sequences(frictioned, "last_event", "last_event", spec.history, ["kind"], spec.labels)
+    return S.friction_counts(groups, spec)
 
 
 # --- fixed values: segment and revenue labels of the result ------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cartlane.config import (ADD_PAYMENT, ADD_SHIPPING, BEGIN_CHECKOUT, DEFAULTS, HISTORY_SPLIT_ROWS, PAYMENT_PAGE, PURCHASE,
                              CheckoutSpec)
 from cartlane.functions.labels import lag_names, occurrences
+from cartlane.functions.packed import KEY, OTHER, pack, unpack
 from cartlane.operators.history import (LABEL, SESSION, USER, USER_LAST_US, USER_PURCHASED, churn_tails,  # noqa: F401
                                         history_frame)
 
@@ -43,27 +44,32 @@ def checkout_churners(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout
 
 
 def group_sequences(rows: DataFrame, event_col: str, out_col: str, n: int = DEFAULTS.checkout.history,
-                    extra_keys: list[str] | None = None) -> DataFrame:
+                    extra_keys: list[str] | None = None, dictionary: tuple[str, ...] = DEFAULTS.checkout.labels) -> DataFrame:
     """One row per distinct (event, n previous labels): occurrences and
     distinct users. NULL lags group together. COUNT DISTINCT is planned as a
     two-level aggregate on (sequence, user) then sequence, so a very common
-    sequence is spread over users before it is merged."""
-    return rows.groupBy(*(extra_keys or []), F.col(event_col).alias(out_col), *lag_names(n)).agg(
+    sequence is spread over users before it is merged. The labels of
+    ``dictionary`` travel packed into one 64-bit key (``functions.packed``);
+    sequences with others are grouped by the labels themselves."""
+    extra, names = extra_keys or [], [out_col, *lag_names(n)]
+    packed = rows.select(*extra, USER, *pack([F.col(event_col), *[F.col(c) for c in lag_names(n)]], dictionary))
+    groups = packed.groupBy(*extra, KEY, OTHER).agg(
         F.count(F.lit(1)).alias("sequences"),
         F.countDistinct(USER).alias("users"),
     )
+    return groups.select(*extra, *unpack(names, dictionary), "sequences", "users")
 
 
 def completer_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
                         partition_by: tuple[str, ...] = (USER,), split_rows: int | None = HISTORY_SPLIT_ROWS) -> DataFrame:
     seq = prior_events(labeled, spec.history, partition_by, split_rows).where(F.col(LABEL) == PURCHASE)
-    return group_sequences(seq, LABEL, "current_event", spec.history)
+    return group_sequences(seq, LABEL, "current_event", spec.history, dictionary=spec.labels)
 
 
 def churner_sequences(labeled: DataFrame, spec: CheckoutSpec = DEFAULTS.checkout,
                       partition_by: tuple[str, ...] = (USER,)) -> DataFrame:
     rows = checkout_churners(labeled, spec, partition_by)
-    return group_sequences(rows, "churn_event", "last_event", spec.history)
+    return group_sequences(rows, "churn_event", "last_event", spec.history, dictionary=spec.labels)
 
 
 # --- fixed values: output names of the step counters -------------------------
