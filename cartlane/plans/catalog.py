@@ -7,6 +7,7 @@ full and runs one operator of the library with the reference's parameters.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from cartlane.config import DEFAULTS
 from cartlane.operators import (clean_path, daily, duration, events, facts, friction, funnel, population, revenue,
                                 sequences)
+from cartlane.session import shared_dir
+from cartlane.sources.clustered import Clustered, by_user, clustered_history, read_clustered, write_clustered
 from cartlane.sources.fixture import load_raw_events
 
 # The date filter that some of the analyses have, on the dates of the driver's
@@ -303,3 +306,22 @@ def q_population_counts_approx(spark, sf_dir):
 @query("funnel_users_approx")
 def q_funnel_users_approx(spark, sf_dir):
     return daily.approximate_funnel_users(partials(spark, sf_dir))
+
+
+# --- reports from a user-clustered table ----------------------------------------
+def clustered(spark: SparkSession, sf_dir: str) -> Clustered:
+    """All events, written to a new user-clustered table in the session's shared folder. Buckets follow the session's
+    shuffle partitions."""
+    path = f"{shared_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    write_clustered(normalized(spark, sf_dir), path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_clustered(spark, path)
+
+
+@query("user_day_facts_clustered")
+def q_user_day_facts_clustered(spark, sf_dir):
+    return by_user(clustered(spark, sf_dir), facts.user_day_facts)
+
+
+@query("friction_segments_clustered")
+def q_friction_segments_clustered(spark, sf_dir):
+    return friction.friction_segments(clustered_history(clustered(spark, sf_dir)), aov=DEFAULTS.aov)

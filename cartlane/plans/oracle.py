@@ -305,3 +305,5 @@ ORACLE["purchase_duration_from_partials"] = ORACLE["daily_purchase_duration"]
 ORACLE["segment_duration_from_partials"] = ORACLE["purchase_duration_by_segment"]
 ORACLE["funnel_counts_from_partials"] = ORACLE["funnel_counts"]
 ORACLE["aov_from_partials"] = ORACLE["aov"]
+ORACLE["user_day_facts_clustered"] = ORACLE["user_day_facts"]
+ORACLE["friction_segments_clustered"] = ORACLE["friction_segments"]

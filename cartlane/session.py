@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings every job of this library wants. AQE re-plans joins from runtime
@@ -35,3 +38,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a local
+    session gets a scratch folder; on a cluster that is an error, since no folder of one machine would do."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is not set; with master {master!r} it has to name a shared folder")
+        found = "file://" + tempfile.mkdtemp(prefix="cartlane-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

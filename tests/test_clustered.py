@@ -7,6 +7,7 @@ from cartlane.config import DEFAULTS
 from cartlane.operators import facts, friction, sequences as S
 from cartlane.operators.events import label_checkout_events, normalize_events
 from cartlane.plans.catalog import CATALOG, normalized
+from cartlane.session import shared_dir
 from cartlane.plans.inspect import plan_stats, plan_text
 from cartlane.sources import by_user, clustered_history, read_clustered, write_clustered
 from conftest import SF001
@@ -115,3 +116,20 @@ def test_empty_events(spark, tmp_path):
     assert by_user(table, facts.user_day_facts).count() == 0 and clustered_history(table).count() == 0
     with pytest.raises(ValueError, match="scope"):
         clustered_history(table, partition_by=("event_date",))
+
+
+def test_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def __init__(self, **held):
+            self.held = held
+
+        def get(self, key, default=None):
+            return self.held.get(key, default)
+
+    class Session:
+        def __init__(self, **held):
+            self.conf = Conf(**held)
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_dir(Session(**{"spark.master": "spark://somewhere:7077"}))
+    assert shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
